@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tapestry.functions._util import as_col
 
@@ -34,7 +35,7 @@ def _ratio_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return _ratio_pairs(a, b)
 

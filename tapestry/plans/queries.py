@@ -137,6 +137,10 @@ def q_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile_text(customer_profile(tables(spark, d, ["customer", "nation", "region", "orders", "lineitem"])))
 
 
+# query modules register themselves on import
+from tapestry.plans import q_entity  # noqa: E402,F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
