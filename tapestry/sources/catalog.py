@@ -49,10 +49,10 @@ def read_scripts(spark: SparkSession, path: str, ext: str = ".py", recursive: bo
     """A3: every file with extension ``ext`` under ``path`` as one row
     ``(path, text)`` — the whole text, one file per row; directories and other
     extensions are skipped by the file-source glob filter."""
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{ext}")
+    reader = spark.read.option("pathGlobFilter", f"*{ext}")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    df = reader.text(path)
+    df = reader.text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
