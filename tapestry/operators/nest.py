@@ -78,6 +78,35 @@ class NestConcat:
         return list(self.values)
 
 
+@dataclass
+class NestUnion:
+    """Union of arrays collected per group — ``value`` is already an array
+    (for instance a set pre-aggregated at a finer grain before the shuffle);
+    the result is their concatenation, de-duplicated with ``distinct`` and
+    sorted.  Pre-aggregating at the finer grain keeps the shuffle small."""
+
+    value: Column
+    order: str | None = "asc"
+    distinct: bool = True
+
+    def _finish(self, arr: Column) -> Column:
+        if self.distinct:
+            arr = F.array_distinct(arr)
+        return arr if self.order is None else F.sort_array(arr, asc=(self.order == "asc"))
+
+    def one_phase(self) -> Column:
+        return self._finish(F.flatten(F.collect_list(self.value)))
+
+    def partial(self) -> list[Column]:
+        return [F.flatten(F.collect_list(self.value))]
+
+    def final(self, parts: list[Column]) -> Column:
+        return self._finish(F.flatten(F.collect_list(parts[0])))
+
+    def inputs(self) -> list[Column]:
+        return [self.value]
+
+
 def nest(value: Column, order: str | None = "desc", distinct: bool = False) -> Column:
     """E1/E2/E3/G1/G2 as a single aggregate Column (one phase)."""
     return Nest(value, order, distinct).one_phase()
@@ -91,7 +120,7 @@ def nest_concat(*values: Column, order: str | None = "asc") -> Column:
 def nest_many(
     df: DataFrame,
     keys: str | Sequence[str],
-    nests: Mapping[str, Nest | NestConcat | Column],
+    nests: Mapping[str, Nest | NestConcat | NestUnion | Column],
     salt_buckets: int = 0,
 ) -> DataFrame:
     """Group by ``keys`` and build every nested column in one pass.
@@ -102,11 +131,11 @@ def nest_many(
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if salt_buckets <= 1:
-        aggs = [(n.one_phase() if isinstance(n, (Nest, NestConcat)) else n).alias(name) for name, n in nests.items()]
+        aggs = [(n.one_phase() if isinstance(n, (Nest, NestConcat, NestUnion)) else n).alias(name) for name, n in nests.items()]
         return df.groupBy(*keys).agg(*aggs)
 
     specs = dict(nests)
-    bad = [k for k, v in specs.items() if not isinstance(v, (Nest, NestConcat))]
+    bad = [k for k, v in specs.items() if not isinstance(v, (Nest, NestConcat, NestUnion))]
     if bad:
         raise ValueError(f"salted nesting needs Nest specs, got plain columns for {bad}")
     inputs = [c for n in specs.values() for c in n.inputs()]

@@ -60,8 +60,11 @@ def customer_spec(tables: dict[str, DataFrame], salt_buckets: int = 0) -> Profil
         return df.withColumnRenamed("orders__o_custkey", KEY)
 
     def lines_by_customer(df: DataFrame) -> DataFrame:
+        # pre-aggregate before the shuffle: only the distinct (order, flag,
+        # status) combinations travel to the join with the order -> customer link
+        codes = df.select("lineitem__l_orderkey", "lineitem__l_returnflag", "lineitem__l_linestatus").distinct()
         link = orders.select(F.col("orders__o_orderkey"), F.col("orders__o_custkey").alias(KEY))
-        return df.join(link, df["lineitem__l_orderkey"] == link["orders__o_orderkey"], "inner")
+        return codes.join(link, codes["lineitem__l_orderkey"] == link["orders__o_orderkey"], "inner")
 
     order_nests = {
         "orders": Nest(order_shape(), "desc"),
