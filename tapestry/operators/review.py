@@ -219,3 +219,44 @@ def session_totals(results: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(F.col("confidence_score"), F.lit(0.0)) >= BAND_HIGH).alias("high_confidence_count"),
         F.count_if(F.coalesce(F.col("needs_review"), F.lit(False))).alias("needs_review_count"),
     )
+
+
+def sources_of(df: DataFrame, key: str = "target_field", column: str = "source_column", table: str = "source_table",
+               sep: str = ", ") -> DataFrame:
+    """Distinct sorted source columns and source tables per key, joined
+    by ``', '`` (set aggregates combine map-side)."""
+    return df.groupBy(key).agg(
+        F.array_join(F.sort_array(F.collect_set(column)), sep).alias("source_columns"),
+        F.array_join(F.sort_array(F.collect_set(table)), sep).alias("source_tables"),
+    )
+
+
+def join_text(df: DataFrame, keys, text: str, order: str, sep: str = "; ", out: str = "rules") -> DataFrame:
+    """Texts of each key joined by ``sep`` in ``order``."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), sep).alias(out))
+
+
+def attach_rules(mappings: DataFrame, rules: DataFrame, on_mapping: str = "target_column", on_rules: str = "column",
+                 keys=(), rules_col: str = "rules", out: str = "dq_rules") -> DataFrame:
+    """Attach the rules of each target column (``rules_by_column`` output)
+    to the mappings; a column without rules gets ''."""
+    keys = list(keys)
+    r = rules.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(on_rules).alias("__col"),
+                     F.col(rules_col).alias("__rules"))
+    cond = [F.col(k) == F.col(f"__k_{k}") for k in keys] + [F.col(on_mapping) == F.col("__col")]
+    j = mappings.join(r, cond, "left")
+    return j.withColumn(out, F.coalesce(F.col("__rules"), F.lit(""))).drop("__col", "__rules", *[f"__k_{k}" for k in keys])
+
+
+def resolve_tables(mappings: DataFrame, bindings: DataFrame, var_col: str = "source_df", keys=(),
+                   out: str = "source_table") -> DataFrame:
+    """Dataframe variable -> table name via the resolved bindings
+    (``var``, ``table_name``), falling back to the variable itself."""
+    keys = list(keys)
+    b = bindings.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("var").alias("__var"),
+                        F.col("table_name").alias("__table"))
+    cond = [F.col(k) == F.col(f"__k_{k}") for k in keys] + [F.col(var_col) == F.col("__var")]
+    j = mappings.join(b, cond, "left")
+    return j.withColumn(out, F.coalesce(F.col("__table"), F.col(var_col))).drop("__var", "__table", *[f"__k_{k}" for k in keys])

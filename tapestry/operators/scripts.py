@@ -158,15 +158,19 @@ def code_patterns(cells: DataFrame, keys: Sequence[str] = ("path", "cell_no")) -
 
 
 def extract_with_column(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
-    """M3: ``.withColumn("target", expr)`` -> (target_column, transformation),
-    with balanced parentheses (up to five levels) in ``expr``."""
-    rx = r"(?s)\.withColumn\(\s*" + _Q + r"(" + _NQ + r"*)" + _Q + r"\s*,\s*(" + _ARGS + r")\)"
+    """M3: ``df.withColumn("target", expr)`` -> (receiver, target_column,
+    transformation), with balanced parentheses (up to five levels) in
+    ``expr``.  ``receiver`` is the variable the call is made on ('' inside a
+    chain)."""
+    rx = r"(?s)(\w*)\s*\.withColumn\(\s*" + _Q + r"(" + _NQ + r"*)" + _Q + r"\s*,\s*(" + _ARGS + r")\)"
     t = F.col(text_col)
-    tg = F.regexp_extract_all(t, F.lit(rx), 1)
-    ex = F.regexp_extract_all(t, F.lit(rx), 2)
-    z = F.arrays_zip(tg.alias("target_column"), ex.alias("transformation"))
+    z = F.arrays_zip(
+        F.regexp_extract_all(t, F.lit(rx), 1).alias("receiver"),
+        F.regexp_extract_all(t, F.lit(rx), 2).alias("target_column"),
+        F.regexp_extract_all(t, F.lit(rx), 3).alias("transformation"),
+    )
     return df.select(*keys, F.posexplode(z).alias("match_no", "m")).select(
-        *keys, "match_no", F.col("m.target_column").alias("target_column"),
+        *keys, "match_no", F.col("m.receiver").alias("receiver"), F.col("m.target_column").alias("target_column"),
         F.regexp_replace(py_strip(F.col("m.transformation")), r"\s*\n\s*", "").alias("transformation"))
 
 

@@ -20,8 +20,9 @@ from tapestry.functions.text import confidence_band, similarity_native, similari
 from tapestry.operators.reconcile import (KEY, classify_matches, last_per_key, only_in, reconcile, reconcile_summary,
                                           resolve, score, union_methods)
 from tapestry.operators.review import (apply_updates, close_session, confidence_summary, export_review, extract_counts,
-                                       review_queue, rule_kinds, session_results, session_totals, session_view,
-                                       standardize, store_report, to_document, to_standard, with_defaults)
+                                       join_text, review_queue, rule_kinds, session_results, session_totals,
+                                       session_view, sources_of, standardize, store_report, to_document, to_standard,
+                                       with_defaults)
 from tapestry.plans.queries import T, register
 from tapestry.session import ensure_checkpoint_dir
 from tapestry.sources.sinks import save_partitioned
@@ -514,19 +515,14 @@ SELECT target_field, array_to_string(list_sort(list(DISTINCT source_column)), ',
 FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY target_field
 """)
 def q_sources_of(spark, d):
-    u = mapping_a(spark, d).unionByName(mapping_b(spark, d))
-    return u.groupBy("target_field").agg(
-        F.array_join(F.sort_array(F.collect_set("source_column")), ", ").alias("source_columns"),
-        F.array_join(F.sort_array(F.collect_set("source_table")), ", ").alias("source_tables"))
+    return sources_of(mapping_a(spark, d).unionByName(mapping_b(spark, d)))
 
 
 @register("join_text", WITH_AB + """
 SELECT target_field, string_agg(transformation_rule, '; ' ORDER BY id) AS rules FROM a GROUP BY target_field
 """)
 def q_join_text(spark, d):
-    a = mapping_a(spark, d)
-    ordered = F.array_sort(F.collect_list(F.struct("id", "transformation_rule")))
-    return a.groupBy("target_field").agg(F.array_join(F.transform(ordered, lambda x: x["transformation_rule"]), "; ").alias("rules"))
+    return join_text(mapping_a(spark, d), "target_field", "transformation_rule", order="id")
 
 
 # ------------------------------------------------------------------ A8, A9, A11, C7, P

@@ -62,14 +62,15 @@ def save_partitioned(df: DataFrame, path: str, ts_col: str = "created_at", clust
     out.write.mode("overwrite").partitionBy("created_date").format(fmt).save(path)
 
 
-def document_rows(mappings: DataFrame, order: str = "mapping_no") -> DataFrame:
+def document_rows(mappings: DataFrame, order: str | list = "mapping_no") -> DataFrame:
     """A6/J13/D13 layout: one row per mapping (array field '') followed by one
     continuation row per array field ``(alias, transformation)``; the other
     columns of a continuation row are ''.  ``mappings`` needs ``order``,
     ``source_table``, ``source_columns``, ``target_column``, ``transformation``,
     ``dq_rules`` and ``array_fields array<struct<alias, transformation>>``."""
+    order = [order] if isinstance(order, str) else list(order)
     main = mappings.select(
-        F.col(order),
+        *order,
         F.lit(-1).alias("row_no"),
         F.col("source_table").alias("Source Table"),
         F.col("source_columns").alias("Source Column(s)"),
@@ -78,8 +79,8 @@ def document_rows(mappings: DataFrame, order: str = "mapping_no") -> DataFrame:
         F.col("transformation").alias("Transformation"),
         F.coalesce(F.col("dq_rules"), F.lit("")).alias("DQ Rules"),
     )
-    cont = mappings.select(F.col(order), F.posexplode("array_fields").alias("row_no", "f")).select(
-        F.col(order),
+    cont = mappings.select(*order, F.posexplode("array_fields").alias("row_no", "f")).select(
+        *order,
         F.col("row_no"),
         F.lit("").alias("Source Table"),
         F.lit("").alias("Source Column(s)"),
@@ -91,10 +92,11 @@ def document_rows(mappings: DataFrame, order: str = "mapping_no") -> DataFrame:
     return main.unionByName(cont)
 
 
-def export_mappings(mappings: DataFrame, path: str, fmt: str = "csv", order: str = "mapping_no") -> None:
+def export_mappings(mappings: DataFrame, path: str, fmt: str = "csv", order: str | list = "mapping_no") -> None:
     """Write the six-column mapping document, rows in document order (a
     range-partitioned sort, so it scales)."""
-    rows = document_rows(mappings, order).orderBy(order, "row_no").drop(order, "row_no")
+    order = [order] if isinstance(order, str) else list(order)
+    rows = document_rows(mappings, order).orderBy(*order, "row_no").drop(*order, "row_no")
     w = rows.write.mode("overwrite")
     if fmt == "csv":
         w = w.option("header", "true")
