@@ -268,7 +268,7 @@ WITH o AS (SELECT o_custkey AS c_custkey, count(*) AS n_orders, sum(o_totalprice
            FROM orders GROUP BY o_custkey),
      l AS (SELECT oo.o_custkey AS c_custkey, count(*) AS n_lines FROM lineitem JOIN orders oo ON l_orderkey = oo.o_orderkey
            WHERE l_returnflag = 'R' GROUP BY oo.o_custkey)
-SELECT c.c_custkey, o.n_orders, o.order_value::VARCHAR AS order_value, l.n_lines
+SELECT c.c_custkey, o.n_orders, o.order_value::VARCHAR AS order_value, l.n_lines::VARCHAR AS n_lines
 FROM customer c JOIN o USING (c_custkey) LEFT JOIN l USING (c_custkey)
 """)
 def q_attach_satellites(spark, d):
@@ -280,7 +280,8 @@ def q_attach_satellites(spark, d):
         F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_lines"))
     spine = attach(T(spark, d, "customer").select("c_custkey"), oagg, "c_custkey", "inner")
     spine = attach(spine, lagg, "c_custkey", "left")
-    return spine.select("c_custkey", "n_orders", F.col("order_value").cast("decimal(18,2)").cast("string").alias("order_value"), "n_lines")
+    return spine.select("c_custkey", "n_orders", F.col("order_value").cast("decimal(18,2)").cast("string").alias("order_value"),
+                        F.col("n_lines").cast("string").alias("n_lines"))
 
 
 @register("join_double_match", """
@@ -429,7 +430,7 @@ def q_collect_conditional(spark, d):
 @register("primary_of_list", """
 WITH a AS (SELECT o_custkey, list_sort(list(struct_pack(priority := o_orderpriority, k := o_orderkey))) AS l
            FROM orders GROUP BY o_custkey)
-SELECT o_custkey, l[1].priority AS primary_priority, l[1].k AS primary_order, len(l) AS n FROM a
+SELECT o_custkey, l[1].priority AS primary_priority, l[1].k AS primary_order, len(l)::INTEGER AS n FROM a
 """)
 def q_primary_of_list(spark, d):
     v = shape([("priority", F.col("o_orderpriority")), ("k", F.col("o_orderkey"))])
@@ -574,8 +575,8 @@ def q_year_of(spark, d):
 
 
 @register("safe_casts", """
-SELECT event_id, TRY_CAST(props AS INTEGER) AS props_int,
-  TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k_value,
+SELECT event_id, TRY_CAST(props AS INTEGER)::VARCHAR AS props_int,
+  TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)::VARCHAR AS k_value,
   ts::DATE::VARCHAR AS ts_date, CAST(value AS DECIMAL(12,2))::VARCHAR AS value_text
 FROM events
 """)
@@ -583,8 +584,8 @@ def q_safe_casts(spark, d):
     e = T(spark, d, "events")
     return e.select(
         "event_id",
-        F.col("props").try_cast("int").alias("props_int"),
-        F.regexp_extract("props", "([0-9]+)", 1).try_cast("int").alias("k_value"),
+        F.col("props").try_cast("int").cast("string").alias("props_int"),
+        F.regexp_extract("props", "([0-9]+)", 1).try_cast("int").cast("string").alias("k_value"),
         F.to_date("ts").cast("string").alias("ts_date"),
         F.col("value").cast("decimal(12,2)").cast("string").alias("value_text"),
     )
@@ -693,7 +694,7 @@ x AS (SELECT o.*, c.flags, c.lines FROM orders o LEFT JOIN c USING (o_orderkey))
 SELECT o_orderkey,
   array_to_string(list_concat(coalesce(flags, []), [o_orderstatus], coalesce(flags, [])), ';') AS merged,
   array_to_string(list_sort(list_concat(coalesce(flags, []), [o_orderstatus])), ';') AS merged_sorted,
-  len(list_concat(coalesce(flags, []), coalesce(flags, []))) AS n
+  len(list_concat(coalesce(flags, []), coalesce(flags, [])))::INTEGER AS n
 FROM x
 """)
 def q_merge_arrays(spark, d):
@@ -735,7 +736,7 @@ e AS (
 
 
 @register("keyed_map", _IDS_SQL + """
-SELECT o_custkey, string_agg(k || '=' || v, ';' ORDER BY k) AS identifiers, count(*) AS n FROM e WHERE which = 'ids' GROUP BY o_custkey
+SELECT o_custkey, string_agg(k || '=' || v, ';' ORDER BY k) AS identifiers, count(*)::INTEGER AS n FROM e WHERE which = 'ids' GROUP BY o_custkey
 """)
 def q_keyed_map(spark, d):
     a = _identifier_lists(spark, d)
@@ -745,7 +746,7 @@ def q_keyed_map(spark, d):
 
 
 @register("merge_maps", _IDS_SQL + """
-SELECT o_custkey, string_agg(k || '=' || v, ';' ORDER BY k) AS identifiers, count(*) AS n FROM e GROUP BY o_custkey
+SELECT o_custkey, string_agg(k || '=' || v, ';' ORDER BY k) AS identifiers, count(*)::INTEGER AS n FROM e GROUP BY o_custkey
 """)
 def q_merge_maps(spark, d):
     a = _identifier_lists(spark, d)
@@ -818,7 +819,7 @@ def q_cross_apply_structs(spark, d):
 WITH g AS (SELECT o_custkey, list(list_sort(g0)) AS groups FROM (
     SELECT o.o_custkey, o.o_orderkey, list(DISTINCT l.l_returnflag) AS g0
     FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey, o.o_orderkey) GROUP BY o_custkey)
-SELECT o_custkey, len(flatten(list_distinct(groups))) AS n_distinct_group_elems, len(flatten(groups)) AS n_all_elems FROM g
+SELECT o_custkey, len(flatten(list_distinct(groups)))::INTEGER AS n_distinct_group_elems, len(flatten(groups))::INTEGER AS n_all_elems FROM g
 """)
 def q_distinct_groups(spark, d):
     o = T(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -832,16 +833,16 @@ def q_distinct_groups(spark, d):
 
 @register("pick_first", f"""
 WITH a AS (SELECT o_custkey, list_sort(list({_ORDER_STRUCT_SQL}), 'DESC') AS orders FROM orders GROUP BY o_custkey)
-SELECT o_custkey, (list_filter(orders, lambda x: x.status = 'F'))[1].order_key AS first_f_order,
+SELECT o_custkey, (list_filter(orders, lambda x: x.status = 'F'))[1].order_key::VARCHAR AS first_f_order,
   (list_filter(orders, lambda x: x.status = 'F'))[1].order_date AS first_f_date,
-  (list_filter(orders, lambda x: x.status = 'Z'))[1].order_key AS never
+  (list_filter(orders, lambda x: x.status = 'Z'))[1].order_key::VARCHAR AS never
 FROM a
 """)
 def q_pick_first(spark, d):
     a = nest_many(T(spark, d, "orders"), "o_custkey", {"orders": Nest(_order_struct(), "desc")})
     hit = pick("orders", lambda x: x["status"] == "F")
-    return a.select("o_custkey", hit["order_key"].alias("first_f_order"), hit["order_date"].alias("first_f_date"),
-                    pick("orders", lambda x: x["status"] == "Z", "order_key").alias("never"))
+    return a.select("o_custkey", hit["order_key"].cast("string").alias("first_f_order"), hit["order_date"].alias("first_f_date"),
+                    pick("orders", lambda x: x["status"] == "Z", "order_key").cast("string").alias("never"))
 
 
 @register("role_of_codes", """
@@ -907,7 +908,7 @@ def q_dq_apply(spark, d):
 
 @register("dq_flatten", f"""
 SELECT o_orderkey, array_to_string(list_transform(list_filter({_DQ_CHECKS_SQL}, lambda x: NOT x.ok), lambda x: x.rule), ';')
-  AS data_quality_result, len(list_filter({_DQ_CHECKS_SQL}, lambda x: NOT x.ok)) AS failures FROM orders
+  AS data_quality_result, len(list_filter({_DQ_CHECKS_SQL}, lambda x: NOT x.ok))::INTEGER AS failures FROM orders
 """)
 def q_dq_flatten(spark, d):
     df = flatten_results(_dq_orders(spark, d))

@@ -118,13 +118,14 @@ def classified(spark, d, method="levenshtein"):
 # ------------------------------------------------------------------ D11, D12, N1
 @register("reconcile_full", WITH_AB + """
 SELECT coalesce(al.source_table, bl.source_table) AS source_table, coalesce(al.source_column, bl.source_column) AS source_column,
-  al.id AS a_id, bl.id AS b_id, al.transformation_rule AS a_rule, bl.transformation_rule AS b_rule
+  al.id::VARCHAR AS a_id, bl.id::VARCHAR AS b_id, al.transformation_rule AS a_rule, bl.transformation_rule AS b_rule
 FROM al FULL OUTER JOIN bl ON al.source_table = bl.source_table AND al.source_column = bl.source_column
 """)
 def q_reconcile_full(spark, d):
     a, b = latest_sets(spark, d)
     r = reconcile(a, b)
-    return r.select("source_table", "source_column", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"),
+    return r.select("source_table", "source_column", F.col("a.id").cast("string").alias("a_id"),
+                    F.col("b.id").cast("string").alias("b_id"),
                     F.col("a.transformation_rule").alias("a_rule"), F.col("b.transformation_rule").alias("b_rule"))
 
 
@@ -147,12 +148,12 @@ def q_reconcile_only_b(spark, d):
 
 
 @register("classify_matches", CLASSIFIED_SQL + """
-SELECT source_table, source_column, a_id, b_id, similarity, match_class FROM c
+SELECT source_table, source_column, a_id::VARCHAR AS a_id, b_id::VARCHAR AS b_id, similarity, match_class FROM c
 """)
 def q_classify_matches(spark, d):
     c = classified(spark, d)
-    return c.select("source_table", "source_column", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"),
-                    "similarity", "match_class")
+    return c.select("source_table", "source_column", F.col("a.id").cast("string").alias("a_id"),
+                    F.col("b.id").cast("string").alias("b_id"), "similarity", "match_class")
 
 
 @register("classify_matches_ratio", None)
@@ -280,13 +281,15 @@ SELECT extraction_source, count(*) AS total_mappings,
   count(*) FILTER (WHERE coalesce(final_score, 0.0) >= 0.8) AS high_confidence_count,
   count(*) FILTER (WHERE coalesce(final_score, 0.0) >= 0.5 AND coalesce(final_score, 0.0) < 0.8) AS medium_confidence_count,
   count(*) FILTER (WHERE coalesce(final_score, 0.0) < 0.5) AS low_confidence_count,
-  avg(coalesce(final_score, 0.0)) AS average_confidence,
+  round(avg(coalesce(final_score, 0.0)), 9) AS average_confidence,
   count(*) FILTER (WHERE length(coalesce(transformation_rule, '')) > 50) AS complex_transformations,
   count(*) FILTER (WHERE CASE WHEN final_score < 0.6 THEN true ELSE coalesce(needs_review, false) END) AS review_required_count
 FROM s GROUP BY extraction_source
 """)
 def q_confidence_summary(spark, d):
-    return confidence_summary(score(_resolved(spark, d)), keys=["extraction_source"])
+    out = confidence_summary(score(_resolved(spark, d)), keys=["extraction_source"])
+    # the mean is rounded: the two engines sum in different orders
+    return out.withColumn("average_confidence", F.round("average_confidence", 9))
 
 
 # ------------------------------------------------------------------ B9-B14, C8, C9
@@ -635,7 +638,7 @@ def q_session_status(spark, d):
 
 
 @register("session_view", "WITH " + SESSIONS_SQL + """
-SELECT s.session_id, s.status, count(c.turn) AS n_results,
+SELECT s.session_id, s.status, count(c.turn)::INTEGER AS n_results,
   coalesce(string_agg(c.turn::VARCHAR || '|' || c.role || '|' || md5(c.text), ';' ORDER BY c.turn), '') AS results
 FROM ses s LEFT JOIN conversations c ON c.conv_id = s.session_id GROUP BY s.session_id, s.status
 """)

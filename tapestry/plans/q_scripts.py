@@ -21,7 +21,7 @@ HTML_PATTERNS = {
 
 
 @register("split_lines", """
-SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
+SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS line_no, unnest(parts) AS line
 FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
 """)
 def q_split_lines(spark, d):
@@ -39,7 +39,7 @@ def _starts(x: str, prefix: str) -> str:
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 b AS (SELECT doc_id, lines, list_concat([-1], list_filter(range(len(lines)), lambda i: {_starts('lines[i + 1]', '# COMMAND ----------')}),
       [len(lines)]) AS bounds FROM l),
-c AS (SELECT doc_id, generate_subscripts(cells, 1) - 1 AS cell_no, unnest(cells) AS cell FROM (
+c AS (SELECT doc_id, (generate_subscripts(cells, 1) - 1)::INTEGER AS cell_no, unnest(cells) AS cell FROM (
       SELECT doc_id, list_transform(range(len(bounds) - 1),
         lambda k: lines[bounds[k + 1] + 2 : bounds[k + 2]]) AS cells FROM b)),
 k AS (SELECT doc_id, cell_no,
@@ -62,7 +62,7 @@ def _pattern_sql(table: str, key: str, col: str, catalog) -> str:
         rx = rx.replace("'", "''")
         g1 = f"regexp_extract_all({col}, '{rx}', {groups[0]})"
         g2 = f"regexp_extract_all({col}, '{rx}', {groups[1]})" if len(groups) > 1 else None
-        sel = (f"SELECT {key}, '{name}' AS pattern, unnest(range(len(g1))) AS match_no, unnest(g1) AS g1, "
+        sel = (f"SELECT {key}, '{name}' AS pattern, unnest(range(len(g1)))::INTEGER AS match_no, unnest(g1) AS g1, "
                + ("unnest(g2) AS g2" if g2 else "NULL::VARCHAR AS g2")
                + f" FROM (SELECT {key}, {g1} AS g1" + (f", {g2} AS g2" if g2 else "") + f" FROM {table})")
         parts.append(sel)

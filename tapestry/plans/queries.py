@@ -55,7 +55,7 @@ def profile_text(df: DataFrame) -> DataFrame:
         arr_text("orders", ORDER_FIELDS).alias("orders"),
         arr_text("order_statuses").alias("order_statuses"),
         "pcp_ind", "service_provider_role",
-        F.col("latest_open_order").alias("first_open_order"),
+        F.col("latest_open_order").cast("string").alias("first_open_order"),
         arr_text("all_codes").alias("all_codes"),
         F.date_format("first_order_date", "yyyy-MM-dd HH:mm:ss").alias("first_order_date"),
         "alternate_id", "source_id",
@@ -111,7 +111,7 @@ SELECT customer_id, customer_id_system, customer_name, display_name, account_bal
      coalesce(x.order_key::VARCHAR, '~'), coalesce(x.status::VARCHAR, '~'), coalesce(x.total_price::VARCHAR, '~'),
      coalesce(x.order_date::VARCHAR, '~'), coalesce(x.priority::VARCHAR, '~'))), ';') AS orders,
   array_to_string(list_transform(order_statuses, lambda x: coalesce(x::VARCHAR, '~')), ';') AS order_statuses,
-  pcp_ind, service_provider_role, first_open_order,
+  pcp_ind, service_provider_role, first_open_order::VARCHAR AS first_open_order,
   array_to_string(list_transform(all_codes, lambda x: coalesce(x::VARCHAR, '~')), ';') AS all_codes,
   strftime(first_order_date, '%Y-%m-%d %H:%M:%S') AS first_order_date,
   alternate_id, source_id,

@@ -34,7 +34,7 @@ def norm(v):
         f = float(v)
         if math.isnan(f):
             return "<NULL>"
-        return f"{f:.9g}"
+        return repr(f) if STRICT else f"{f:.9g}"
     if hasattr(v, "isoformat"):
         return str(v)[:26]
     if hasattr(v, "tolist"):
@@ -42,6 +42,24 @@ def norm(v):
     return str(v)
 
 
+STRICT = os.environ.get("ORACLE_STRICT", "1") == "1"
+
+
+def kinds(pdf):
+    out = {}
+    for c in pdf.columns:
+        k = pdf[c].dtype.kind
+        if k == "O":
+            vals = [v for v in pdf[c] if v is not None and v is not pd.NA and not (isinstance(v, float) and v != v)]
+            k = type(vals[0]).__name__ if vals else "null"
+        if os.environ.get("ORACLE_DTYPES") == "1" and k in "iufb":
+            out[c] = str(pdf[c].dtype).lower()
+            continue
+        out[c] = {"i": "int", "u": "int", "f": "float", "b": "bool", "M": "time", "bool": "bool", "str": "str",
+                  "int": "int", "float": "float", "Decimal": "decimal", "date": "date", "datetime": "time"}.get(k, k)
+    return out
+
+
 def rows_of(pdf):
     cols = sorted(pdf.columns)
     return cols, sorted(tuple(norm(x) for x in r) for r in pdf[cols].itertuples(index=False, name=None))
@@ -93,7 +111,10 @@ def main():
             for x in sorted(s2 - s1)[:3]:
                 print("   oracle:", dict(zip(c2, x)))
             continue
-        print(f"OK   {n}: {len(r1)} rows {ts:.1f}s")
+        k1, k2 = kinds(sp), kinds(dd)
+        diff = {c: (k1[c], k2[c]) for c in k1 if k1[c] != k2.get(c) and "null" not in (k1[c], k2.get(c))}
+        note = f"  TYPES {diff}" if diff else ""
+        print(f"OK   {n}: {len(r1)} rows {ts:.1f}s{note}")
     print(f"{len(names) - bad}/{len(names)} passed")
     return 1 if bad else 0
 
