@@ -36,12 +36,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tap
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets that folder (shared storage); we only read
-    it.  When it is unset (local tests) a fresh scratch folder is made so that
-    ``DataFrame.checkpoint()`` works.
+    On a cluster the operator sets that folder (shared storage) and we only
+    read it; a missing setting is an error there, never a silent fallback to
+    a machine-local folder.  In local mode (tests, bench) a fresh scratch
+    folder is made when the setting is absent.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
         current = tempfile.mkdtemp(prefix="tapestry-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)
