@@ -156,6 +156,29 @@ def primary_of(arr: Column, field: str | None = None) -> Column:
     return hit if field is None else hit[field]
 
 
+def schedule_entries(
+    days: Mapping[str, tuple[str, str, str, str]],
+    extra: Sequence[tuple[str, Column]] = (),
+    day_field: str = "day",
+    start_field: str = "start_time",
+    end_field: str = "end_time",
+) -> Column:
+    """J4 per row: ``array<struct>`` with one entry per day — ``extra`` fields,
+    the day label, and the first non-empty start / end shift (start1 unless it
+    is NULL or '', else start2; same for the end)."""
+    return F.array(
+        *[
+            F.struct(
+                *[c.alias(n) for n, c in extra],
+                F.lit(label).alias(day_field),
+                first_non_empty(s1, s2).alias(start_field),
+                first_non_empty(e1, e2).alias(end_field),
+            )
+            for label, (s1, s2, e1, e2) in days.items()
+        ]
+    )
+
+
 def unpivot_schedule(
     df: DataFrame,
     days: Mapping[str, tuple[str, str, str, str]],
@@ -164,19 +187,9 @@ def unpivot_schedule(
     start_field: str = "start_time",
     end_field: str = "end_time",
 ) -> DataFrame:
-    """Weekly schedule columns -> one row per (input row, day).
-
-    ``days`` maps a day label to its (start1, start2, end1, end2) columns; the
-    first non-empty shift wins (start1 unless it is NULL or '', else start2;
-    same for the end).  One ``explode`` of a struct array replaces one
-    aggregate per day; nest the result once with ``Nest(..., order='asc')``.
-    """
-    entries = [
-        F.struct(
-            F.lit(label).alias(day_field),
-            first_non_empty(s1, s2).alias(start_field),
-            first_non_empty(e1, e2).alias(end_field),
-        )
-        for label, (s1, s2, e1, e2) in days.items()
-    ]
-    return df.select(*keep, F.explode(F.array(*entries)).alias("__d")).select(*keep, "__d.*")
+    """J4 as rows: one row per (input row, day).  To nest the schedule per key,
+    prefer ``NestUnion(schedule_entries(...), order='asc', distinct=False)``:
+    the same sorted array, with one shuffled row per input row instead of one
+    per day."""
+    entries = schedule_entries(days, day_field=day_field, start_field=start_field, end_field=end_field)
+    return df.select(*keep, F.explode(entries).alias("__d")).select(*keep, "__d.*")

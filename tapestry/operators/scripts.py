@@ -58,8 +58,14 @@ def _with_flags(pattern: str, flags: str) -> str:
     return f"(?{flags}){pattern}" if flags else pattern
 
 
+_WS = " \t\n\r\x0b\x0c"
+
+
 def _starts(c: Column, prefix: str) -> Column:
-    return py_strip(c).startswith(prefix)
+    """``c.strip().startswith(prefix)`` for a prefix that starts with a
+    non-space: trimming the leading whitespace set is enough (no regex, no
+    scan of the rest of the line)."""
+    return F.ltrim(c, F.lit(_WS)).startswith(prefix)
 
 
 # ------------------------------------------------------------------------ M1
@@ -78,15 +84,20 @@ def split_cells(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("p
     when something is left; plain lines are kept as they are.  Cells without
     lines are dropped.  Computed within each row: no shuffle.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
+    # The line array and the cell bounds are materialised as columns first: a
+    # lambda that referenced ``split(text)`` itself would re-split the text
+    # for every element it visits.
+    staged = df.select(*keys, F.split(F.col(text_col), "\n", -1).alias("__lines"))
+    lines = F.col("__lines")
     n = F.size(lines)
     seps = F.filter(F.sequence(F.lit(0), n - 1), lambda i: _starts(F.element_at(lines, i + 1), CELL_SEPARATOR))
-    bounds = F.concat(F.array(F.lit(-1)), seps, F.array(n))
+    staged = staged.select(*keys, "__lines", F.concat(F.array(F.lit(-1)), seps, F.array(n)).alias("__bounds"))
+    bounds = F.col("__bounds")
     cells = F.transform(
         F.sequence(F.lit(0), F.size(bounds) - 2),
         lambda k: F.slice(lines, F.element_at(bounds, k + 1) + 2, F.element_at(bounds, k + 2) - F.element_at(bounds, k + 1) - 1),
     )
-    out = df.select(*keys, F.posexplode(cells).alias("cell_no", "cell_lines")).filter(F.size("cell_lines") > 0)
+    out = staged.select(*keys, F.posexplode(cells).alias("cell_no", "cell_lines")).filter(F.size("cell_lines") > 0)
 
     def kept(line):
         marker = _starts(line, MAGIC_SQL) | _starts(line, MAGIC_MD)
@@ -108,10 +119,10 @@ def split_cells(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("p
 
 
 # ------------------------------------------------------------------------ M2-M6
-def _match_row(name: str, g2):
+def _match_row(name: str, two_groups: bool):
     def row(x, i):
-        second = F.element_at(g2, i + 1) if g2 is not None else F.lit(None).cast("string")
-        return F.struct(F.lit(name).alias("pattern"), i.alias("match_no"), x.alias("g1"), second.alias("g2"))
+        second = x["g2"] if two_groups else F.lit(None).cast("string")
+        return F.struct(F.lit(name).alias("pattern"), i.alias("match_no"), x["g1"].alias("g1"), second.alias("g2"))
 
     return row
 
@@ -130,8 +141,9 @@ def extract_patterns(
     per_pattern = []
     for name, (pattern, groups, flags) in catalog.items():
         rx = _with_flags(pattern, flags)
-        arrs = [F.regexp_extract_all(text, F.lit(rx), g) for g in groups]
-        per_pattern.append(F.transform(arrs[0], _match_row(name, arrs[1] if len(arrs) > 1 else None)))
+        arrs = [F.regexp_extract_all(text, F.lit(rx), g).alias(f"g{j + 1}") for j, g in enumerate(groups)]
+        # zip first so each group's matches are extracted once, not once per element
+        per_pattern.append(F.transform(F.arrays_zip(*arrs), _match_row(name, len(arrs) > 1)))
     return df.select(*keys, F.explode(F.concat(*per_pattern)).alias("m")).select(*keys, "m.*")
 
 
