@@ -221,6 +221,13 @@ def session_totals(results: DataFrame) -> DataFrame:
     )
 
 
+def top_n(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first ``n`` rows by ``order`` (a top-k report: ``orderBy`` +
+    ``limit`` plans as a bounded top-k per partition, not a full sort).  The
+    order makes the selection deterministic."""
+    return df.orderBy(*order).limit(n)
+
+
 def sources_of(df: DataFrame, key: str = "target_field", column: str = "source_column", table: str = "source_table",
                sep: str = ", ") -> DataFrame:
     """Distinct sorted source columns and source tables per key, joined

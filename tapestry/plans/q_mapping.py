@@ -21,7 +21,7 @@ from tapestry.operators.reconcile import (KEY, classify_matches, last_per_key, o
                                           resolve, score, union_methods)
 from tapestry.operators.review import (apply_updates, close_session, confidence_summary, export_review, extract_counts,
                                        join_text, review_queue, rule_kinds, session_results, session_totals,
-                                       session_view, sources_of, standardize, store_report, to_document, to_standard,
+                                       session_view, sources_of, standardize, store_report, to_document, to_standard, top_n,
                                        with_defaults)
 from tapestry.plans.queries import T, register
 from tapestry.session import ensure_checkpoint_dir
@@ -271,9 +271,8 @@ ORDER BY similarity, source_table, source_column LIMIT 10
 def q_top_conflicts(spark, d):
     """The ten lowest-similarity conflicts (a top-k report; the limit is the
     feature).  A deterministic order replaces the reference's 'first N'."""
-    c = classified(spark, d)
-    return (c.filter(F.col("match_class") == "conflict").orderBy("similarity", "source_table", "source_column")
-            .limit(10).select("source_table", "source_column", "similarity"))
+    c = classified(spark, d).filter(F.col("match_class") == "conflict")
+    return top_n(c, 10, "similarity", "source_table", "source_column").select("source_table", "source_column", "similarity")
 
 
 @register("confidence_summary", SCORED_SQL + """
