@@ -35,10 +35,18 @@ OUTPUT_NAME_MISSING = "unknown"
 IDENTIFIER_RE = r"^[\p{L}_][\p{L}\p{N}_]*$"
 
 
+# Python's str.strip() whitespace: ASCII controls \t \n \v \f \r, the
+# separators \x1c-\x1f, space, and the Unicode spaces.
+PY_WHITESPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(x) for x in range(0x2000, 0x200B))
+                       + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """Strip leading/trailing whitespace the way Python's ``str.strip`` does for
-    ASCII whitespace (space, tab, newline, vertical tab, form feed, CR)."""
-    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace exactly as Python's ``str.strip``."""
+    return F.regexp_replace(as_col(c), f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
 
 
 def _blank(c: Column) -> Column:

@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapestry.functions.names import is_column_name, py_strip
+from tapestry.functions.names import PY_WHITESPACE_CHARS, is_column_name, py_strip
 
 # --- fixed values -----------------------------------------------------------
 CELL_SEPARATOR = "# COMMAND ----------"
@@ -58,7 +58,7 @@ def _with_flags(pattern: str, flags: str) -> str:
     return f"(?{flags}){pattern}" if flags else pattern
 
 
-_WS = " \t\n\r\x0b\x0c"
+_WS = PY_WHITESPACE_CHARS
 
 
 def _starts(c: Column, prefix: str) -> Column:

@@ -328,8 +328,11 @@ m AS (SELECT p_partkey AS id,
   CASE WHEN p_size > 35 THEN NULL ELSE p_size < 15 END AS needs_review FROM part)"""
 
 
+SQL_WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def _strip(x):
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')"
 
 
 CLEAN_SQL = f"""

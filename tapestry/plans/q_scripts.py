@@ -28,11 +28,12 @@ def q_split_lines(spark, d):
     return split_lines(T(spark, d, "documents"), keys=["doc_id"])
 
 
-_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIP = "regexp_replace({x}, '^" + _WS + "+|" + _WS + "+$', '', 'g')"
 
 
 def _starts(x: str, prefix: str) -> str:
-    return f"starts_with({_STRIP.format(x=x)}, '{prefix}')"
+    return f"starts_with({_STRIP.replace("{x}", x)}, '{prefix}')"
 
 
 @register("split_cells", f"""
@@ -46,7 +47,7 @@ k AS (SELECT doc_id, cell_no,
   CASE WHEN len(list_filter(cell, lambda x: {_starts('x', '# MAGIC %sql')})) > 0 THEN 'sql'
        WHEN len(list_filter(cell, lambda x: {_starts('x', '# MAGIC %md')})) > 0 THEN 'markdown' ELSE 'pyspark' END AS cell_type,
   list_filter(list_transform(cell, lambda x: CASE WHEN {_starts('x', '# MAGIC %sql')} OR {_starts('x', '# MAGIC %md')} THEN NULL
-       WHEN {_starts('x', '# MAGIC')} THEN nullif({_STRIP.format(x="replace(x, '# MAGIC', '')")}, '') ELSE x END),
+       WHEN {_starts('x', '# MAGIC')} THEN nullif({_STRIP.replace("{x}", "replace(x, '# MAGIC', '')")}, '') ELSE x END),
     lambda x: x IS NOT NULL) AS body
   FROM c WHERE len(cell) > 0)
 SELECT doc_id, cell_no, cell_type, array_to_string(body, chr(10)) AS text FROM k WHERE len(body) > 0
