@@ -14,7 +14,7 @@ from tapestry.functions.keys import (base_name, first_non_empty, full_name, iso_
                                      surrogate_key)
 from tapestry.operators.lookup import Lookup, attach, join_back, lookup, lookup_chain
 from tapestry.operators.nest import Nest, NestConcat, NestUnion, nest_many, primary_of, schedule_entries
-from tapestry.operators.project import bronze, const, derive, lower_columns, null_as, prefix_columns, project, trim_strings
+from tapestry.operators.project import const, derive, lower_columns, null_as, prefix_columns, project, trim_strings
 from tapestry.operators.quality import apply_rules, dq_summary, flatten_results
 from tapestry.operators.reconcile import dedupe_first, last_per_key
 from tapestry.plans.canonical import arr_text, map_text

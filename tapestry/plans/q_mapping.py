@@ -438,16 +438,6 @@ st AS (
     coalesce(target_column, ''), '', 0.7, true, 'Extracted using legacy extractor', source_line, 'legacy' FROM raw)"""
 
 
-def _standard_all(spark, d):
-    raw = _raw(spark, d)
-    parts = [to_standard(raw, m).withColumn("id", F.lit(None).cast("long")) for m in ()]
-    del parts
-    frames = []
-    for m in ("ast", "pattern_matching", "legacy"):
-        frames.append(to_standard(raw.withColumnRenamed("id", "_id"), m).withColumn("_m", F.lit(m)))
-    return frames
-
-
 @register("to_standard", "WITH " + RAW_SQL + "," + STANDARD_SQL + " SELECT * EXCLUDE (id) FROM st")
 def q_to_standard(spark, d):
     raw = _raw(spark, d)

@@ -20,8 +20,8 @@ def conform(df: DataFrame, schema: StructType, strict: bool = True) -> DataFrame
 
     ``strict``: a missing or an extra column is an error (names compared
     case-insensitively).  Not strict: missing columns become typed NULLs and
-    extra columns are dropped.  Casts use ``try_cast`` semantics only for
-    strings; other casts follow the session's ANSI mode.
+    extra columns are dropped.  Casts follow the session's ANSI mode (a value
+    that cannot be cast is an error, not a silent NULL).
     """
     have = {c.lower(): c for c in df.columns}
     want = [f.name.lower() for f in schema.fields]

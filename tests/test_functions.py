@@ -1,7 +1,6 @@
 """Column helpers: edge values from FIXTURES.md §6."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tapestry.functions.arrays import cross_apply, distinct_groups, keyed_map, merge_arrays, merge_maps, non_empty, pick
 from tapestry.functions.codes import ADDRESS_USE, EPSDT_CODES, classify, role_of, translate, yes_no

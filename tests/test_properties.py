@@ -2,8 +2,6 @@
 documented behaviour.  Each hypothesis example is a batch evaluated in one
 DataFrame."""
 
-import difflib  # noqa: F401  (model parity with the reference similarity)
-
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
