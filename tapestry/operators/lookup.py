@@ -15,8 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest lookup (rows) that is broadcast to every executor.
-BROADCAST_MAX_ROWS = 1_000_000
+# Largest lookup (rows) that is broadcast to every executor.  Lookups are
+# pruned to the key and the selected text columns first, so 100,000 rows of
+# (code, text) pairs stay in the low tens of megabytes per executor.
+BROADCAST_MAX_ROWS = 100_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -5,9 +5,11 @@ Covered satellites: address (addresses, phones, tax ids, weekly contact
 schedule, reference ids, county/link extensions, location variable), staff
 status (variables with code translations, Medicare/Medicaid identifier maps,
 primary-care role), plans (networks, status/pcp extensions, term-reason
-variable, kept for *active* contract statuses only) and languages.  The other
-satellites of the source (credentials, education, specialty, expertise,
-training, hub-level e-mail/social/extension lists) are NULL placeholders here;
+variable, kept for *active* contract statuses only), languages, and
+credentials (license qualifications, crossed with the provider's taxonomy
+codes; optionally with its NPDB list).  The other satellites of the source
+(education, specialty list, expertise, training, hub-level e-mail/social/
+extension lists) are NULL placeholders here;
 every one of them follows the same pattern (``lookup_chain`` -> ``nest_many``
 -> attach by ``dr_id``).
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapestry.functions.arrays import keyed_map, merge_arrays, merge_maps, pick, shape
+from tapestry.functions.arrays import cross_apply, keyed_map, merge_arrays, merge_maps, pick, shape
 from tapestry.functions.codes import (ADDRESS_USE, EPSDT_CODES, FLUORIDE_VARNISH_CODES, HEALTHCHECK_CODES, classify,
                                       role_of, translate, yes_no)
 from tapestry.functions.keys import first_non_empty, full_name, split_code, surrogate_key
@@ -54,6 +56,11 @@ SHAPES = {
                 "participation_code", "payer_network_name"],
     "language": ["reference_id", "language_code", "language_code_display", "language_text", "language_proficiency"],
     "id_ref": ["reference_id", "id_type", "id_value", "id_concept", "id_status", "input_field_name"],
+    "qualification": ["reference_id", "board_id", "certificate_id", "description", "issue_date", "exp_date", "issuer",
+                      "issuer_display", "jurisdiction", "license_category", "license_number", "qualification_code",
+                      "qualification_code_display", "qualification_code_system", "qualification_number",
+                      "qualification_type", "renew_date", "setting_type", "status", "taxonomy"],
+    "npdb": ["qualification_number", "qualification_type"],
 }
 # weekly schedule: day label -> column prefix in the address table
 SCHEDULE_DAYS = {"sun": "sun", "mon": "mon", "tue": "tues", "wed": "wednes", "thu": "thurs", "fri": "fri", "sat": "satur"}
@@ -236,13 +243,50 @@ def _language_satellite(t: dict[str, DataFrame]) -> DataFrame:
         language_proficiency=F.col("dr_lan__seq").cast("string")), "asc")})
 
 
-def provider_profile(t: dict[str, DataFrame], now: Column | None = None) -> DataFrame:
-    """115-column provider rows (target order), with data-quality results."""
+def _credential_satellite(t: dict[str, DataFrame]) -> DataFrame:
+    cr = lookup_chain(bronze(t["credent"], "credent"), [
+        Lookup(bronze(t["lic_arr"], "lic_arr"), "credent__sch_type", "lic_arr__cd", "inner", select=["lic_arr__txt"]),
+        Lookup(bronze(t["statelic"], "statelic"), "credent__cd", "statelic__cd", "inner", select=["statelic__txt"]),
+    ]).withColumnRenamed("credent__dr_id", KEY)
+    c = lambda n: F.col(f"credent__{n}")
+    return nest_many(cr, KEY, {"credential_qualifications": Nest(of(
+        "qualification", description=c("title"), issue_date=c("issue_dt").cast("string"),
+        exp_date=c("lic_date").cast("string"), issuer=F.col("statelic__txt"), issuer_display=F.col("statelic__cd"),
+        license_category=F.col("lic_arr__cd"), license_number=c("lic_num"),
+        qualification_code_system=F.col("lic_arr__txt"), status=c("status")), "desc", distinct=True)})
+
+
+def _taxonomy_codes(t: dict[str, DataFrame]) -> DataFrame:
+    """Taxonomy codes of providers that have a specialty row (semi join: no
+    specialty x taxonomy fan-out is materialised)."""
+    tax = bronze(t["taxonomy"], "taxonomy").withColumnRenamed("taxonomy__dr_id", KEY)
+    spec = bronze(t["dr_spec"], "dr_spec").select(F.col("dr_spec__dr_id").alias(KEY))
+    tax = tax.join(spec, KEY, "left_semi")
+    return nest_many(tax, KEY, {"taxonomy_codes": Nest(F.col("taxonomy__cd"), "asc", distinct=True)})
+
+
+def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_npdb: bool = False) -> DataFrame:
+    """115-column provider rows (target order), with data-quality results.
+
+    ``apply_npdb`` reproduces the source's last qualification step: every
+    qualification repeated for each NPDB entry of the provider, its number and
+    type overwritten (and the list emptied when the provider has none)."""
     hub = bronze(t["drname"], "drname").withColumnRenamed("drname__dr_id", KEY)
     spine = attach(hub, _address_satellite(t), KEY, "inner")
     spine = attach(spine, _status_satellite(t), KEY, "inner")
     spine = attach(spine, _plan_satellite(t), KEY, "inner")
     spine = attach(spine, _language_satellite(t), KEY, "left")
+    spine = attach(spine, _credential_satellite(t), KEY, "left")
+    spine = attach(spine, _taxonomy_codes(t), KEY, "left")
+    quals = cross_apply("taxonomy_codes", merge_arrays("credential_qualifications"),
+                        {"qualification_code": lambda tc, q: tc, "taxonomy": lambda tc, q: tc})
+    if apply_npdb:
+        npdb = F.array(of("npdb", qualification_number=F.col("drname__npdb"), qualification_type=F.col("drname__npdbdesc")))
+        quals = cross_apply(npdb, quals, {
+            "qualification_number": lambda n, q: n["qualification_number"],
+            "qualification_type": lambda n, q: n["qualification_type"],
+            "taxonomy": lambda n, q: q["qualification_code"]}, keep_when_empty=False)
+    spine = spine.withColumn("qualifications", quals)
     h = lambda n: F.col(f"drname__{n}")
     primary = pick("other_addresses", lambda x: x["address_sch_type"] == PRIMARY_SCH_TYPE)
     birth = h("birthdate").try_cast("date")
@@ -275,6 +319,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None) -> Data
         "language_language_code": F.get(F.col("other_languages"), F.lit(0))["language_code"],
         "other_languages": F.col("other_languages"),
         "networks": F.col("networks"),
+        "qualifications": F.col("qualifications"),
         "reference_ids": F.col("address_reference_ids"),
         "variable_fields": merge_arrays("status_active_variable", "status_staff_variable", "status_udf1_variable",
                                         "status_udf21_variable", "status_udf22_variable", "drplan1_u3ins_variable",

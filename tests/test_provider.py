@@ -50,13 +50,21 @@ def tables(spark):
         "contract_status": table(spark, ["cd", "txt", "link"], [("A", "ACTIVE", "x"), ("T", "Terminated", "y")]),
         "dr_lan": table(spark, ["dr_id", "lan_cd", "seq"], [("1", "SPA", "2"), ("1", "ENG", "1")]),
         "lan_tab": table(spark, ["cd", "txt"], [("ENG", "English"), ("SPA", "Spanish")]),
+        "credent": table(spark, ["dr_id", "cd", "sch_type", "title", "issue_dt", "lic_date", "lic_num", "status"],
+                         [("1", "MD", "LIC", "Physician", "2000-01-01", "2030-01-01", "L-1", "A"),
+                          ("1", "VA", "LIC", "Physician", "2001-01-01", None, "L-2", "A"),
+                          ("1", "XX", "LIC", "Unknown state", None, None, "L-3", "A")]),
+        "lic_arr": table(spark, ["cd", "txt", "lic_udf1"], [("LIC", "State license", None)]),
+        "statelic": table(spark, ["cd", "txt"], [("MD", "Maryland board"), ("VA", "Virginia board")]),
+        "taxonomy": table(spark, ["dr_id", "cd"], [("1", "207Q"), ("1", "208D"), ("2", "111")]),
+        "dr_spec": table(spark, ["dr_id", "specialty"], [("1", "FAM")]),
         "drname": table(spark, ["dr_id", "nationalid", "dr_no_ext", "dr_fname", "dr_iname", "dr_lname", "drsal", "drsuffix",
                                 "email", "facebook", "gender", "ud12", "ethnic", "marital", "citisen", "ss_no",
-                                "birthdate", "birthplace"],
+                                "birthdate", "birthplace", "npdb", "npdbdesc"],
                         [("1", "1234567890", "X1", "Ann", None, "Lee", "Dr", None, "a@x", None, "F", None, None, "M", "US",
-                          "111", "1970-05-06", "Here"),
+                          "111", "1970-05-06", "Here", "N-9", "report"),
                          ("2", "123", "X2", "Bo", "Q", "Kim", None, None, None, None, "X", None, None, None, None,
-                          None, "1890-01-01", None)]),
+                          None, "1890-01-01", None, None, None)]),
     }
     return t
 
@@ -85,3 +93,13 @@ def test_provider_profile(spark, tables):
     assert descriptions["EPSDT"] == "MD Medicaid EPSDT Certified" and descriptions["DC Healthcheck"] == "Not Certified"
     assert r.alternate_name_name == "Ann Lee" and r.birth_year_of_birth == 1970 and r.source_authoritative_ind is True
     assert [x.rule for x in r.data_quality_result] == ["source_id must be service_provider_id"]
+
+
+def test_provider_qualifications(spark, tables):
+    r = provider_profile(tables).first()
+    # two licenses with a known state board x two taxonomy codes (the unknown board drops out: inner lookup)
+    got = sorted((q.license_number, q.qualification_code, q.taxonomy) for q in r.qualifications)
+    assert got == [("L-1", "207Q", "207Q"), ("L-1", "208D", "208D"), ("L-2", "207Q", "207Q"), ("L-2", "208D", "208D")]
+    r2 = provider_profile(tables, apply_npdb=True).first()
+    assert {(q.qualification_number, q.qualification_type) for q in r2.qualifications} == {("N-9", "report")}
+    assert len(r2.qualifications) == 4 and {q.taxonomy for q in r2.qualifications} == {"207Q", "208D"}
