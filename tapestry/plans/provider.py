@@ -5,10 +5,11 @@ Covered satellites: address (addresses, phones, tax ids, weekly contact
 schedule, reference ids, county/link extensions, location variable), staff
 status (variables with code translations, Medicare/Medicaid identifier maps,
 primary-care role), plans (networks, status/pcp extensions, term-reason
-variable, kept for *active* contract statuses only), languages, and
-credentials (license qualifications, crossed with the provider's taxonomy
-codes; optionally with its NPDB list).  The other satellites of the source
-(education, specialty list, expertise, training, hub-level e-mail/social/
+variable, kept for *active* contract statuses only), languages,
+credentials (license qualifications), specialties (specialty, taxonomy and
+board-certification entries) and expertise; all qualifications are crossed
+with the provider's taxonomy codes (optionally with its NPDB list).  The other
+satellites of the source (education, training, hub-level e-mail/social/
 extension lists) are NULL placeholders here;
 every one of them follows the same pattern (``lookup_chain`` -> ``nest_many``
 -> attach by ``dr_id``).
@@ -61,6 +62,8 @@ SHAPES = {
                       "qualification_code_display", "qualification_code_system", "qualification_number",
                       "qualification_type", "renew_date", "setting_type", "status", "taxonomy"],
     "npdb": ["qualification_number", "qualification_type"],
+    "specialty": ["reference_id", "id", "type", "type_desc", "code_value", "specialty_description", "vendor_name",
+                  "primary_ind"],
 }
 # weekly schedule: day label -> column prefix in the address table
 SCHEDULE_DAYS = {"sun": "sun", "mon": "mon", "tue": "tues", "wed": "wednes", "thu": "thurs", "fri": "fri", "sat": "satur"}
@@ -256,13 +259,47 @@ def _credential_satellite(t: dict[str, DataFrame]) -> DataFrame:
         qualification_code_system=F.col("lic_arr__txt"), status=c("status")), "desc", distinct=True)})
 
 
-def _taxonomy_codes(t: dict[str, DataFrame]) -> DataFrame:
-    """Taxonomy codes of providers that have a specialty row (semi join: no
-    specialty x taxonomy fan-out is materialised)."""
-    tax = bronze(t["taxonomy"], "taxonomy").withColumnRenamed("taxonomy__dr_id", KEY)
-    spec = bronze(t["dr_spec"], "dr_spec").select(F.col("dr_spec__dr_id").alias(KEY))
-    tax = tax.join(spec, KEY, "left_semi")
-    return nest_many(tax, KEY, {"taxonomy_codes": Nest(F.col("taxonomy__cd"), "asc", distinct=True)})
+def _specialty_satellite(t: dict[str, DataFrame]) -> DataFrame:
+    sp = lookup_chain(bronze(t["dr_spec"], "dr_spec"), [
+        Lookup(bronze(t["spec_tab"], "spec_tab"), "dr_spec__specialty", "spec_tab__cd", "left", select=["spec_tab__txt"]),
+    ]).withColumnRenamed("dr_spec__dr_id", KEY)
+    c = lambda n: F.col(f"dr_spec__{n}")
+    return nest_many(sp, KEY, {
+        "specialty_list": Nest(of("specialty", reference_id=F.col(KEY), type="Specialty", code_value=F.col("spec_tab__cd"),
+                                  specialty_description=F.col("spec_tab__txt"), primary_ind=c("primspec")), "desc", distinct=True),
+        "board_qualifications": Nest(of("qualification", description="Board Certified",
+                                        issue_date=c("year_cert").cast("string"), renew_date=c("year_recert").cast("string"),
+                                        status=c("bd_cert").cast("string")), "desc", distinct=True),
+    })
+
+
+def _taxonomy_satellite(t: dict[str, DataFrame]) -> DataFrame:
+    """Taxonomy entries of providers that have a specialty row.  The provider
+    set is made distinct first, so no specialty x taxonomy fan-out is built; a
+    provider with specialties but no taxonomy row keeps one all-NULL taxonomy
+    entry, as the left join of the source does."""
+    providers = bronze(t["dr_spec"], "dr_spec").select(F.col("dr_spec__dr_id").alias(KEY)).distinct()
+    tax = bronze(t["taxonomy"], "taxonomy").select(F.col("taxonomy__dr_id").alias("__tax_dr"), "taxonomy__cd")
+    j = providers.join(tax, providers[KEY] == tax["__tax_dr"], "left")
+    j = lookup_chain(j, [Lookup(bronze(t["taxo_arr"], "taxo_arr"), "taxonomy__cd", "taxo_arr__cd", "left",
+                                select=["taxo_arr__descript"], distinct=True)])
+    return nest_many(j, KEY, {
+        "taxonomy_codes": Nest(F.col("taxonomy__cd"), "asc", distinct=True),
+        "taxonomy_spec": Nest(of("specialty", reference_id=F.col(KEY), type="Taxonomy", code_value=F.col("taxonomy__cd"),
+                                 specialty_description=F.col("taxo_arr__descript")), "desc", distinct=True),
+    })
+
+
+def _expertise_satellite(t: dict[str, DataFrame]) -> DataFrame:
+    ex = lookup_chain(bronze(t["dr_expert"], "dr_expert"), [
+        Lookup(bronze(t["exp_tab"], "exp_tab"), "dr_expert__expertise", "exp_tab__cd", "left", select=["exp_tab__txt"]),
+    ]).withColumnRenamed("dr_expert__dr_id", KEY)
+    code, text = F.col("dr_expert__expertise"), F.col("exp_tab__txt")
+    return nest_many(ex, KEY, {
+        "expertise_variable": Nest(of("variable", code_type="Expertise", code_value=code, code_description=text), "desc"),
+        "expertise_spec": Nest(of("specialty", reference_id=F.col(KEY), type="Expertise", code_value=code,
+                                  specialty_description=text), "desc", distinct=True),
+    })
 
 
 def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_npdb: bool = False) -> DataFrame:
@@ -277,8 +314,10 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     spine = attach(spine, _plan_satellite(t), KEY, "inner")
     spine = attach(spine, _language_satellite(t), KEY, "left")
     spine = attach(spine, _credential_satellite(t), KEY, "left")
-    spine = attach(spine, _taxonomy_codes(t), KEY, "left")
-    quals = cross_apply("taxonomy_codes", merge_arrays("credential_qualifications"),
+    spine = attach(spine, _specialty_satellite(t), KEY, "left")
+    spine = attach(spine, _taxonomy_satellite(t), KEY, "left")
+    spine = attach(spine, _expertise_satellite(t), KEY, "left")
+    quals = cross_apply("taxonomy_codes", merge_arrays("credential_qualifications", "board_qualifications"),
                         {"qualification_code": lambda tc, q: tc, "taxonomy": lambda tc, q: tc})
     if apply_npdb:
         npdb = F.array(of("npdb", qualification_number=F.col("drname__npdb"), qualification_type=F.col("drname__npdbdesc")))
@@ -320,10 +359,11 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         "other_languages": F.col("other_languages"),
         "networks": F.col("networks"),
         "qualifications": F.col("qualifications"),
+        "specialty": merge_arrays("specialty_list", "taxonomy_spec", "expertise_spec"),
         "reference_ids": F.col("address_reference_ids"),
         "variable_fields": merge_arrays("status_active_variable", "status_staff_variable", "status_udf1_variable",
                                         "status_udf21_variable", "status_udf22_variable", "drplan1_u3ins_variable",
-                                        "location_variable"),
+                                        "location_variable", "expertise_variable"),
         "source_name": F.lit(SOURCE_NAME),
         "source_id": F.col(KEY),
         "identifiers": merge_maps("status_medicare_identifiers", "status_medicaid_identifiers"),

@@ -57,7 +57,12 @@ def tables(spark):
         "lic_arr": table(spark, ["cd", "txt", "lic_udf1"], [("LIC", "State license", None)]),
         "statelic": table(spark, ["cd", "txt"], [("MD", "Maryland board"), ("VA", "Virginia board")]),
         "taxonomy": table(spark, ["dr_id", "cd"], [("1", "207Q"), ("1", "208D"), ("2", "111")]),
-        "dr_spec": table(spark, ["dr_id", "specialty"], [("1", "FAM")]),
+        "dr_spec": table(spark, ["dr_id", "specialty", "primspec", "bd_cert", "year_cert", "year_recert"],
+                         [("1", "FAM", "Y", "1", "2005", "2015"), ("1", "PED", "N", None, None, None)]),
+        "spec_tab": table(spark, ["cd", "txt"], [("FAM", "Family medicine"), ("PED", "Pediatrics")]),
+        "taxo_arr": table(spark, ["cd", "descript"], [("207Q", "Family"), ("207Q", "Family"), ("208D", "General")]),
+        "dr_expert": table(spark, ["dr_id", "expertise"], [("1", "E1"), ("2", "E2")]),
+        "exp_tab": table(spark, ["cd", "txt"], [("E1", "Diabetes")]),
         "drname": table(spark, ["dr_id", "nationalid", "dr_no_ext", "dr_fname", "dr_iname", "dr_lname", "drsal", "drsuffix",
                                 "email", "facebook", "gender", "ud12", "ethnic", "marital", "citisen", "ss_no",
                                 "birthdate", "birthplace", "npdb", "npdbdesc"],
@@ -98,8 +103,19 @@ def test_provider_profile(spark, tables):
 def test_provider_qualifications(spark, tables):
     r = provider_profile(tables).first()
     # two licenses with a known state board x two taxonomy codes (the unknown board drops out: inner lookup)
-    got = sorted((q.license_number, q.qualification_code, q.taxonomy) for q in r.qualifications)
+    got = sorted((q.license_number, q.qualification_code, q.taxonomy) for q in r.qualifications if q.license_number)
     assert got == [("L-1", "207Q", "207Q"), ("L-1", "208D", "208D"), ("L-2", "207Q", "207Q"), ("L-2", "208D", "208D")]
+    # two distinct board entries (one certified, one all-NULL but for the description) x two codes
+    boards = [q for q in r.qualifications if q.description == "Board Certified"]
+    assert len(boards) == 4 and {(q.issue_date, q.renew_date, q.status) for q in boards} == {("2005", "2015", "1"), (None, None, None)}
     r2 = provider_profile(tables, apply_npdb=True).first()
     assert {(q.qualification_number, q.qualification_type) for q in r2.qualifications} == {("N-9", "report")}
-    assert len(r2.qualifications) == 4 and {q.taxonomy for q in r2.qualifications} == {"207Q", "208D"}
+    assert len(r2.qualifications) == 8 and {q.taxonomy for q in r2.qualifications} == {"207Q", "208D"}
+
+
+def test_provider_specialty(spark, tables):
+    r = provider_profile(tables).first()
+    got = sorted((s.type, s.code_value, s.specialty_description) for s in r.specialty)
+    assert got == [("Expertise", "E1", "Diabetes"), ("Specialty", "FAM", "Family medicine"), ("Specialty", "PED", "Pediatrics"),
+                   ("Taxonomy", "207Q", "Family"), ("Taxonomy", "208D", "General")]
+    assert [v.code_description for v in r.variable_fields if v.code_type == "Expertise"] == ["Diabetes"]
