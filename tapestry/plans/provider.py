@@ -9,8 +9,10 @@ variable, kept for *active* contract statuses only), languages,
 credentials (license qualifications), specialties (specialty, taxonomy and
 board-certification entries) and expertise; all qualifications are crossed
 with the provider's taxonomy codes (optionally with its NPDB list).  The other
-satellites of the source (education, training, hub-level e-mail/social/
-extension lists) are NULL placeholders here;
+satellites of the source (education, training, hub-level extension lists)
+are NULL placeholders here; hub-level e-mails, social profiles, identifiers
+and accept-new-patient codes come straight from the hub row (one row per
+provider, so no aggregation is needed);
 every one of them follows the same pattern (``lookup_chain`` -> ``nest_many``
 -> attach by ``dr_id``).
 
@@ -64,7 +66,21 @@ SHAPES = {
     "npdb": ["qualification_number", "qualification_type"],
     "specialty": ["reference_id", "id", "type", "type_desc", "code_value", "specialty_description", "vendor_name",
                   "primary_ind"],
+    "email": ["reference_id", "email_type", "email", "confidential_status"],
+    "social": ["reference_id", "type", "url", "active_profile"],
 }
+# hub identifiers: identifier type -> (hub column, identifier source); all with
+# NULL dates except the visa, whose expiry date is kept
+HUB_IDENTIFIERS = {
+    "Visa": ("visa", "DrName"),
+    "UPIN": ("upin", "DrName"),
+    "CAQH": ("nudf1", "DrName"),
+    "efmg number": ("efmg_no", "DrName"),
+    "NPI": ("nationalid", "NPI"),
+    "Drname_Medicare": ("medicare", "drname"),
+    "Drname_Medicaid": ("medicaid", "drname"),
+}
+ACCEPTING = ["Accepting New Patients", "Not Accepting New Patients"]
 # weekly schedule: day label -> column prefix in the address table
 SCHEDULE_DAYS = {"sun": "sun", "mon": "mon", "tue": "tues", "wed": "wednes", "thu": "thurs", "fri": "fri", "sat": "satur"}
 TARGET_COLUMNS = [
@@ -309,6 +325,8 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     qualification repeated for each NPDB entry of the provider, its number and
     type overwritten (and the list emptied when the provider has none)."""
     hub = bronze(t["drname"], "drname").withColumnRenamed("drname__dr_id", KEY)
+    hub = lookup_chain(hub, [Lookup(bronze(t["u3_tab"], "u3_tab"), "drname__ud3", "u3_tab__cd", "left",
+                                    select=["u3_tab__txt"])])
     spine = attach(hub, _address_satellite(t), KEY, "inner")
     spine = attach(spine, _status_satellite(t), KEY, "inner")
     spine = attach(spine, _plan_satellite(t), KEY, "inner")
@@ -317,7 +335,10 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     spine = attach(spine, _specialty_satellite(t), KEY, "left")
     spine = attach(spine, _taxonomy_satellite(t), KEY, "left")
     spine = attach(spine, _expertise_satellite(t), KEY, "left")
-    quals = cross_apply("taxonomy_codes", merge_arrays("credential_qualifications", "board_qualifications"),
+    cultural = F.array(of("qualification", description="Cultural Competency Training", qualification_code_display="ud8",
+                          qualification_number=F.col("drname__npdb"), qualification_type=F.col("drname__npdbdesc"),
+                          status=F.col("drname__ud8")))
+    quals = cross_apply("taxonomy_codes", merge_arrays("credential_qualifications", "board_qualifications", cultural),
                         {"qualification_code": lambda tc, q: tc, "taxonomy": lambda tc, q: tc})
     if apply_npdb:
         npdb = F.array(of("npdb", qualification_number=F.col("drname__npdb"), qualification_type=F.col("drname__npdbdesc")))
@@ -327,6 +348,14 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
             "taxonomy": lambda n, q: q["qualification_code"]}, keep_when_empty=False)
     spine = spine.withColumn("qualifications", quals)
     h = lambda n: F.col(f"drname__{n}")
+    hub_ids = [keyed_map(F.array(of("identifier", identifier_type=kind, identifier=h(column), identifier_source=source,
+                                    exp_date=h("expdate").cast("string") if kind == "Visa" else None)), "identifier_type")
+               for kind, (column, source) in HUB_IDENTIFIERS.items()]
+    emails = F.sort_array(F.array(of("email", email_type="URL", email=h("email")),
+                                  of("email", email_type="App_Module", email=h("appmodule_email"))))
+    socials = F.sort_array(F.array(of("social", type="Facebook", url=h("facebook")),
+                                   of("social", type="Twitter", url=h("twitter"))))
+    accept_txt = F.col("u3_tab__txt")
     primary = pick("other_addresses", lambda x: x["address_sch_type"] == PRIMARY_SCH_TYPE)
     birth = h("birthdate").try_cast("date")
     filled = {
@@ -344,6 +373,10 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         "primary_phone_number": pick("primary_phone_array", lambda x: x["reference_id"] == PRIMARY_SCH_TYPE, "primary_phone"),
         "other_phones": F.col("other_phones"),
         "email_email": h("email"),
+        "other_emails": emails,
+        "other_social_profiles": socials,
+        "accept_new_patient": F.when(accept_txt.isin(ACCEPTING), accept_txt),
+        "accept_new_patient_from_network": F.when(~accept_txt.isin(ACCEPTING), accept_txt),
         "general_contact_details": F.col("general_contact_details"),
         "social_profile_social_profile_type": F.lit("Facebook"),
         "social_profile_profile_url": h("facebook"),
@@ -366,7 +399,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
                                         "location_variable", "expertise_variable"),
         "source_name": F.lit(SOURCE_NAME),
         "source_id": F.col(KEY),
-        "identifiers": merge_maps("status_medicare_identifiers", "status_medicaid_identifiers"),
+        "identifiers": merge_maps(*hub_ids[:5], "status_medicare_identifiers", "status_medicaid_identifiers", *hub_ids[5:]),
         "extension_source_values": merge_arrays("address_county_extension", "address_link_extension",
                                                 "status_rec_date_extension", "status_rea_date_extension",
                                                 "status_l_secfile_extension", "drplan1_status_extension",

@@ -65,11 +65,15 @@ def tables(spark):
         "exp_tab": table(spark, ["cd", "txt"], [("E1", "Diabetes")]),
         "drname": table(spark, ["dr_id", "nationalid", "dr_no_ext", "dr_fname", "dr_iname", "dr_lname", "drsal", "drsuffix",
                                 "email", "facebook", "gender", "ud12", "ethnic", "marital", "citisen", "ss_no",
-                                "birthdate", "birthplace", "npdb", "npdbdesc"],
+                                "birthdate", "birthplace", "npdb", "npdbdesc", "medicare", "medicaid", "visa", "expdate",
+                                "upin", "nudf1", "efmg_no", "appmodule_email", "twitter", "ud3", "ud8"],
                         [("1", "1234567890", "X1", "Ann", None, "Lee", "Dr", None, "a@x", None, "F", None, None, "M", "US",
-                          "111", "1970-05-06", "Here", "N-9", "report"),
+                          "111", "1970-05-06", "Here", "N-9", "report", "DM1", None, "V1", "2030-01-01", "U1", "CAQ",
+                          None, "app@x", "@ann", "AC", "Y"),
                          ("2", "123", "X2", "Bo", "Q", "Kim", None, None, None, None, "X", None, None, None, None,
-                          None, "1890-01-01", None, None, None)]),
+                          None, "1890-01-01", None, None, None, None, None, None, None, None, None, None, None, None,
+                          "NW", None)]),
+        "u3_tab": table(spark, ["cd", "txt"], [("AC", "Accepting New Patients"), ("NW", "Network only")]),
     }
     return t
 
@@ -90,7 +94,10 @@ def test_provider_profile(spark, tables):
     starts = {(c.available_days_of_week, c.available_start_time) for c in r.general_contact_details}
     assert ("sun", "08:00") in starts and ("sun", "09:00") in starts  # empty first shift falls back to the second
     # a status row without a Medicaid number still yields an identifier struct (fields NULL), as collected
-    assert sorted(r.identifiers) == ["Stfstatu_Medicaid_1", "Stfstatu_Medicaid_2", "Stfstatu_Medicare_1", "Stfstatu_Medicare_2"]
+    assert sorted(k for k in r.identifiers if k.startswith("Stfstatu")) == [
+        "Stfstatu_Medicaid_1", "Stfstatu_Medicaid_2", "Stfstatu_Medicare_1", "Stfstatu_Medicare_2"]
+    assert sorted(k for k in r.identifiers if not k.startswith("Stfstatu")) == [
+        "CAQH", "Drname_Medicaid", "Drname_Medicare", "NPI", "UPIN", "Visa", "efmg number"]
     assert (r.pcp_ind, r.service_provider_role) == (True, "PCP")
     assert sorted(n.plan_id for n in r.networks) == ["P1", "P2"]
     assert [l.language_code for l in r.other_languages] == ["ENG", "SPA"] and r.language_language_code == "ENG"
@@ -110,7 +117,7 @@ def test_provider_qualifications(spark, tables):
     assert len(boards) == 4 and {(q.issue_date, q.renew_date, q.status) for q in boards} == {("2005", "2015", "1"), (None, None, None)}
     r2 = provider_profile(tables, apply_npdb=True).first()
     assert {(q.qualification_number, q.qualification_type) for q in r2.qualifications} == {("N-9", "report")}
-    assert len(r2.qualifications) == 8 and {q.taxonomy for q in r2.qualifications} == {"207Q", "208D"}
+    assert len(r2.qualifications) == 10 and {q.taxonomy for q in r2.qualifications} == {"207Q", "208D"}
 
 
 def test_provider_specialty(spark, tables):
@@ -119,3 +126,16 @@ def test_provider_specialty(spark, tables):
     assert got == [("Expertise", "E1", "Diabetes"), ("Specialty", "FAM", "Family medicine"), ("Specialty", "PED", "Pediatrics"),
                    ("Taxonomy", "207Q", "Family"), ("Taxonomy", "208D", "General")]
     assert [v.code_description for v in r.variable_fields if v.code_type == "Expertise"] == ["Diabetes"]
+
+
+def test_provider_hub_lists(spark, tables):
+    r = provider_profile(tables).first()
+    assert [(e.email_type, e.email) for e in r.other_emails] == [("App_Module", "app@x"), ("URL", "a@x")]
+    assert [(s.type, s.url) for s in r.other_social_profiles] == [("Facebook", None), ("Twitter", "@ann")]
+    assert (r.accept_new_patient, r.accept_new_patient_from_network) == ("Accepting New Patients", None)
+    ids = r.identifiers
+    assert ids["Visa"].identifier == "V1" and ids["Visa"].exp_date == "2030-01-01" and ids["Visa"].eff_date is None
+    assert ids["NPI"].identifier_source == "NPI" and ids["CAQH"].identifier == "CAQ"
+    assert ids["Drname_Medicare"].identifier == "DM1" and ids["Drname_Medicaid"].identifier is None
+    cultural = [q for q in r.qualifications if q.description == "Cultural Competency Training"]
+    assert {(q.qualification_number, q.status, q.taxonomy) for q in cultural} == {("N-9", "Y", "207Q"), ("N-9", "Y", "208D")}
