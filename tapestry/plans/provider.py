@@ -9,8 +9,8 @@ variable, kept for *active* contract statuses only), languages,
 credentials (license qualifications), specialties (specialty, taxonomy and
 board-certification entries) and expertise; all qualifications are crossed
 with the provider's taxonomy codes (optionally with its NPDB list).  The other
-satellites of the source (education, training, hub-level extension lists)
-are NULL placeholders here; hub-level e-mails, social profiles, identifiers
+satellites of the source (education, hub-level extension lists) are NULL
+placeholders here; training yields its identifier map and variables; hub-level e-mails, social profiles, identifiers
 and accept-new-patient codes come straight from the hub row (one row per
 provider, so no aggregation is needed);
 every one of them follows the same pattern (``lookup_chain`` -> ``nest_many``
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tapestry.functions.arrays import cross_apply, keyed_map, merge_arrays, merge_maps, pick, shape
 from tapestry.functions.codes import (ADDRESS_USE, EPSDT_CODES, FLUORIDE_VARNISH_CODES, HEALTHCHECK_CODES, classify,
                                       role_of, translate, yes_no)
-from tapestry.functions.keys import first_non_empty, full_name, split_code, surrogate_key
+from tapestry.functions.keys import first_non_empty, full_name, iso_ts, split_code, surrogate_key
 from tapestry.operators.lookup import Lookup, attach, lookup_chain
 from tapestry.operators.nest import Nest, NestUnion, nest_many
 from tapestry.operators.project import bronze
@@ -318,6 +318,30 @@ def _expertise_satellite(t: dict[str, DataFrame]) -> DataFrame:
     })
 
 
+def _training_satellite(t: dict[str, DataFrame]) -> DataFrame:
+    tr = lookup_chain(bronze(t["train"], "train"), [
+        Lookup(bronze(t["hospital"], "hospital"), "train__cd", "hospital__cd", "left", select=["hospital__txt"]),
+        Lookup(bronze(t["apos_tab"], "apos_tab"), "train__position", "apos_tab__cd", "left", select=["apos_tab__txt"]),
+        Lookup(bronze(t["affi_arr"], "affi_arr"), "train__sch_type", "affi_arr__cd", "left", select=["affi_arr__txt"]),
+    ]).withColumnRenamed("train__dr_id", KEY)
+    c = lambda n: F.col(f"train__{n}")
+    ref = surrogate_key(c("position"), c("cd"), null=None)
+    agg = nest_many(tr, KEY, {
+        "train_identifier_list": Nest(of(
+            "identifier", reference_id=ref, identifier_type="Training", identifier=c("position"),
+            identifier_source="Provider_Train", eff_date=iso_ts(c("fdate").try_cast("timestamp")),
+            exp_date=iso_ts(c("tdate").try_cast("timestamp"))), "desc"),
+        "apos_variable": Nest(of("variable", reference_id=ref, code_type="Training Position", code_value=c("position"),
+                                 code_description=F.col("apos_tab__txt")), "desc"),
+        "hospital_variable": Nest(of("variable", reference_id=ref, code_type="Place of Training",
+                                     code_value=F.col("hospital__cd"), code_description=F.col("hospital__txt")), "desc"),
+        "affi_arr_variable": Nest(of("variable", reference_id=ref, code_type="Program Type",
+                                     code_description=F.col("affi_arr__txt")), "desc"),
+    })
+    return agg.withColumn("train_identifiers", keyed_map("train_identifier_list", "identifier_type")).drop(
+        "train_identifier_list")
+
+
 def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_npdb: bool = False) -> DataFrame:
     """115-column provider rows (target order), with data-quality results.
 
@@ -335,6 +359,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     spine = attach(spine, _specialty_satellite(t), KEY, "left")
     spine = attach(spine, _taxonomy_satellite(t), KEY, "left")
     spine = attach(spine, _expertise_satellite(t), KEY, "left")
+    spine = attach(spine, _training_satellite(t), KEY, "left")
     cultural = F.array(of("qualification", description="Cultural Competency Training", qualification_code_display="ud8",
                           qualification_number=F.col("drname__npdb"), qualification_type=F.col("drname__npdbdesc"),
                           status=F.col("drname__ud8")))
@@ -396,10 +421,12 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         "reference_ids": F.col("address_reference_ids"),
         "variable_fields": merge_arrays("status_active_variable", "status_staff_variable", "status_udf1_variable",
                                         "status_udf21_variable", "status_udf22_variable", "drplan1_u3ins_variable",
-                                        "location_variable", "expertise_variable"),
+                                        "location_variable", "expertise_variable", "apos_variable",
+                                        "hospital_variable", "affi_arr_variable"),
         "source_name": F.lit(SOURCE_NAME),
         "source_id": F.col(KEY),
-        "identifiers": merge_maps(*hub_ids[:5], "status_medicare_identifiers", "status_medicaid_identifiers", *hub_ids[5:]),
+        "identifiers": merge_maps(*hub_ids[:5], "status_medicare_identifiers", "status_medicaid_identifiers", *hub_ids[5:],
+                                  "train_identifiers"),
         "extension_source_values": merge_arrays("address_county_extension", "address_link_extension",
                                                 "status_rec_date_extension", "status_rea_date_extension",
                                                 "status_l_secfile_extension", "drplan1_status_extension",

@@ -74,14 +74,24 @@ def tables(spark):
                           None, "1890-01-01", None, None, None, None, None, None, None, None, None, None, None, None,
                           "NW", None)]),
         "u3_tab": table(spark, ["cd", "txt"], [("AC", "Accepting New Patients"), ("NW", "Network only")]),
+        "train": table(spark, ["dr_id", "cd", "position", "sch_type", "fdate", "tdate"],
+                       [("1", "H1", "RES", "AF", "2000-07-01", "2003-06-30"), ("1", "H2", "FEL", None, None, None)]),
+        "hospital": table(spark, ["cd", "txt"], [("H1", "General Hospital")]),
+        "apos_tab": table(spark, ["cd", "txt"], [("RES", "Residency"), ("FEL", "Fellowship")]),
+        "affi_arr": table(spark, ["cd", "txt"], [("AF", "Affiliated")]),
     }
     return t
 
 
-def test_provider_profile(spark, tables):
+@pytest.fixture(scope="module")
+def profile_rows(tables):
     out = provider_profile(tables, now=F.lit("2026-01-01 00:00:00").cast("timestamp"))
     assert out.columns == TARGET_COLUMNS and len(TARGET_COLUMNS) == 115
-    rows = out.collect()
+    return out.collect()
+
+
+def test_provider_profile(profile_rows):
+    rows = profile_rows
     # provider 2 has no active plan status -> no row; provider 1 keeps its active status only
     assert [r.source_id for r in rows] == ["1"]
     r = rows[0]
@@ -96,7 +106,7 @@ def test_provider_profile(spark, tables):
     # a status row without a Medicaid number still yields an identifier struct (fields NULL), as collected
     assert sorted(k for k in r.identifiers if k.startswith("Stfstatu")) == [
         "Stfstatu_Medicaid_1", "Stfstatu_Medicaid_2", "Stfstatu_Medicare_1", "Stfstatu_Medicare_2"]
-    assert sorted(k for k in r.identifiers if not k.startswith("Stfstatu")) == [
+    assert sorted(k for k in r.identifiers if not k.startswith(("Stfstatu", "Training"))) == [
         "CAQH", "Drname_Medicaid", "Drname_Medicare", "NPI", "UPIN", "Visa", "efmg number"]
     assert (r.pcp_ind, r.service_provider_role) == (True, "PCP")
     assert sorted(n.plan_id for n in r.networks) == ["P1", "P2"]
@@ -107,8 +117,8 @@ def test_provider_profile(spark, tables):
     assert [x.rule for x in r.data_quality_result] == ["source_id must be service_provider_id"]
 
 
-def test_provider_qualifications(spark, tables):
-    r = provider_profile(tables).first()
+def test_provider_qualifications(spark, tables, profile_rows):
+    r = profile_rows[0]
     # two licenses with a known state board x two taxonomy codes (the unknown board drops out: inner lookup)
     got = sorted((q.license_number, q.qualification_code, q.taxonomy) for q in r.qualifications if q.license_number)
     assert got == [("L-1", "207Q", "207Q"), ("L-1", "208D", "208D"), ("L-2", "207Q", "207Q"), ("L-2", "208D", "208D")]
@@ -120,16 +130,16 @@ def test_provider_qualifications(spark, tables):
     assert len(r2.qualifications) == 10 and {q.taxonomy for q in r2.qualifications} == {"207Q", "208D"}
 
 
-def test_provider_specialty(spark, tables):
-    r = provider_profile(tables).first()
+def test_provider_specialty(spark, tables, profile_rows):
+    r = profile_rows[0]
     got = sorted((s.type, s.code_value, s.specialty_description) for s in r.specialty)
     assert got == [("Expertise", "E1", "Diabetes"), ("Specialty", "FAM", "Family medicine"), ("Specialty", "PED", "Pediatrics"),
                    ("Taxonomy", "207Q", "Family"), ("Taxonomy", "208D", "General")]
     assert [v.code_description for v in r.variable_fields if v.code_type == "Expertise"] == ["Diabetes"]
 
 
-def test_provider_hub_lists(spark, tables):
-    r = provider_profile(tables).first()
+def test_provider_hub_lists(spark, tables, profile_rows):
+    r = profile_rows[0]
     assert [(e.email_type, e.email) for e in r.other_emails] == [("App_Module", "app@x"), ("URL", "a@x")]
     assert [(s.type, s.url) for s in r.other_social_profiles] == [("Facebook", None), ("Twitter", "@ann")]
     assert (r.accept_new_patient, r.accept_new_patient_from_network) == ("Accepting New Patients", None)
@@ -139,3 +149,15 @@ def test_provider_hub_lists(spark, tables):
     assert ids["Drname_Medicare"].identifier == "DM1" and ids["Drname_Medicaid"].identifier is None
     cultural = [q for q in r.qualifications if q.description == "Cultural Competency Training"]
     assert {(q.qualification_number, q.status, q.taxonomy) for q in cultural} == {("N-9", "Y", "207Q"), ("N-9", "Y", "208D")}
+
+
+def test_provider_training(spark, tables, profile_rows):
+    r = profile_rows[0]
+    ids = {k: v for k, v in r.identifiers.items() if k.startswith("Training")}
+    assert sorted(ids) == ["Training_1", "Training_2"]
+    res = [v for v in ids.values() if v.identifier == "RES"][0]
+    # dates by name: eff = from-date, exp = to-date (the positional swap of the source is fixed)
+    assert (res.eff_date, res.exp_date) == ("2000-07-01T00:00:00.000Z", "2003-06-30T00:00:00.000Z")
+    assert res.identifier_source == "Provider_Train" and len(res.reference_id) == 32
+    places = {(v.code_value, v.code_description) for v in r.variable_fields if v.code_type == "Place of Training"}
+    assert places == {("H1", "General Hospital"), (None, None)}
