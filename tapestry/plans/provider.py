@@ -9,8 +9,11 @@ variable, kept for *active* contract statuses only), languages,
 credentials (license qualifications), specialties (specialty, taxonomy and
 board-certification entries) and expertise; all qualifications are crossed
 with the provider's taxonomy codes (optionally with its NPDB list).  The other
-satellites of the source (education, hub-level extension lists) are NULL
-placeholders here; training yields its identifier map and variables; hub-level e-mails, social profiles, identifiers
+pieces of the source (the school contacts/addresses and the twenty
+education extension lists, hub-level extension lists) are NULL placeholders
+here; training yields its identifier map and variables, education its
+education entries (a school code must match both the school and the
+hospital table, as in the source); hub-level e-mails, social profiles, identifiers
 and accept-new-patient codes come straight from the hub row (one row per
 provider, so no aggregation is needed);
 every one of them follows the same pattern (``lookup_chain`` -> ``nest_many``
@@ -67,6 +70,8 @@ SHAPES = {
     "specialty": ["reference_id", "id", "type", "type_desc", "code_value", "specialty_description", "vendor_name",
                   "primary_ind"],
     "email": ["reference_id", "email_type", "email", "confidential_status"],
+    "education": ["reference_id", "cumulative_years_of_training", "degree", "education_type", "end_year", "department",
+                  "gpa", "active", "graduated_ind", "school_name", "start_year", "year_of_graduation", "years_in_program"],
     "social": ["reference_id", "type", "url", "active_profile"],
 }
 # hub identifiers: identifier type -> (hub column, identifier source); all with
@@ -318,6 +323,25 @@ def _expertise_satellite(t: dict[str, DataFrame]) -> DataFrame:
     })
 
 
+def _education_satellite(t: dict[str, DataFrame]) -> DataFrame:
+    ed = lookup_chain(bronze(t["educate"], "educate"), [
+        Lookup(bronze(t["educ_arr"], "educ_arr"), "educate__sch_type", "educ_arr__cd", "inner", select=["educ_arr__txt"]),
+        Lookup(bronze(t["school"], "school"), "educate__cd", "school__cd", "inner", select=["school__txt", "school__subname"]),
+        Lookup(bronze(t["educ_tab"], "educ_tab"), "educate__degree", "educ_tab__cd", "inner", select=["educ_tab__txt"]),
+        # the same code must also be a hospital (both lookups match: D10)
+        Lookup(bronze(t["hospital"], "hospital").select(F.col("hospital__cd").alias("edu_hospital__cd")),
+               "educate__cd", "edu_hospital__cd", "inner"),
+    ]).withColumnRenamed("educate__dr_id", KEY)
+    c = lambda n: F.col(f"educate__{n}")
+    return nest_many(ed, KEY, {
+        "education": Nest(of("education", reference_id=F.col(KEY), degree=c("degree"), education_type=F.col("educ_arr__txt"),
+                             end_year=F.year(c("tdate").try_cast("date")), department=F.col("school__subname"),
+                             school_name=F.col("school__txt"), start_year=F.year(c("fdate").try_cast("date"))),
+                          "desc", distinct=True),
+        "educate_code_extension": Nest(of("extension", source_column_name="Educate_Code", source_column_value=c("cd")), "desc"),
+    })
+
+
 def _training_satellite(t: dict[str, DataFrame]) -> DataFrame:
     tr = lookup_chain(bronze(t["train"], "train"), [
         Lookup(bronze(t["hospital"], "hospital"), "train__cd", "hospital__cd", "left", select=["hospital__txt"]),
@@ -360,6 +384,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     spine = attach(spine, _taxonomy_satellite(t), KEY, "left")
     spine = attach(spine, _expertise_satellite(t), KEY, "left")
     spine = attach(spine, _training_satellite(t), KEY, "left")
+    spine = attach(spine, _education_satellite(t), KEY, "left")
     cultural = F.array(of("qualification", description="Cultural Competency Training", qualification_code_display="ud8",
                           qualification_number=F.col("drname__npdb"), qualification_type=F.col("drname__npdbdesc"),
                           status=F.col("drname__ud8")))
@@ -417,6 +442,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         "other_languages": F.col("other_languages"),
         "networks": F.col("networks"),
         "qualifications": F.col("qualifications"),
+        "education": F.col("education"),
         "specialty": merge_arrays("specialty_list", "taxonomy_spec", "expertise_spec"),
         "reference_ids": F.col("address_reference_ids"),
         "variable_fields": merge_arrays("status_active_variable", "status_staff_variable", "status_udf1_variable",
@@ -430,7 +456,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         "extension_source_values": merge_arrays("address_county_extension", "address_link_extension",
                                                 "status_rec_date_extension", "status_rea_date_extension",
                                                 "status_l_secfile_extension", "drplan1_status_extension",
-                                                "drplan1_pcp_spec_extension"),
+                                                "drplan1_pcp_spec_extension", "educate_code_extension"),
     }
     out = spine.select(*[(filled[c] if c in filled else F.lit(None).cast("string")).alias(c)
                          for c in TARGET_COLUMNS if c != "data_quality_result"])

@@ -77,6 +77,11 @@ def tables(spark):
         "train": table(spark, ["dr_id", "cd", "position", "sch_type", "fdate", "tdate"],
                        [("1", "H1", "RES", "AF", "2000-07-01", "2003-06-30"), ("1", "H2", "FEL", None, None, None)]),
         "hospital": table(spark, ["cd", "txt"], [("H1", "General Hospital")]),
+        "educate": table(spark, ["dr_id", "cd", "sch_type", "degree", "fdate", "tdate"],
+                         [("1", "H1", "MED", "MD", "1990-09-01", "1994-06-01"), ("1", "S2", "MED", "MD", None, None)]),
+        "educ_arr": table(spark, ["cd", "txt"], [("MED", "Medical school")]),
+        "school": table(spark, ["cd", "txt", "subname"], [("H1", "University", "Medicine"), ("S2", "College", None)]),
+        "educ_tab": table(spark, ["cd", "txt"], [("MD", "Doctor of Medicine")]),
         "apos_tab": table(spark, ["cd", "txt"], [("RES", "Residency"), ("FEL", "Fellowship")]),
         "affi_arr": table(spark, ["cd", "txt"], [("AF", "Affiliated")]),
     }
@@ -161,3 +166,11 @@ def test_provider_training(spark, tables, profile_rows):
     assert res.identifier_source == "Provider_Train" and len(res.reference_id) == 32
     places = {(v.code_value, v.code_description) for v in r.variable_fields if v.code_type == "Place of Training"}
     assert places == {("H1", "General Hospital"), (None, None)}
+
+
+def test_provider_education(profile_rows):
+    r = profile_rows[0]
+    # S2 is a school but not a hospital code: both lookups must match, so it drops out
+    assert [(e.school_name, e.department, e.degree, e.start_year, e.end_year) for e in r.education] == [
+        ("University", "Medicine", "MD", 1990, 1994)]
+    assert [x.source_column_value for x in r.extension_source_values if x.source_column_name == "Educate_Code"] == ["H1"]
