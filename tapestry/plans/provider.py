@@ -1,23 +1,24 @@
 """The source system's own entity: a service-provider profile built from its
 bronze tables with this library's operators.
 
-Covered satellites: address (addresses, phones, tax ids, weekly contact
-schedule, reference ids, county/link extensions, location variable), staff
-status (variables with code translations, Medicare/Medicaid identifier maps,
-primary-care role), plans (networks, status/pcp extensions, term-reason
-variable, kept for *active* contract statuses only), languages,
-credentials (license qualifications), specialties (specialty, taxonomy and
-board-certification entries) and expertise; all qualifications are crossed
-with the provider's taxonomy codes (optionally with its NPDB list).  The other
-pieces of the source (the school contacts/addresses and the twenty
-education extension lists, hub-level extension lists) are NULL placeholders
-here; training yields its identifier map and variables, education its
-education entries (a school code must match both the school and the
-hospital table, as in the source); hub-level e-mails, social profiles, identifiers
-and accept-new-patient codes come straight from the hub row (one row per
-provider, so no aggregation is needed);
-every one of them follows the same pattern (``lookup_chain`` -> ``nest_many``
--> attach by ``dr_id``).
+Satellites (each ``lookup_chain`` -> ``nest_many`` -> attach by ``dr_id``):
+
+* address   — addresses, phones, tax ids, weekly contact schedule, reference
+              ids, county/link extensions, location variable;
+* status    — variables with code translations, Medicare/Medicaid identifier
+              maps, primary-care role;
+* plan      — networks, status/pcp extensions, term-reason variable; only
+              statuses whose contract text is 'active' are kept;
+* language, credential (license qualifications), specialty / taxonomy /
+  expertise, training (identifier map, variables), education (a school code
+  must match both the school and the hospital table, as in the source).
+
+Hub-level e-mails, social profiles, identifiers, extensions and
+accept-new-patient codes come straight from the hub row (one row per
+provider: no aggregation needed).  All qualifications are crossed with the
+provider's taxonomy codes (optionally with its NPDB list).  Not built yet:
+the school contacts/addresses and the twenty education extension lists (typed
+NULLs / absent from the merged lists).
 
 Row grain, as in the source: one row per provider x active plan status.  All
 provider-level aggregates are built *before* that fan-out, so no array is
@@ -86,6 +87,15 @@ HUB_IDENTIFIERS = {
     "Drname_Medicaid": ("medicaid", "drname"),
 }
 ACCEPTING = ["Accepting New Patients", "Not Accepting New Patients"]
+# hub extensions: source column name -> hub column (values written as text)
+HUB_EXTENSIONS = {
+    "Dr_Title": "drtitle", "pict1": "pict1", "ud7": "ud7", "ud7_date": "ud7_date", "pict2": "pict2", "ud3": "ud3",
+    "ud9": "ud9", "Verfac": "verfac", "Beeper": "beeper", "Beeper2": "beeper2", "ud13_date": "ud13_date",
+    "ud14_date": "ud14_date", "ud15_date": "ud15_date",
+}
+EMPLOYMENT_TYPES = {"C": "1099/Contracted", "E": "W-2/Employed"}
+# patient age range from two code tables: extension name -> (hub code column, code table)
+AGE_EXTENSIONS = {"Min_Patient_Age": ("ud1", "u1_tab"), "Max_Patient_Age": ("ud2", "u2_tab")}
 # weekly schedule: day label -> column prefix in the address table
 SCHEDULE_DAYS = {"sun": "sun", "mon": "mon", "tue": "tues", "wed": "wednes", "thu": "thurs", "fri": "fri", "sat": "satur"}
 TARGET_COLUMNS = [
@@ -374,7 +384,9 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     type overwritten (and the list emptied when the provider has none)."""
     hub = bronze(t["drname"], "drname").withColumnRenamed("drname__dr_id", KEY)
     hub = lookup_chain(hub, [Lookup(bronze(t["u3_tab"], "u3_tab"), "drname__ud3", "u3_tab__cd", "left",
-                                    select=["u3_tab__txt"])])
+                                    select=["u3_tab__txt"])] + [
+        Lookup(bronze(t[table], table), f"drname__{col}", f"{table}__cd", "left", select=[f"{table}__txt"])
+        for col, table in AGE_EXTENSIONS.values()])
     spine = attach(hub, _address_satellite(t), KEY, "inner")
     spine = attach(spine, _status_satellite(t), KEY, "inner")
     spine = attach(spine, _plan_satellite(t), KEY, "inner")
@@ -406,6 +418,20 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     socials = F.sort_array(F.array(of("social", type="Facebook", url=h("facebook")),
                                    of("social", type="Twitter", url=h("twitter"))))
     accept_txt = F.col("u3_tab__txt")
+
+    def hub_value(name: str, column: str) -> Column:
+        v = h(column)
+        if name == "ud9":
+            v = translate(v, EMPLOYMENT_TYPES, keep_other=True)
+        elif name == "ud7_date":
+            v = v.try_cast("date")
+        return v.cast("string")
+
+    hub_ext = F.array(
+        *[of("extension", source_column_name=name, source_column_value=hub_value(name, column))
+          for name, column in HUB_EXTENSIONS.items()],
+        *[of("extension", source_column_name=name, source_column_value=F.col(f"{table}__txt"))
+          for name, (_, table) in AGE_EXTENSIONS.items()])
     primary = pick("other_addresses", lambda x: x["address_sch_type"] == PRIMARY_SCH_TYPE)
     birth = h("birthdate").try_cast("date")
     filled = {
@@ -453,7 +479,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         "source_id": F.col(KEY),
         "identifiers": merge_maps(*hub_ids[:5], "status_medicare_identifiers", "status_medicaid_identifiers", *hub_ids[5:],
                                   "train_identifiers"),
-        "extension_source_values": merge_arrays("address_county_extension", "address_link_extension",
+        "extension_source_values": merge_arrays(hub_ext, "address_county_extension", "address_link_extension",
                                                 "status_rec_date_extension", "status_rea_date_extension",
                                                 "status_l_secfile_extension", "drplan1_status_extension",
                                                 "drplan1_pcp_spec_extension", "educate_code_extension"),

@@ -66,13 +66,19 @@ def tables(spark):
         "drname": table(spark, ["dr_id", "nationalid", "dr_no_ext", "dr_fname", "dr_iname", "dr_lname", "drsal", "drsuffix",
                                 "email", "facebook", "gender", "ud12", "ethnic", "marital", "citisen", "ss_no",
                                 "birthdate", "birthplace", "npdb", "npdbdesc", "medicare", "medicaid", "visa", "expdate",
-                                "upin", "nudf1", "efmg_no", "appmodule_email", "twitter", "ud3", "ud8"],
+                                "upin", "nudf1", "efmg_no", "appmodule_email", "twitter", "ud3", "ud8", "ud9", "ud7_date",
+                                "ud1", "ud2", "drtitle", "pict1", "ud7", "pict2", "verfac", "beeper", "beeper2",
+                                "ud13_date", "ud14_date", "ud15_date"],
                         [("1", "1234567890", "X1", "Ann", None, "Lee", "Dr", None, "a@x", None, "F", None, None, "M", "US",
                           "111", "1970-05-06", "Here", "N-9", "report", "DM1", None, "V1", "2030-01-01", "U1", "CAQ",
-                          None, "app@x", "@ann", "AC", "Y"),
+                          None, "app@x", "@ann", "AC", "Y", "C", "2020-02-03", "A0", "A99", "MD", None, None, None,
+                          "VF", None, None, None, None, None),
                          ("2", "123", "X2", "Bo", "Q", "Kim", None, None, None, None, "X", None, None, None, None,
                           None, "1890-01-01", None, None, None, None, None, None, None, None, None, None, None, None,
-                          "NW", None)]),
+                          "NW", None, "Z", "bad", None, None, None, None, None, None, None, None, None, None, None,
+                          None)]),
+        "u1_tab": table(spark, ["cd", "txt"], [("A0", "0")]),
+        "u2_tab": table(spark, ["cd", "txt"], [("A99", "99")]),
         "u3_tab": table(spark, ["cd", "txt"], [("AC", "Accepting New Patients"), ("NW", "Network only")]),
         "train": table(spark, ["dr_id", "cd", "position", "sch_type", "fdate", "tdate"],
                        [("1", "H1", "RES", "AF", "2000-07-01", "2003-06-30"), ("1", "H2", "FEL", None, None, None)]),
@@ -174,3 +180,11 @@ def test_provider_education(profile_rows):
     assert [(e.school_name, e.department, e.degree, e.start_year, e.end_year) for e in r.education] == [
         ("University", "Medicine", "MD", 1990, 1994)]
     assert [x.source_column_value for x in r.extension_source_values if x.source_column_name == "Educate_Code"] == ["H1"]
+
+
+def test_provider_hub_extensions(profile_rows):
+    r = profile_rows[0]
+    ext = {x.source_column_name: x.source_column_value for x in r.extension_source_values}
+    assert ext["ud9"] == "1099/Contracted" and ext["ud7_date"] == "2020-02-03" and ext["Dr_Title"] == "MD"
+    assert ext["Verfac"] == "VF" and ext["Min_Patient_Age"] == "0" and ext["Max_Patient_Age"] == "99"
+    assert "Cellphone" not in ext  # computed by the source but never written to the entity
