@@ -17,8 +17,7 @@ Hub-level e-mails, social profiles, identifiers, extensions and
 accept-new-patient codes come straight from the hub row (one row per
 provider: no aggregation needed).  All qualifications are crossed with the
 provider's taxonomy codes (optionally with its NPDB list).  Not built yet:
-the school contacts/addresses and the twenty education extension lists (typed
-NULLs / absent from the merged lists).
+the twenty education extension/variable lists (absent from the merged lists).
 
 Row grain, as in the source: one row per provider x active plan status.  All
 provider-level aggregates are built *before* that fan-out, so no array is
@@ -29,13 +28,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from tapestry.functions.arrays import cross_apply, keyed_map, merge_arrays, merge_maps, pick, shape
 from tapestry.functions.codes import (ADDRESS_USE, EPSDT_CODES, FLUORIDE_VARNISH_CODES, HEALTHCHECK_CODES, classify,
                                       role_of, translate, yes_no)
 from tapestry.functions.keys import first_non_empty, full_name, iso_ts, split_code, surrogate_key
 from tapestry.operators.lookup import Lookup, attach, lookup_chain
-from tapestry.operators.nest import Nest, NestUnion, nest_many
+from tapestry.operators.nest import Nest, NestConcat, NestUnion, nest_many
 from tapestry.operators.project import bronze
 from tapestry.operators.quality import apply_rules, flatten_results
 
@@ -336,7 +336,9 @@ def _expertise_satellite(t: dict[str, DataFrame]) -> DataFrame:
 def _education_satellite(t: dict[str, DataFrame]) -> DataFrame:
     ed = lookup_chain(bronze(t["educate"], "educate"), [
         Lookup(bronze(t["educ_arr"], "educ_arr"), "educate__sch_type", "educ_arr__cd", "inner", select=["educ_arr__txt"]),
-        Lookup(bronze(t["school"], "school"), "educate__cd", "school__cd", "inner", select=["school__txt", "school__subname"]),
+        Lookup(bronze(t["school"], "school"), "educate__cd", "school__cd", "inner",
+               select=["school__txt", "school__subname", "school__contact1", "school__contact2", "school__addr",
+                       "school__addr2", "school__city", "school__state", "school__zip", "school__nation"]),
         Lookup(bronze(t["educ_tab"], "educ_tab"), "educate__degree", "educ_tab__cd", "inner", select=["educ_tab__txt"]),
         # the same code must also be a hospital (both lookups match: D10)
         Lookup(bronze(t["hospital"], "hospital").select(F.col("hospital__cd").alias("edu_hospital__cd")),
@@ -349,6 +351,15 @@ def _education_satellite(t: dict[str, DataFrame]) -> DataFrame:
                              school_name=F.col("school__txt"), start_year=F.year(c("fdate").try_cast("date"))),
                           "desc", distinct=True),
         "educate_code_extension": Nest(of("extension", source_column_name="Educate_Code", source_column_value=c("cd")), "desc"),
+        # both school contacts, concatenated inside the aggregate and sorted
+        "school_general_contact_details": NestConcat([
+            of("contact", entity_type="School", contact_name=F.col("school__contact1")),
+            of("contact", entity_type="School", contact_name=F.col("school__contact2"))], "asc"),
+        "other_addresses_school": Nest(of(
+            "address", reference_id=F.col(KEY), address_line_1=F.col("school__addr"), address_line_2=F.col("school__addr2"),
+            city=F.col("school__city"), state_province=F.col("school__state"),
+            postal_code=F.substring("school__zip", 1, 5), country=F.col("school__nation"),
+            print_in_directory_ind=F.lit(None).cast("boolean")), "desc", distinct=True),
     })
 
 
@@ -376,6 +387,14 @@ def _training_satellite(t: dict[str, DataFrame]) -> DataFrame:
         "train_identifier_list")
 
 
+def _nullable(dt: DataType) -> DataType:
+    if isinstance(dt, StructType):
+        return StructType([StructField(f.name, _nullable(f.dataType), True) for f in dt.fields])
+    if isinstance(dt, ArrayType):
+        return ArrayType(_nullable(dt.elementType), True)
+    return dt
+
+
 def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_npdb: bool = False) -> DataFrame:
     """115-column provider rows (target order), with data-quality results.
 
@@ -409,6 +428,14 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
             "qualification_type": lambda n, q: n["qualification_type"],
             "taxonomy": lambda n, q: q["qualification_code"]}, keep_when_empty=False)
     spine = spine.withColumn("qualifications", quals)
+    # school entries join the address lists; both sides are cast to the
+    # address element types (made nullable) so they share one element type
+    types = {f.name: _nullable(f.dataType) for f in spine.schema.fields}
+    spine = spine.withColumns({
+        name: merge_arrays(F.col(name).cast(types[name]), F.col(school).cast(types[name]))
+        for name, school in (("other_addresses", "other_addresses_school"),
+                             ("general_contact_details", "school_general_contact_details"))
+    })
     h = lambda n: F.col(f"drname__{n}")
     hub_ids = [keyed_map(F.array(of("identifier", identifier_type=kind, identifier=h(column), identifier_source=source,
                                     exp_date=h("expdate").cast("string") if kind == "Visa" else None)), "identifier_type")

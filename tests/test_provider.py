@@ -86,7 +86,9 @@ def tables(spark):
         "educate": table(spark, ["dr_id", "cd", "sch_type", "degree", "fdate", "tdate"],
                          [("1", "H1", "MED", "MD", "1990-09-01", "1994-06-01"), ("1", "S2", "MED", "MD", None, None)]),
         "educ_arr": table(spark, ["cd", "txt"], [("MED", "Medical school")]),
-        "school": table(spark, ["cd", "txt", "subname"], [("H1", "University", "Medicine"), ("S2", "College", None)]),
+        "school": table(spark, ["cd", "txt", "subname", "contact1", "contact2", "addr", "addr2", "city", "state", "zip", "nation"],
+                        [("H1", "University", "Medicine", "Dean A", "Dean B", "9 Campus Rd", None, "Uni", "MD", "21218-0001", "US"),
+                         ("S2", "College", None, None, None, None, None, None, None, None, None)]),
         "educ_tab": table(spark, ["cd", "txt"], [("MD", "Doctor of Medicine")]),
         "apos_tab": table(spark, ["cd", "txt"], [("RES", "Residency"), ("FEL", "Fellowship")]),
         "affi_arr": table(spark, ["cd", "txt"], [("AF", "Affiliated")]),
@@ -109,9 +111,9 @@ def test_provider_profile(profile_rows):
     assert r.address_address_use == "work" and r.address_postal_code == "21201" and r.address_zip_code_extension == "1234"
     assert r.address_locality_code == "L1" and r.tin == "1234567890"  # bronze strings are trimmed at load
     assert r.primary_phone_number == "410-555-0100"
-    assert sorted(a.address_use for a in r.other_addresses) == ["billing", "work"]
-    assert {a.print_in_directory_ind for a in r.other_addresses} == {True, False}
-    assert len(r.general_contact_details) == 14
+    assert sorted(a.address_use or "" for a in r.other_addresses) == ["", "billing", "work"]  # + the school address
+    assert {a.print_in_directory_ind for a in r.other_addresses} == {True, False, None}
+    assert len(r.general_contact_details) == 14 + 2  # 7 days x 2 addresses + 2 school contacts
     starts = {(c.available_days_of_week, c.available_start_time) for c in r.general_contact_details}
     assert ("sun", "08:00") in starts and ("sun", "09:00") in starts  # empty first shift falls back to the second
     # a status row without a Medicaid number still yields an identifier struct (fields NULL), as collected
@@ -188,3 +190,10 @@ def test_provider_hub_extensions(profile_rows):
     assert ext["ud9"] == "1099/Contracted" and ext["ud7_date"] == "2020-02-03" and ext["Dr_Title"] == "MD"
     assert ext["Verfac"] == "VF" and ext["Min_Patient_Age"] == "0" and ext["Max_Patient_Age"] == "99"
     assert "Cellphone" not in ext  # computed by the source but never written to the entity
+
+
+def test_provider_school_entries(profile_rows):
+    r = profile_rows[0]
+    school = [a for a in r.other_addresses if a.address_line_1 == "9 Campus Rd"]
+    assert len(school) == 1 and school[0].postal_code == "21218" and school[0].reference_id == "1"
+    assert sorted(c.contact_name for c in r.general_contact_details if c.entity_type == "School") == ["Dean A", "Dean B"]
