@@ -94,6 +94,9 @@ HUB_EXTENSIONS = {
     "ud14_date": "ud14_date", "ud15_date": "ud15_date",
 }
 EMPLOYMENT_TYPES = {"C": "1099/Contracted", "E": "W-2/Employed"}
+# staff-status qualifications: status column -> (description, code display)
+STATUS_QUALIFICATIONS = {"udf22": ("Flouride Varnish", "udf22"), "udf21": ("DC Health Check", "udf21"),
+                         "udf1": ("EPDST", "udf1")}
 # patient age range from two code tables: extension name -> (hub code column, code table)
 AGE_EXTENSIONS = {"Min_Patient_Age": ("ud1", "u1_tab"), "Max_Patient_Age": ("ud2", "u2_tab")}
 # weekly schedule: day label -> column prefix in the address table
@@ -230,6 +233,9 @@ def _status_satellite(t: dict[str, DataFrame]) -> DataFrame:
         "status_medicare_list": ident("Stfstatu_Medicare", "medicare"),
         "status_medicaid_list": ident("Stfstatu_Medicaid", "medicaid"),
         "pcp_codes": Nest(c("pcp_spec"), "asc", distinct=True),
+        **{f"status_{col}_qualifications": Nest(of("qualification", description=desc, qualification_code_display=disp,
+                                                   status=c(col)), "desc", distinct=True)
+           for col, (desc, disp) in STATUS_QUALIFICATIONS.items()},
     }
     agg = nest_many(s, KEY, nests)
     role = role_of("pcp_codes")
@@ -419,7 +425,8 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     cultural = F.array(of("qualification", description="Cultural Competency Training", qualification_code_display="ud8",
                           qualification_number=F.col("drname__npdb"), qualification_type=F.col("drname__npdbdesc"),
                           status=F.col("drname__ud8")))
-    quals = cross_apply("taxonomy_codes", merge_arrays("credential_qualifications", "board_qualifications", cultural),
+    quals = cross_apply("taxonomy_codes", merge_arrays(*[f"status_{c}_qualifications" for c in STATUS_QUALIFICATIONS],
+                                                       "board_qualifications", "credential_qualifications", cultural),
                         {"qualification_code": lambda tc, q: tc, "taxonomy": lambda tc, q: tc})
     if apply_npdb:
         npdb = F.array(of("npdb", qualification_number=F.col("drname__npdb"), qualification_type=F.col("drname__npdbdesc")))

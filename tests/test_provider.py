@@ -140,7 +140,7 @@ def test_provider_qualifications(spark, tables, profile_rows):
     assert len(boards) == 4 and {(q.issue_date, q.renew_date, q.status) for q in boards} == {("2005", "2015", "1"), (None, None, None)}
     r2 = provider_profile(tables, apply_npdb=True).first()
     assert {(q.qualification_number, q.qualification_type) for q in r2.qualifications} == {("N-9", "report")}
-    assert len(r2.qualifications) == 10 and {q.taxonomy for q in r2.qualifications} == {"207Q", "208D"}
+    assert len(r2.qualifications) == 22 and {q.taxonomy for q in r2.qualifications} == {"207Q", "208D"}
 
 
 def test_provider_specialty(spark, tables, profile_rows):
@@ -197,3 +197,13 @@ def test_provider_school_entries(profile_rows):
     school = [a for a in r.other_addresses if a.address_line_1 == "9 Campus Rd"]
     assert len(school) == 1 and school[0].postal_code == "21218" and school[0].reference_id == "1"
     assert sorted(c.contact_name for c in r.general_contact_details if c.entity_type == "School") == ["Dean A", "Dean B"]
+
+
+def test_provider_status_qualifications(profile_rows):
+    r = profile_rows[0]
+    got = {(q.description, q.qualification_code_display, q.status) for q in r.qualifications
+           if q.qualification_code_display in ("udf1", "udf21", "udf22")}
+    assert got == {("EPDST", "udf1", "1"), ("EPDST", "udf1", "7"), ("DC Health Check", "udf21", "NOC"),
+                   ("DC Health Check", "udf21", None), ("Flouride Varnish", "udf22", "TNC"), ("Flouride Varnish", "udf22", None)}
+    # the merged list starts with the status sets, as in the source
+    assert r.qualifications[0].qualification_code_display == "udf22"
