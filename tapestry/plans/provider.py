@@ -97,6 +97,8 @@ EMPLOYMENT_TYPES = {"C": "1099/Contracted", "E": "W-2/Employed"}
 # staff-status qualifications: status column -> (description, code display)
 STATUS_QUALIFICATIONS = {"udf22": ("Flouride Varnish", "udf22"), "udf21": ("DC Health Check", "udf21"),
                          "udf1": ("EPDST", "udf1")}
+# hub code columns translated through code tables (for the hub variables)
+HUB_CODE_TABLES = {"ethnic": "eth_tab", "ud12": "u12_tab", "pract_cd1": "par_tab"}
 # patient age range from two code tables: extension name -> (hub code column, code table)
 AGE_EXTENSIONS = {"Min_Patient_Age": ("ud1", "u1_tab"), "Max_Patient_Age": ("ud2", "u2_tab")}
 # weekly schedule: day label -> column prefix in the address table
@@ -357,6 +359,8 @@ def _education_satellite(t: dict[str, DataFrame]) -> DataFrame:
                              school_name=F.col("school__txt"), start_year=F.year(c("fdate").try_cast("date"))),
                           "desc", distinct=True),
         "educate_code_extension": Nest(of("extension", source_column_name="Educate_Code", source_column_value=c("cd")), "desc"),
+        "educ_tab_variable": Nest(of("variable", code_type="Education", code_value=c("degree"),
+                                     code_description=F.col("educ_tab__txt")), "desc"),
         # both school contacts, concatenated inside the aggregate and sorted
         "school_general_contact_details": NestConcat([
             of("contact", entity_type="School", contact_name=F.col("school__contact1")),
@@ -411,7 +415,9 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     hub = lookup_chain(hub, [Lookup(bronze(t["u3_tab"], "u3_tab"), "drname__ud3", "u3_tab__cd", "left",
                                     select=["u3_tab__txt"])] + [
         Lookup(bronze(t[table], table), f"drname__{col}", f"{table}__cd", "left", select=[f"{table}__txt"])
-        for col, table in AGE_EXTENSIONS.values()])
+        for col, table in AGE_EXTENSIONS.values()] + [
+        Lookup(bronze(t[table], table), f"drname__{col}", f"{table}__cd", "left", select=[f"{table}__txt"])
+        for col, table in HUB_CODE_TABLES.items()])
     spine = attach(hub, _address_satellite(t), KEY, "inner")
     spine = attach(spine, _status_satellite(t), KEY, "inner")
     spine = attach(spine, _plan_satellite(t), KEY, "inner")
@@ -452,6 +458,16 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     socials = F.sort_array(F.array(of("social", type="Facebook", url=h("facebook")),
                                    of("social", type="Twitter", url=h("twitter"))))
     accept_txt = F.col("u3_tab__txt")
+    hub_var = {
+        "ethnic": F.array(of("variable", code_type="Ethinicity", code_value=F.col("eth_tab__cd"),
+                             code_description=F.col("eth_tab__txt"))),
+        "race": F.array(of("variable", code_type="Race", code_value=F.col("u12_tab__cd"),
+                           code_description=F.col("u12_tab__txt"))),
+        "fmg": F.array(of("variable", code_type="FMG", code_value=h("fmg").cast("string"),
+                          code_description="Qualification Type/Status")),
+        "pract": F.array(of("variable", code_type="Practice Code", code_value=h("pract_cd1").cast("string"),
+                            code_description=F.col("par_tab__txt"))),
+    }
 
     def hub_value(name: str, column: str) -> Column:
         v = h(column)
@@ -505,9 +521,11 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         "education": F.col("education"),
         "specialty": merge_arrays("specialty_list", "taxonomy_spec", "expertise_spec"),
         "reference_ids": F.col("address_reference_ids"),
-        "variable_fields": merge_arrays("status_active_variable", "status_staff_variable", "status_udf1_variable",
-                                        "status_udf21_variable", "status_udf22_variable", "drplan1_u3ins_variable",
-                                        "location_variable", "expertise_variable", "apos_variable",
+        # in the source's order
+        "variable_fields": merge_arrays("status_active_variable", "status_udf1_variable", "status_udf21_variable",
+                                        "status_udf22_variable", "status_staff_variable", hub_var["ethnic"],
+                                        hub_var["race"], hub_var["fmg"], "drplan1_u3ins_variable", "location_variable",
+                                        "educ_tab_variable", "expertise_variable", hub_var["pract"], "apos_variable",
                                         "hospital_variable", "affi_arr_variable"),
         "source_name": F.lit(SOURCE_NAME),
         "source_id": F.col(KEY),

@@ -68,15 +68,18 @@ def tables(spark):
                                 "birthdate", "birthplace", "npdb", "npdbdesc", "medicare", "medicaid", "visa", "expdate",
                                 "upin", "nudf1", "efmg_no", "appmodule_email", "twitter", "ud3", "ud8", "ud9", "ud7_date",
                                 "ud1", "ud2", "drtitle", "pict1", "ud7", "pict2", "verfac", "beeper", "beeper2",
-                                "ud13_date", "ud14_date", "ud15_date"],
+                                "ud13_date", "ud14_date", "ud15_date", "fmg", "pract_cd1"],
                         [("1", "1234567890", "X1", "Ann", None, "Lee", "Dr", None, "a@x", None, "F", None, None, "M", "US",
                           "111", "1970-05-06", "Here", "N-9", "report", "DM1", None, "V1", "2030-01-01", "U1", "CAQ",
                           None, "app@x", "@ann", "AC", "Y", "C", "2020-02-03", "A0", "A99", "MD", None, None, None,
-                          "VF", None, None, None, None, None),
+                          "VF", None, None, None, None, None, "Y", "PC1"),
                          ("2", "123", "X2", "Bo", "Q", "Kim", None, None, None, None, "X", None, None, None, None,
                           None, "1890-01-01", None, None, None, None, None, None, None, None, None, None, None, None,
                           "NW", None, "Z", "bad", None, None, None, None, None, None, None, None, None, None, None,
-                          None)]),
+                          None, None, None)]),
+        "eth_tab": table(spark, ["cd", "txt"], [("H", "Hispanic")]),
+        "u12_tab": table(spark, ["cd", "txt"], [("W", "White")]),
+        "par_tab": table(spark, ["cd", "txt"], [("PC1", "Solo practice")]),
         "u1_tab": table(spark, ["cd", "txt"], [("A0", "0")]),
         "u2_tab": table(spark, ["cd", "txt"], [("A99", "99")]),
         "u3_tab": table(spark, ["cd", "txt"], [("AC", "Accepting New Patients"), ("NW", "Network only")]),
@@ -207,3 +210,14 @@ def test_provider_status_qualifications(profile_rows):
                    ("DC Health Check", "udf21", None), ("Flouride Varnish", "udf22", "TNC"), ("Flouride Varnish", "udf22", None)}
     # the merged list starts with the status sets, as in the source
     assert r.qualifications[0].qualification_code_display == "udf22"
+
+
+def test_provider_variables(profile_rows):
+    r = profile_rows[0]
+    types = [v.code_type for v in r.variable_fields]
+    # source order: status variables first, then hub ethnicity/race/FMG, ..., practice code, training
+    assert types.index("Active123") < types.index("Ethinicity") < types.index("FMG") < types.index("Practice Code")
+    got = {v.code_type: (v.code_value, v.code_description) for v in r.variable_fields
+           if v.code_type in ("FMG", "Practice Code", "Education")}
+    assert got == {"FMG": ("Y", "Qualification Type/Status"), "Practice Code": ("PC1", "Solo practice"),
+                   "Education": ("MD", "Doctor of Medicine")}
