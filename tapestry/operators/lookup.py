@@ -21,9 +21,28 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 100_000
 
 
+_BOUND_CHECKS: dict[tuple, bool] = {}
+
+
+def _within_bound(df: DataFrame, max_rows: int) -> bool:
+    """``limit(max_rows + 1).count() <= max_rows``, remembered per session for
+    the same plan over the same input files (new or rewritten files are a new
+    key, so a table that grew is checked again)."""
+    try:
+        key = (id(df.sparkSession), df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    except Exception:  # plans without a stable hash are always checked
+        key = None
+    if key is not None and key in _BOUND_CHECKS:
+        return _BOUND_CHECKS[key]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        _BOUND_CHECKS[key] = ok
+    return ok
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it provably has at most ``max_rows`` rows."""
-    if max_rows and df.limit(max_rows + 1).count() <= max_rows:
+    if max_rows and _within_bound(df, max_rows):
         return F.broadcast(df)
     return df
 
