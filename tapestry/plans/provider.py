@@ -16,8 +16,9 @@ Satellites (each ``lookup_chain`` -> ``nest_many`` -> attach by ``dr_id``):
 Hub-level e-mails, social profiles, identifiers, extensions and
 accept-new-patient codes come straight from the hub row (one row per
 provider: no aggregation needed).  All qualifications are crossed with the
-provider's taxonomy codes (optionally with its NPDB list).  Not built yet:
-the twenty education extension/variable lists (absent from the merged lists).
+provider's taxonomy codes (optionally with its NPDB list).  The order of the
+extension lists inside ``extension_source_values`` is ours (hub, address,
+status, plan, education).
 
 Row grain, as in the source: one row per provider x active plan status.  All
 provider-level aggregates are built *before* that fan-out, so no array is
@@ -97,6 +98,17 @@ EMPLOYMENT_TYPES = {"C": "1099/Contracted", "E": "W-2/Employed"}
 # staff-status qualifications: status column -> (description, code display)
 STATUS_QUALIFICATIONS = {"udf22": ("Flouride Varnish", "udf22"), "udf21": ("DC Health Check", "udf21"),
                          "udf1": ("EPDST", "udf1")}
+# education extensions: source column name -> (table, column); one list each
+EDUCATION_EXTENSIONS = {
+    "Educate_Code": ("educate", "cd"), "cmt1": ("educate", "cmt1"), "Educate_Link": ("educate", "link"),
+    "School_Code": ("school", "cd"), "education_notes": ("educate", "notes"), "education_program": ("educate", "cmt1"),
+    "school_email": ("school", "email"), "hospital_address_line_1": ("hospital", "addr"),
+    "hospital_address_line_2": ("hospital", "addr2"), "hospital_city": ("hospital", "city"),
+    "hospital_state": ("hospital", "state"), "hospital_postal_code": ("hospital", "zip"),
+    "hospital_country_code": ("hospital", "nation"), "hospital_url": ("hospital", "homehtml"),
+    "hospital_contact1": ("hospital", "contact1"), "hospital_phone": ("hospital", "phone"),
+    "hospital_fax": ("hospital", "fax"), "hospital_email": ("hospital", "email"), "hospital_comments": ("hospital", "note"),
+}
 # hub code columns translated through code tables (for the hub variables)
 HUB_CODE_TABLES = {"ethnic": "eth_tab", "ud12": "u12_tab", "pract_cd1": "par_tab"}
 # patient age range from two code tables: extension name -> (hub code column, code table)
@@ -346,10 +358,12 @@ def _education_satellite(t: dict[str, DataFrame]) -> DataFrame:
         Lookup(bronze(t["educ_arr"], "educ_arr"), "educate__sch_type", "educ_arr__cd", "inner", select=["educ_arr__txt"]),
         Lookup(bronze(t["school"], "school"), "educate__cd", "school__cd", "inner",
                select=["school__txt", "school__subname", "school__contact1", "school__contact2", "school__addr",
-                       "school__addr2", "school__city", "school__state", "school__zip", "school__nation"]),
+                       "school__addr2", "school__city", "school__state", "school__zip", "school__nation",
+                       "school__email"]),
         Lookup(bronze(t["educ_tab"], "educ_tab"), "educate__degree", "educ_tab__cd", "inner", select=["educ_tab__txt"]),
         # the same code must also be a hospital (both lookups match: D10)
-        Lookup(bronze(t["hospital"], "hospital").select(F.col("hospital__cd").alias("edu_hospital__cd")),
+        Lookup(bronze(t["hospital"], "hospital").toDF(*[f"edu_hospital__{x}" for x in t["hospital"].columns]).select(
+            "edu_hospital__cd", *[f"edu_hospital__{c}" for tb, c in EDUCATION_EXTENSIONS.values() if tb == "hospital"]),
                "educate__cd", "edu_hospital__cd", "inner"),
     ]).withColumnRenamed("educate__dr_id", KEY)
     c = lambda n: F.col(f"educate__{n}")
@@ -358,7 +372,10 @@ def _education_satellite(t: dict[str, DataFrame]) -> DataFrame:
                              end_year=F.year(c("tdate").try_cast("date")), department=F.col("school__subname"),
                              school_name=F.col("school__txt"), start_year=F.year(c("fdate").try_cast("date"))),
                           "desc", distinct=True),
-        "educate_code_extension": Nest(of("extension", source_column_name="Educate_Code", source_column_value=c("cd")), "desc"),
+        **{f"education_ext_{i}": Nest(of("extension", source_column_name=name,
+                                         source_column_value=F.col(f"{'edu_hospital' if tb == 'hospital' else tb}__{col}")
+                                         .cast("string")), "desc")
+           for i, (name, (tb, col)) in enumerate(EDUCATION_EXTENSIONS.items())},
         "educ_tab_variable": Nest(of("variable", code_type="Education", code_value=c("degree"),
                                      code_description=F.col("educ_tab__txt")), "desc"),
         # both school contacts, concatenated inside the aggregate and sorted
@@ -534,7 +551,8 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         "extension_source_values": merge_arrays(hub_ext, "address_county_extension", "address_link_extension",
                                                 "status_rec_date_extension", "status_rea_date_extension",
                                                 "status_l_secfile_extension", "drplan1_status_extension",
-                                                "drplan1_pcp_spec_extension", "educate_code_extension"),
+                                                "drplan1_pcp_spec_extension",
+                                                *[f"education_ext_{i}" for i in range(len(EDUCATION_EXTENSIONS))]),
     }
     out = spine.select(*[(filled[c] if c in filled else F.lit(None).cast("string")).alias(c)
                          for c in TARGET_COLUMNS if c != "data_quality_result"])

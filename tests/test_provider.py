@@ -85,13 +85,19 @@ def tables(spark):
         "u3_tab": table(spark, ["cd", "txt"], [("AC", "Accepting New Patients"), ("NW", "Network only")]),
         "train": table(spark, ["dr_id", "cd", "position", "sch_type", "fdate", "tdate"],
                        [("1", "H1", "RES", "AF", "2000-07-01", "2003-06-30"), ("1", "H2", "FEL", None, None, None)]),
-        "hospital": table(spark, ["cd", "txt"], [("H1", "General Hospital")]),
-        "educate": table(spark, ["dr_id", "cd", "sch_type", "degree", "fdate", "tdate"],
-                         [("1", "H1", "MED", "MD", "1990-09-01", "1994-06-01"), ("1", "S2", "MED", "MD", None, None)]),
+        "hospital": table(spark, ["cd", "txt", "addr", "addr2", "city", "state", "zip", "nation", "homehtml", "contact1",
+                                  "phone", "fax", "email", "note"],
+                          [("H1", "General Hospital", "5 Care St", None, "Town", "MD", "21201", "US", "http://h",
+                            "Dr House", "410", None, "h@x", "teaching")]),
+        "educate": table(spark, ["dr_id", "cd", "sch_type", "degree", "fdate", "tdate", "cmt1", "link", "notes"],
+                         [("1", "H1", "MED", "MD", "1990-09-01", "1994-06-01", "MD program", "lk", "honors"),
+                          ("1", "S2", "MED", "MD", None, None, None, None, None)]),
         "educ_arr": table(spark, ["cd", "txt"], [("MED", "Medical school")]),
-        "school": table(spark, ["cd", "txt", "subname", "contact1", "contact2", "addr", "addr2", "city", "state", "zip", "nation"],
-                        [("H1", "University", "Medicine", "Dean A", "Dean B", "9 Campus Rd", None, "Uni", "MD", "21218-0001", "US"),
-                         ("S2", "College", None, None, None, None, None, None, None, None, None)]),
+        "school": table(spark, ["cd", "txt", "subname", "contact1", "contact2", "addr", "addr2", "city", "state", "zip", "nation",
+                                "email"],
+                        [("H1", "University", "Medicine", "Dean A", "Dean B", "9 Campus Rd", None, "Uni", "MD", "21218-0001", "US",
+                          "s@x"),
+                         ("S2", "College", None, None, None, None, None, None, None, None, None, None)]),
         "educ_tab": table(spark, ["cd", "txt"], [("MD", "Doctor of Medicine")]),
         "apos_tab": table(spark, ["cd", "txt"], [("RES", "Residency"), ("FEL", "Fellowship")]),
         "affi_arr": table(spark, ["cd", "txt"], [("AF", "Affiliated")]),
@@ -221,3 +227,11 @@ def test_provider_variables(profile_rows):
            if v.code_type in ("FMG", "Practice Code", "Education")}
     assert got == {"FMG": ("Y", "Qualification Type/Status"), "Practice Code": ("PC1", "Solo practice"),
                    "Education": ("MD", "Doctor of Medicine")}
+
+
+def test_provider_education_extensions(profile_rows):
+    r = profile_rows[0]
+    ext = {x.source_column_name: x.source_column_value for x in r.extension_source_values}
+    assert ext["education_program"] == "MD program" and ext["cmt1"] == "MD program" and ext["education_notes"] == "honors"
+    assert ext["School_Code"] == "H1" and ext["school_email"] == "s@x"
+    assert ext["hospital_url"] == "http://h" and ext["hospital_comments"] == "teaching" and ext["hospital_fax"] is None
