@@ -270,7 +270,7 @@ ORDER BY similarity, source_table, source_column LIMIT 10
 """)
 def q_top_conflicts(spark, d):
     """The ten lowest-similarity conflicts (a top-k report; the limit is the
-    feature).  A deterministic order replaces the reference's 'first N'."""
+    feature).  A deterministic order replaces the source's unordered 'first N'."""
     c = classified(spark, d).filter(F.col("match_class") == "conflict")
     return top_n(c, 10, "similarity", "source_table", "source_column").select("source_table", "source_column", "similarity")
 

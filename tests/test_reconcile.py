@@ -1,5 +1,5 @@
 """Reconciliation cases of FIXTURES.md §4, checked against a brute-force
-Python model of the reference behaviour (difflib ratio, fallback resolution,
+Python model of the documented behaviour (difflib ratio, fallback resolution,
 final scoring)."""
 
 import difflib
