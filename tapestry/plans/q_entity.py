@@ -13,7 +13,7 @@ from tapestry.functions.codes import classify, role_of, translate, yes_no
 from tapestry.functions.keys import (base_name, first_non_empty, full_name, iso_ts, padded_name, split_code,
                                      surrogate_key)
 from tapestry.operators.lookup import Lookup, attach, join_back, lookup, lookup_chain
-from tapestry.operators.nest import Nest, NestConcat, NestUnion, nest_many, primary_of, schedule_entries
+from tapestry.operators.nest import Nest, NestConcat, NestUnion, nest_many, primary_of, schedule_entries, unpivot_schedule
 from tapestry.operators.project import const, derive, lower_columns, null_as, prefix_columns, project, trim_strings
 from tapestry.operators.quality import apply_rules, dq_summary, flatten_results
 from tapestry.operators.reconcile import dedupe_first, last_per_key
@@ -671,6 +671,16 @@ def q_weekly_schedule(spark, d):
     return out.select("l_orderkey", arr_text("schedule", ["ref", "day", "st", "en"]).alias("schedule"))
 
 
+@register("unpivot_schedule", _SHIFTS_SQL + """
+SELECT l_orderkey, l_linenumber, l_partkey, day, st, en FROM u
+""")
+def q_unpivot_schedule(spark, d):
+    """J4 as rows: one row per line item and "day", first non-empty shift."""
+    li = _shifts(T(spark, d, "lineitem"))
+    return unpivot_schedule(li, DAYS, keep=["l_orderkey", "l_linenumber", "l_partkey"], day_field="day",
+                            start_field="st", end_field="en")
+
+
 def _order_lists(spark, d):
     o = T(spark, d, "orders")
     li = T(spark, d, "lineitem")
