@@ -45,7 +45,8 @@ REVIEW_BELOW = 0.6
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
     """Keep the row with the greatest ``order`` per key ("later overwrites
     earlier").  ``max_by`` is a partial aggregate, so no per-group sort and no
-    whole group in one task."""
+    whole group in one task.  ``order`` must be unique within a key (a tie
+    would make the kept row depend on task scheduling)."""
     others = [c for c in df.columns if c not in keys]
     o = F.col(order) if isinstance(order, str) else order
     picked = F.max_by(F.struct(*[F.col(c) for c in others]), o).alias("__r")

@@ -258,9 +258,11 @@ def resolve_bindings(spark, bindings: DataFrame, table_lists: DataFrame, keys: S
     first = table_lists.filter(F.col("position") == 0).select(*keys, F.col("list_name").alias("ref"),
                                                               F.col("table_name").alias("via_list"))
     base = bindings.join(first, keys + ["ref"], "left")
+    # a variable bound more than once keeps one table deterministically (the
+    # greatest name), so a recomputed partition always resolves the same way
     direct = base.filter(F.col("kind") != "var").select(
         *keys, "var", F.when(F.col("kind") == "list", F.col("via_list")).otherwise(F.col("ref")).alias("table_name")
-    ).filter(F.col("table_name").isNotNull()).dropDuplicates(keys + ["var"])
+    ).filter(F.col("table_name").isNotNull()).groupBy(*keys, "var").agg(F.max("table_name").alias("table_name"))
     carried = base.filter(F.col("kind") == "var").select(*keys, F.col("var").alias("target"), F.col("ref").alias("source"))
     walks = lineage_closure(spark, carried, keys=keys, max_depth=max_depth)
     via = walks.join(direct.withColumnRenamed("var", "ancestor"), keys + ["ancestor"], "inner")
