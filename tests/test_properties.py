@@ -149,3 +149,60 @@ def test_role_model(spark, code_sets):
         elif len(codes) > 1:
             want = (True, "Both PCP and Specialist")
         assert (row.r.pcp_ind, row.r.service_provider_role) == want
+
+
+# --- cells ---------------------------------------------------------------------
+LINE = st.sampled_from(["x = 1", "", "  ", "# COMMAND ----------", "  # COMMAND ----------  ", "# MAGIC %sql",
+                        "# MAGIC %md", "# MAGIC SELECT 1", "# MAGIC", "#  MAGIC not magic", "\t# MAGIC  padded ",
+                        "y = col('a')", "\x1c# COMMAND ----------"])
+NOTEBOOK = st.lists(LINE, max_size=12).map("\n".join)
+
+
+def m_cells(text):
+    """Cells of a notebook text (type belongs to the cell)."""
+    lines = text.split("\n")
+    groups, cur = [], []
+    for ln in lines:
+        if ln.strip().startswith("# COMMAND ----------"):
+            groups.append(cur)
+            cur = []
+        else:
+            cur.append(ln)
+    groups.append(cur)
+    out = []
+    for no, g in enumerate(groups):
+        if not g:
+            continue
+        if any(x.strip().startswith("# MAGIC %sql") for x in g):
+            typ = "sql"
+        elif any(x.strip().startswith("# MAGIC %md") for x in g):
+            typ = "markdown"
+        else:
+            typ = "pyspark"
+        body = []
+        for x in g:
+            s = x.strip()
+            if s.startswith("# MAGIC %sql") or s.startswith("# MAGIC %md"):
+                continue
+            if s.startswith("# MAGIC"):
+                c = x.replace("# MAGIC", "").strip()
+                if c:
+                    body.append(c)
+            else:
+                body.append(x)
+        if body:
+            out.append((no, typ, "\n".join(body)))
+    return out
+
+
+@SETTINGS
+@given(st.lists(NOTEBOOK, min_size=1, max_size=10))
+def test_split_cells_model(spark, texts):
+    from tapestry.operators.scripts import split_cells
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "path int, text string")
+    got = {}
+    for r in split_cells(df).collect():
+        got.setdefault(r.path, []).append((r.cell_no, r.cell_type, r.text))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == m_cells(t), t
