@@ -206,3 +206,40 @@ def test_split_cells_model(spark, texts):
         got.setdefault(r.path, []).append((r.cell_no, r.cell_type, r.text))
     for i, t in enumerate(texts):
         assert sorted(got.get(i, [])) == m_cells(t), t
+
+
+# --- rule blocks -------------------------------------------------------------------
+RULE_LINE = st.sampled_from(["Header", "    npi must not be null", "    length(npi) must be 10", "  two spaces x y",
+                             "    ", "    (odd) rule", "    a_b should be in ['M','F']", "\tlength(zip) must be 5",
+                             "    f(g(x)) must be 1", "        deep must be x"])
+BLOCK = st.lists(RULE_LINE, max_size=8).map(lambda ls: "\n".join(ls))
+
+
+def m_rules(block):
+    import re
+    out = {}
+    for line in block.strip().split("\n"):
+        s = line.strip()
+        if line.startswith("    "):
+            m = re.search(r"\w+\((\w+)\)", s)
+            if m:
+                c = m.group(1)
+            else:
+                mm = re.match(r"(?:(\w+)\s)|(?:(\w+)\s*\()", s)
+                c = mm.group(1) if mm else None
+            if c:
+                out[c] = out.get(c, []) + [s]
+    return {k: "; ".join(v) for k, v in out.items()}
+
+
+@SETTINGS
+@given(st.lists(BLOCK, min_size=1, max_size=8))
+def test_rule_lines_model(spark, blocks):
+    from tapestry.operators.quality import rule_lines, rules_by_column
+
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "k int, text string")
+    got = {}
+    for r in rules_by_column(rule_lines(df, keys=["k"]), ["k"]).collect():
+        got.setdefault(r.k, {})[r.column] = r.rules
+    for i, b in enumerate(blocks):
+        assert got.get(i, {}) == m_rules(b), b
