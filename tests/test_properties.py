@@ -243,3 +243,35 @@ def test_rule_lines_model(spark, blocks):
         got.setdefault(r.k, {})[r.column] = r.rules
     for i, b in enumerate(blocks):
         assert got.get(i, {}) == m_rules(b), b
+
+
+# --- pattern catalog: Java regex in Spark vs Python re ------------------------------
+TOKEN = st.sampled_from([".withColumn(", "'t'", '"u"', ", ", "col(", "lit(", "'x'", ")", "when(", "coalesce(", "a", " ",
+                         "\n", "SELECT ", "select ", " FROM ", " from ", "CASE WHEN ", " THEN ", " END", ".select(", "ß",
+                         "é", "K"])
+CODE = st.lists(TOKEN, max_size=25).map("".join)
+
+
+def m_patterns(text):
+    import re
+
+    from tapestry.operators.scripts import CODE_PATTERNS
+    out = []
+    for name, (pattern, groups, flags) in CODE_PATTERNS.items():
+        f = (re.IGNORECASE if "i" in flags else 0) | (re.DOTALL if "s" in flags else 0)
+        for no, m in enumerate(re.finditer(pattern, text, f)):
+            out.append((name, no, m.group(groups[0]), m.group(groups[1]) if len(groups) > 1 else None))
+    return sorted(out)
+
+
+@SETTINGS
+@given(st.lists(CODE, min_size=1, max_size=15))
+def test_pattern_catalog_matches_python_re(spark, texts):
+    from tapestry.operators.scripts import extract_patterns
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
+    got = {}
+    for r in extract_patterns(df, keys=["k"]).collect():
+        got.setdefault(r.k, []).append((r.pattern, r.match_no, r.g1, r.g2))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == m_patterns(t), t
