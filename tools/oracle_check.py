@@ -2,6 +2,10 @@
 the same parquet tables and compare columns, row counts and values.
 
     python tools/oracle_check.py [--sf-dir DIR] [name ...]
+
+Floats are compared exactly (``ORACLE_STRICT=0`` compares 9 significant
+digits); ``ORACLE_DTYPES=1`` also reports numeric width differences between the
+two result frames (int32 vs int64 and the like).
 """
 
 from __future__ import annotations
