@@ -44,12 +44,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
+        made = spark.sparkContext.getCheckpointDir()  # an earlier call's folder of this session
+        if made:
+            return made
         current = tempfile.mkdtemp(prefix="tapestry-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # some deployments lock core settings at runtime
-            pass
     spark.sparkContext.setCheckpointDir(current)
     return current
