@@ -9,15 +9,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapestry.llm.common import read
+from tapestry.llm.licenses import license_scan
 from tapestry.llm.tokens import token_table
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_license_scan": op6_license_scan,
         "op8_token_files": op8_token_files,
     }
 
