@@ -32,7 +32,9 @@ are ignored.
 
 from __future__ import annotations
 
-import re
+import gc
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -131,44 +133,90 @@ def segments(raw: bytes) -> Iterator[Segment]:
 
 
 class Encoder:
-    """The tokenizers library behind a bounded memory of space-separated pieces.
-
-    Byte-level BPE never merges across a single space between two non-space
-    characters, so such pieces are encoded on their own (with the space in
-    front) and remembered; a text with any other run of white space is split
-    only where that holds.
+    """The tokenizers library behind a bounded memory of words.
+
+    Byte-level BPE first parts a text into letters, digits, other signs and
+    white space, a single space going with what follows it.  So where every
+    white space is a lone space or newline, a text can be parted at those and
+    each distinct word encoded once.  A word that is letters and then signs is
+    encoded as those two parts by a second tokenizer that skips the library's
+    own parting; any other word, and any text with other white space, goes
+    through the library as it is.
     """
 
-    SAFE = re.compile(r"(?<=\S) (?=\S)")
-    RUN = re.compile(r"\s\s|^\s|\s\Z")
+    SIGNS = ".,;:!?%&$*#-()|/"
+    ODD = ["  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 
     def __init__(self, path: str, remember: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        parting = json.loads(self.whole.to_str())["pre_tokenizer"] or {}
+        self.by_word = parting.get("type") == "ByteLevel" and parting.get("use_regex") and not parting.get("add_prefix_space")
+        # byte-level BPE's letters: printable bytes stand for themselves
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in plain]
+        self.letters = {x: x for x in plain} | {x: 256 + i for i, x in enumerate(rest)}
+        self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
+        self.bare.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[10]), "isolated")
         self.remember = remember
-        self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-
-    def _learn(self, memory: dict[str, bytes], pieces: set[str], space: str) -> None:
-        new = [p for p in pieces if p not in memory]
-        if len(memory) + len(new) > self.remember:
-            memory.clear()
-            new = list(pieces)
-        got = self.tokenizer.encode_batch_fast([space + p for p in new], add_special_tokens=False)
-        memory.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, got, strict=True))
+        self.signs: dict[str, bytes] = {"": b""}
+        self.newline = self._ids(["\n"])[0]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space in front: one call, the
+        words parted by newlines, whose id then marks their ends."""
+        if not words:
+            return []
+        text = (" " + "\n ".join(words)).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]) * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words as they follow a space, or a newline that
+        is kept as their first character."""
+        new = words.difference(self.later)
+        if len(self.later) + len(new) > self.remember:
+            self.later.clear()
+            new = words
+        later, signs, tails = self.later, self.signs, self.SIGNS
+        parted = [(w, c) for w in new if (c := w.rstrip(tails)).isalpha()]
+        cores = list({c for _, c in parted}.difference(later))
+        later.update(zip(cores, self._letters_ids(cores), strict=True))
+        ends = [w[len(c) :] for w, c in parted]
+        unknown = list(set(ends).difference(signs))
+        signs.update(zip(unknown, self._ids(unknown), strict=True))
+        later.update([(w, later[c] + signs[e]) for (w, c), e in zip(parted, ends, strict=True) if e])
+        other = [w for w in new if w not in later]
+        got = self._ids([w[1:] if w[:1] == "\n" else " " + w for w in other])
+        later.update((w, self.newline + g if w[:1] == "\n" else g) for w, g in zip(other, got, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (NULL: none)."""
-        split = [self.SAFE.split(t) if self.RUN.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        self._learn(self.first, {p[0] for p in split}, "")
-        later: set[str] = set()
-        for p in split:
-            later.update(p[1:])
-        self._learn(self.later, later, " ")
+        out: list[np.ndarray | None] = [None] * len(texts)
+        parted, words = {}, set()
+        for i, t in enumerate(texts):
+            t = t or ""
+            if self.by_word and not any(x in t for x in self.ODD):
+                parted[i] = t.replace("\n", " \n").split(" ")
+                words.update(parted[i][1:])
+            else:
+                out[i] = np.frombuffer(self._ids([t])[0], "<u4")
+        self._learn(words)
         get = self.later.__getitem__
-        return [np.frombuffer(b"".join([self.first[p[0]], *map(get, p[1:])]), "<u4") for p in split]
+        first = self._ids([p[0] for p in parted.values()])
+        for (i, p), start in zip(parted.items(), first, strict=True):
+            out[i] = np.frombuffer(b"".join([start, *map(get, p[1:])]), "<u4")
+        return out
 
 
 def tokenizer_path(file: str) -> str:
@@ -196,6 +244,7 @@ def write_token_files(
     bits = id_bits(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # many small objects, no cycles
         encoder = Encoder(tokenizer_path(tokenizer_file))
         keys: list[np.ndarray] = []
         parts: list[np.ndarray] = []
