@@ -8,11 +8,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapestry.llm.backoff import lm_scores
 from tapestry.llm.common import read
 from tapestry.llm.licenses import license_scan
 from tapestry.llm.tokens import token_table
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
@@ -23,6 +28,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_lm_scores": op5_lm_scores,
         "op6_license_scan": op6_license_scan,
         "op8_token_files": op8_token_files,
     }
