@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapestry.llm.backoff import lm_scores
 from tapestry.llm.common import read
 from tapestry.llm.licenses import license_scan
+from tapestry.llm.substring import substring_digest
 from tapestry.llm.tokens import token_table
 
 
@@ -26,11 +27,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_lm_scores": op5_lm_scores,
         "op6_license_scan": op6_license_scan,
         "op8_token_files": op8_token_files,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
