@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapestry.llm.backoff import lm_scores
 from tapestry.llm.common import read
 from tapestry.llm.licenses import license_scan
+from tapestry.llm.neardup import near_duplicates
 from tapestry.llm.substring import substring_digest
 from tapestry.llm.tokens import token_table
 
@@ -23,6 +24,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_lm_scores": op5_lm_scores,
         "op6_license_scan": op6_license_scan,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_token_files": op8_token_files,
         "op10_substring_dedup": op10_substring_dedup,
     }
