@@ -147,7 +147,7 @@ class Encoder:
     SIGNS = ".,;:!?%&$*#-()|/"
     ODD = ["  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -234,7 +234,7 @@ def write_token_files(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    segment_ids: int = 4_000_000,
+    segment_ids: int = 1_000_000,
 ) -> None:
     """Encode ``text_col`` of every row and write bit-packed files under ``path``.
 
