@@ -7,13 +7,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapestry.llm.backoff import lm_scores
 from tapestry.llm.common import read
+from tapestry.llm.decontam import contaminated
 from tapestry.llm.licenses import license_scan
 from tapestry.llm.neardup import near_duplicates
 from tapestry.llm.substring import substring_digest
 from tapestry.llm.tokens import token_table
+from tapestry.llm.topk import SQL as TOP_K_SQL
+from tapestry.llm.topk import top_k
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,19 +40,25 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_top_k": op3_top_k,
         "op5_lm_scores": op5_lm_scores,
         "op6_license_scan": op6_license_scan,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_token_files": op8_token_files,
+        "op9_decontaminate": op9_decontaminate,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_top_k": TOP_K_SQL}
