@@ -16,10 +16,15 @@ from tapestry.llm.licenses import license_scan
 from tapestry.llm.neardup import near_duplicates
 from tapestry.llm.substring import substring_digest
 from tapestry.llm.tokens import token_table
+from tapestry.llm.toxicity import toxicity
 from tapestry.llm.topk import SQL as TOP_K_SQL
 from tapestry.llm.topk import top_k
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -50,6 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_top_k": op3_top_k,
         "op5_lm_scores": op5_lm_scores,
         "op6_license_scan": op6_license_scan,
