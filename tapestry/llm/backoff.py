@@ -42,13 +42,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapestry.llm.common import longs_in, mix64, text_blocks, texts_in, words_of
-from tapestry.llm.exchange import ANSWERS, PACKETS, answer_table, answers_in, key_arrays, packet_rows, packet_table
+from tapestry.llm.exchange import ANSWERS, PACKETS, answer_table, answers_in, counts_in, key_arrays, packet_rows, packet_table
 
 END = b" "  # no word holds a space
 ORDER = 2
 #: Weight of the shorter history, in words.
 PRIOR = 200.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -101,7 +101,7 @@ def sum_bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """Distinct keys of a bucket, their corpus counts, each key's place among
     them, and the packets' ends."""
     keys, ends = key_arrays(table)
-    counts = np.frombuffer(b"".join(table.column("vals").to_pylist()), "<u8")
+    counts = counts_in(table, ends)
     uniq, place = np.unique(keys, return_inverse=True)
     return uniq, np.bincount(place, weights=counts, minlength=len(uniq)).astype("<u8"), place, ends
 
@@ -116,7 +116,7 @@ def corpus_size(docs: DataFrame, key: str, text: str, train: Column, buckets: in
         def packets() -> pa.Table:
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts))
             order = np.argsort(keys)
-            return packet_table(packet_rows(0, 1, buckets, keys[order], np.fromiter(counts.values(), "<u8", len(counts))[order]))
+            return packet_table(packet_rows(0, 1, buckets, keys[order], np.fromiter(counts.values(), "<u8", len(counts))[order], counts=True))
 
         for batch in batches:
             for t in batch.column("text").to_pylist():
@@ -160,20 +160,20 @@ def score_texts(
         tokens, block = Tokens(texts_in(table)), table.column("block")[0].as_py()
         mask = train_mask(table, tokens)
         by_key = np.argsort(tokens.word_keys)
-        rows = packet_rows(block, 1, blocks, tokens.word_keys[by_key], count_in(tokens.ids, mask, len(by_key))[by_key])
+        rows = packet_rows(block, 1, blocks, tokens.word_keys[by_key], count_in(tokens.ids, mask, len(by_key))[by_key], counts=True)
         for n, keys in enumerate(tokens.gram_keys(order), 2):
             uniq, place = np.unique(keys, return_inverse=True)
-            rows += packet_rows(block, n, blocks, uniq, count_in(place, mask, len(uniq)))
+            rows += packet_rows(block, n, blocks, uniq, count_in(place, mask, len(uniq)), counts=True)
         return packet_table(rows)
 
     def count(table: pa.Table) -> pa.Table:
         _, counts, place, ends = sum_bucket(table)
-        return answer_table(table, ends, counts[place])
+        return answer_table(table, ends, counts[place], counts=True)
 
     def walk(table: pa.Table, answers: pa.Table) -> pa.Table:
         tokens = Tokens(texts_in(table))
         words = np.empty(len(tokens.word_keys), np.float64)
-        words[np.argsort(tokens.word_keys)] = answers_in(answers, 1, "<u8")
+        words[np.argsort(tokens.word_keys)] = answers_in(answers, 1)
         seen = words[tokens.ids]  # corpus count of each token
         history = words[tokens.history_ids()]
         prob = (seen + 1) / size
@@ -181,7 +181,7 @@ def score_texts(
         weight = base.copy()  # of the arcs taken so far, from the shortest history up
         for n, keys in enumerate(tokens.gram_keys(order), 2):
             _, place = np.unique(keys, return_inverse=True)
-            arcs = answers_in(answers, n, "<u8")[place].astype(np.float64)
+            arcs = answers_in(answers, n)[place].astype(np.float64)
             arcs[keys == 0] = 0
             history = np.where(keys == 0, 0, history)
             prob = (arcs + prior * prob) / (history + prior)
