@@ -8,25 +8,25 @@ if it has fewer words).  Documents are linked if 100 * intersection >=
    any size is one row from here on.
 2. A class's MinHash signature has ``COORDS`` coordinates; it is posted under
    each coordinate-value pair.  Values that only one class has cannot collide.
-   A pair of classes is a candidate if at least ``MATCHES`` of its coordinates
-   collide.  At the similarity 0.85 the number of collisions is binomial with
-   mean 40.8 of 48, so MATCHES = 28 loses a link with a chance of about 1e-6
-   (and a class only falls apart if no other path joins it).
-3. Prefix merging: with at least MATCHES common postings, two classes share
-   one of the first ``postings - MATCHES + 1`` of each, rarest first.  Only
-   those are joined, so the long lists (common passages) are mostly skipped.
-4. Rounds of stars: each list names one member its pivot, and the other
-   members are compared with it: a number of comparisons that grows with the
-   list, not with its square.  A comparison counts the signatures' collisions
-   first and then confirms on the full sets.  Lists whose members are already
-   in one component are skipped.
-5. Completion: within each list, members outside its largest component are
-   compared with every member of another component.  After that every
-   candidate pair has been compared or lies within one component, so no link
-   between components is missed.
-
-Postings, pairs and sets are only ever joined by key (Spark splits a hot key
-of those joins); nothing is collected.
+   A pair of classes is a candidate if enough coordinates collide:
+   ``least_matches`` sets the number so that a pair at the very threshold falls
+   short of it with a chance below 1e-6 (28 of 48 at 0.85).
+3. Prefix merging: with at least m common postings, two classes share one of
+   the first ``postings - m + 1`` of each, rarest first.  Only those lists are
+   used, so the long lists (common passages) are mostly skipped.  Classes that
+   such lists connect form a family; candidates lie within one family.
+4. In families of more than ``CELL`` classes, rounds of stars come first: each
+   list names one member its pivot and the other members are compared with it,
+   a number of comparisons that grows with the list, not with its square.
+5. Completion: within each family, the classes outside its largest component
+   are compared with all classes of other components, in cells of CELL by CELL
+   classes.  A cell counts the signatures' collisions, confirms candidates on
+   the full sets and returns links only.  After that every candidate pair has
+   been compared or lies within one component, so no link between components
+   is missed.
+
+No pair of documents becomes a row unless one of the two is a pivot or the
+pair is a link; a class's set is sent to the cells of its family only.
 
 Edge cases: NULL or empty texts, or texts without words, have an empty set and
 are linked with nothing; rows with a NULL id take no part (component_id NULL,
@@ -36,6 +36,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -51,10 +52,23 @@ from tapestry.llm.components import components
 from tapestry.llm.substring import BASES, rolling
 
 SHINGLE = 5
-COORDS, MATCHES = 48, 28
+COORDS = 48
 PERCENT = 85
-ROUNDS = 3
+ROUNDS = 2
+CELL = 256
 SLICE = 256
+COLUMNS = 8192
+
+
+def least_matches(percent: int, miss: float = 1e-6) -> int:
+    """The most collisions to ask for, so that a pair of similarity percent/100
+    has fewer with a chance of at most ``miss``."""
+    p, below, m = percent / 100, 0.0, 0
+    while True:
+        below += math.comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)
+        if below > miss:
+            return m
+        m += 1
 
 
 def permutations(n: int = COORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +137,16 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, what: str) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class numbers whose signatures collide in MATCHES
-    coordinates at least and whose full sets are similar enough."""
+    """The pairs (a, b) of class numbers whose signatures collide often enough
+    and whose full sets are similar enough."""
+    least = least_matches(percent)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, sig_a, sig_b, set_a, set_b = (batch.column(c) for c in ("a", "b", "sig_a", "sig_b", "set_a", "set_b"))
             same = (sig_a.flatten().to_numpy() == sig_b.flatten().to_numpy()).reshape(-1, COORDS).sum(axis=1)
             ok = np.zeros(batch.num_rows, bool)
-            for i in np.flatnonzero(same >= MATCHES):
+            for i in np.flatnonzero(same >= least):
                 x, y = (np.frombuffer(s[int(i)].as_buffer(), "<u8") for s in (set_a, set_b))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
@@ -144,14 +159,57 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def postings_of(classes: DataFrame) -> DataFrame:
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as matrix products over
+    slices of the shingles that at least two sets hold."""
+    sizes = [len(s) for s in (*left, *right)]
+    _, column, held = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = np.cumsum(held > 1) - 1
+    row, keep = np.repeat(np.arange(len(sizes)), sizes), held[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        grid = np.zeros((len(sizes), COLUMNS), np.float32)
+        grid[row[i:j], column[i:j] - at] = 1
+        out += grid[: len(left)] @ grid[len(left) :].T
+    return out.astype(np.int64)
+
+
+def compare_cell(left: pa.Table, right: pa.Table, percent: int, least: int) -> pa.Table:
+    """Links between the left and right classes of different components: one
+    for each two components that any pair of them joins."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not len(left) or not len(right):
+        return none
+    sig_a, sig_b = (t.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDS) for t in (left, right))
+    comp_a, comp_b, id_a, id_b = (t.column(c).to_numpy() for c in ("comp", "cid") for t in (left, right))
+    collide = np.zeros((len(sig_a), len(sig_b)), np.int16)
+    for k in range(COORDS):
+        collide += sig_a[:, k][:, None] == sig_b[:, k][None, :]
+    candidate = (collide >= least) & (comp_a[:, None] != comp_b[None, :])
+    if not candidate.any():
+        return none
+    rows, cols = np.flatnonzero(candidate.any(axis=1)), np.flatnonzero(candidate.any(axis=0))
+    sets_a, sets_b = ([np.frombuffer(t.column("shingles")[int(i)].as_buffer(), "<u8") for i in at] for t, at in ((left, rows), (right, cols)))
+    common = common_counts(sets_a, sets_b)
+    union = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None, :] - common
+    i, j = np.nonzero((100 * common >= percent * union) & candidate[np.ix_(rows, cols)])
+    i, j = rows[i], cols[j]
+    _, first = np.unique(np.stack([comp_a[i], comp_b[j]], axis=1), axis=0, return_index=True)
+    return pa.table({"a": id_a[i[first]], "b": id_b[j[first]]})
+
+
+def postings_of(classes: DataFrame, least: int) -> DataFrame:
     """(cid, n_shingles, pair): the prefix postings of each class that shares
     enough coordinate values with others."""
     posts = classes.select("cid", "n_shingles", F.explode("signature").alias("pair"))
     shared = posts.groupBy("pair").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     listed = posts.join(shared, "pair").groupBy("cid", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "pair"))).alias("posts"))
-    prefix = F.slice("posts", 1, F.size("posts") - MATCHES + 1)
-    return listed.where(F.size("posts") >= MATCHES).select("cid", "n_shingles", F.explode(prefix).alias("p")).select("cid", "n_shingles", F.col("p.pair").alias("pair"))
+    prefix = F.slice("posts", 1, F.size("posts") - least + 1)
+    return listed.where(F.size("posts") >= least).select("cid", "n_shingles", F.explode(prefix).alias("p")).select("cid", "n_shingles", F.col("p.pair").alias("pair"))
 
 
 def alike(a: str, b: str, percent: int):
@@ -159,6 +217,30 @@ def alike(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
+def complete(sizes: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of a family, cell by cell."""
+    least = least_matches(percent)
+    now = sizes.join(comps, "cid")
+    parts = now.groupBy("family", "size", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("family", "size")
+    parts = parts.agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    main = parts.select(
+        "family", F.col("m.comp").alias("main"),
+        F.ceil((F.col("size") - F.col("m.n")) / CELL).cast("int").alias("rows"), F.ceil(F.col("size") / CELL).cast("int").alias("columns"),
+    )
+    told = now.select("cid", "family", "comp").join(main, "family").join(sets, "cid")
+    deal = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fields = ("family", "row", "column", "cid", "comp", "signature", "shingles")
+    left = told.where("comp <> main").withColumn("row", deal("rows")).withColumn("column", every("columns")).select(*fields)
+    right = told.withColumn("column", deal("columns")).withColumn("row", every("rows")).select(*fields).toDF(*[f"{c}_" for c in fields])
+    keys = ("family", "row", "column")
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        return compare_cell(a, b.rename_columns(list(fields)), percent, least)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_" for k in keys])).applyInArrow(compare, "a long, b long")
+
+
 def merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components (cid, comp) after adding the links (a, b) of classes."""
     comp = lambda c: comps.select(F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}"))
@@ -179,7 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
         .agg(F.min("doc_id").alias("first_doc"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
     )
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    posts = stage(postings_of(classes), "postings")
+    posts = stage(postings_of(classes, least_matches(percent)), "postings")
     members = posts.select("cid").distinct()
     reps = classes.join(members, "cid").select("cid", "signature", "class_key", F.col("first_doc").alias("doc_id"))
     source = docs.join(reps.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
@@ -187,25 +269,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     sets = stage(reps.join(full, ["doc_id", "class_key"]).select("cid", "signature", "shingles").dropDuplicates(["cid"]), "sets")
 
     comps = stage(members.select("cid", F.col("cid").alias("comp")), "comps")
-    for r in range(rounds):
-        now = posts.join(comps, "cid")
-        rank = F.xxhash64("cid", F.lit(r), *([F.col("pair")] if r else []))
-        # a list's pivot: one member, another one in each round and (after the first) in each list
+    lists = posts.groupBy("pair").agg(F.min("cid").alias("b"))
+    families = components(posts.join(lists, "pair").select(F.col("cid").alias("a"), "b").distinct())
+    families = families.select(F.col("id").alias("cid"), F.col("label").alias("family"))
+    sizes = stage(families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "family"), "families")
+    large = posts.join(sizes.where(F.col("size") > CELL).select("cid"), "cid")
+    for r in range(rounds if sizes.where(F.col("size") > CELL).limit(1).count() else 0):
+        now = large.join(comps, "cid")
+        rank = F.xxhash64("cid", "pair", F.lit(r))
+        # a list's pivot: one member, another one in each list and round
         pivot = F.min(F.struct(rank.alias("rank"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("n_b"))).alias("p")
         pivots = now.groupBy("pair").agg(pivot, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pair", "p.*")
         star = now.join(pivots, "pair").where(F.expr("comp <> comp_b") & alike("n_shingles", "n_b", percent))
         pairs = star.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
         comps = merge(comps, stage(confirm(pairs, sets, percent), "links"))
-
-    now = posts.join(comps, "cid")
-    by_list = now.groupBy("pair", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("pair")
-    largest = by_list.agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("pair", F.col("m.comp").alias("main"))
-    open_lists = now.join(largest, "pair")
-    outside = open_lists.where("comp <> main").select("pair", F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.col("n_shingles").alias("n_a"))
-    every = open_lists.select("pair", F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("n_b"), (F.col("comp") == F.col("main")).alias("inside"))
-    met = outside.alias("x").join(every.alias("y"), (F.col("x.pair") == F.col("y.pair")) & F.expr("comp_a <> comp_b AND (inside OR a < b)") & alike("n_a", "n_b", percent))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comps = merge(comps, stage(confirm(pairs, sets, percent), "links"))
+    comps = merge(comps, stage(complete(sizes, comps, sets, percent), "links"))
 
     named = classes.select("cid", "class_key", "first_doc").join(comps, "cid", "left")
     # the smallest document of a component, from the few classes that were compared
