@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,7 +134,7 @@ def segments(raw: bytes) -> Iterator[Segment]:
 
 
 class Encoder:
-    """The tokenizers library behind a bounded memory of words.
+    """The tokenizers library, asked once for each distinct word of a batch.
 
     Byte-level BPE first parts a text into letters, digits, other signs and
     white space, a single space going with what follows it.  So where every
@@ -145,9 +146,12 @@ class Encoder:
     """
 
     SIGNS = ".,;:!?%&$*#-()|/"
-    ODD = ["  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+    #: White space that is not a lone space or newline.
+    ODD = "  |\n\n| \n|\n |[\t\r\x0b\x0c\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    #: Letters of long-settled alphabets (the others take the library's own way).
+    LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f]+$"
 
-    def __init__(self, path: str, remember: int = 150_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -162,9 +166,6 @@ class Encoder:
         self.bare = Tokenizer.from_file(path)
         self.bare.encode_special_tokens = True
         self.bare.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[10]), "isolated")
-        self.remember = remember
-        self.later: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
         self.newline = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -181,42 +182,67 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of words as they follow a space, or a newline that
-        is kept as their first character."""
-        new = words.difference(self.later)
-        if len(self.later) + len(new) > self.remember:
-            self.later.clear()
-            new = words
-        later, signs, tails = self.later, self.signs, self.SIGNS
-        parted = [(w, c) for w in new if (c := w.rstrip(tails)).isalpha()]
-        cores = list({c for _, c in parted}.difference(later))
-        later.update(zip(cores, self._letters_ids(cores), strict=True))
-        ends = [w[len(c) :] for w, c in parted]
-        unknown = list(set(ends).difference(signs))
-        signs.update(zip(unknown, self._ids(unknown), strict=True))
-        later.update([(w, later[c] + signs[e]) for (w, c), e in zip(parted, ends, strict=True) if e])
-        other = [w for w in new if w not in later]
+    def _word_ids(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words as they follow a space, or a newline that is
+        their first character."""
+        cores = pc.utf8_rtrim(words, self.SIGNS)
+        alpha = pc.match_substring_regex(cores, self.LETTERS)
+        of = cores.filter(alpha).dictionary_encode()
+        known = self._letters_ids(of.dictionary.to_pylist())
+        sizes = pc.utf8_length(cores.filter(alpha)).to_numpy(zero_copy_only=False)
+        ends = [w[n:] for w, n in zip(words.filter(alpha).to_pylist(), sizes.tolist(), strict=True)]
+        signs = dict(zip(distinct := list(set(ends) - {""}), self._ids(distinct), strict=True)) | {"": b""}
+        parted = [known[k] + signs[e] for k, e in zip(of.indices.to_pylist(), ends, strict=True)]
+        other = words.filter(pc.invert(alpha)).to_pylist()
         got = self._ids([w[1:] if w[:1] == "\n" else " " + w for w in other])
-        later.update((w, self.newline + g if w[:1] == "\n" else g) for w, g in zip(other, got, strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text (NULL: none)."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        parted, words = {}, set()
-        for i, t in enumerate(texts):
-            t = t or ""
-            if self.by_word and not any(x in t for x in self.ODD):
-                parted[i] = t.replace("\n", " \n").split(" ")
-                words.update(parted[i][1:])
-            else:
-                out[i] = np.frombuffer(self._ids([t])[0], "<u4")
-        self._learn(words)
-        get = self.later.__getitem__
-        first = self._ids([p[0] for p in parted.values()])
-        for (i, p), start in zip(parted.items(), first, strict=True):
-            out[i] = np.frombuffer(b"".join([start, *map(get, p[1:])]), "<u4")
-        return out
+        rest = [self.newline + g if w[:1] == "\n" else g for w, g in zip(other, got, strict=True)]
+        turn = alpha.to_numpy(zero_copy_only=False)
+        out = np.empty(len(words), object)
+        out[turn], out[~turn] = parted, rest
+        return out.tolist()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and each text's number of ids
+        (a NULL has none)."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        parts = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
+        lists, words = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), parts.flatten()
+        first = np.cumsum(lists) - lists
+        later = np.ones(len(words), bool)
+        later[first] = False
+        found = words.filter(pa.array(later)).dictionary_encode()
+        starts = iter(self._ids(words.take(pa.array(first)).to_pylist()))
+        known = self._word_ids(found.dictionary)
+        whole = iter(self._ids(texts.filter(pa.array(odd)).to_pylist()))
+        # pieces: the distinct words, then one piece for each text (its first word, or all of it)
+        heads = [next(whole) if o else next(starts) for o in odd.tolist()]
+        pieces = [*known, *heads]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        at = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(pieces), "<u4")
+        n_words = np.ones(len(texts), np.int64)
+        n_words[~odd] = lists
+        ends = np.cumsum(n_words)
+        order = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        head = np.zeros(len(order), bool)
+        head[ends - n_words] = True
+        order[head] = len(known) + np.arange(len(texts))
+        order[~head] = found.indices.to_numpy(zero_copy_only=False)
+        width = size[order]
+        run = np.cumsum(width)
+        ids = flat[np.arange(int(run[-1]) if len(run) else 0) + np.repeat(at[order] - (run - width), width)]
+        return ids, np.add.reduceat(width, ends - n_words) if len(texts) else np.empty(0, np.int64)
+
+
+def text_slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(start, rows) of slices of about ``most`` bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
+        yield at, min(end, len(texts)) - at
+        at = end
 
 
 def tokenizer_path(file: str) -> str:
@@ -234,7 +260,7 @@ def write_token_files(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    segment_ids: int = 1_000_000,
+    segment_ids: int = 2_000_000,
 ) -> None:
     """Encode ``text_col`` of every row and write bit-packed files under ``path``.
 
@@ -248,24 +274,22 @@ def write_token_files(
         encoder = Encoder(tokenizer_path(tokenizer_file))
         keys: list[np.ndarray] = []
         parts: list[np.ndarray] = []
-        lengths: list[int] = []
+        lengths: list[np.ndarray] = []
         held = 0
-        end = np.array([end_id], "<u4")
 
         def flush() -> pa.RecordBatch:
-            raw = segment(np.concatenate(keys), np.array(lengths, np.int64), np.concatenate(parts), bits)
+            raw = segment(np.concatenate(keys), np.concatenate(lengths), np.concatenate(parts), bits)
             keys.clear(), parts.clear(), lengths.clear()
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["segment"])
 
         for batch in batches:
-            ids, texts = longs_in(batch, "key"), batch.column("text")
-            for i in range(0, len(ids), 256):
-                got = encoder.encode(texts[i : i + 256].to_pylist())
-                keys.append(ids[i : i + 256])
-                for g in got:
-                    parts += [g, end]
-                    lengths.append(len(g) + 1)
-                    held += len(g) + 1
+            for i, n in text_slices(batch.column("text")):
+                ids, sizes = encoder.encode(batch.column("text").slice(i, n))
+                ends = np.cumsum(sizes)
+                keys.append(longs_in(batch.slice(i, n), "key"))
+                parts.append(np.insert(ids, ends, end_id))
+                lengths.append(sizes + 1)
+                held += len(ids) + n
                 if held >= segment_ids:
                     yield flush()
                     held = 0
