@@ -32,7 +32,6 @@ are ignored.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import zlib
@@ -146,6 +145,7 @@ class Encoder:
     """
 
     SIGNS = ".,;:!?%&$*#-()|/"
+    TAIL = "^.*?([.,;:!?%&$*#\\-()|/]*)$"
     #: White space that is not a lone space or newline.
     ODD = "  |\n\n| \n|\n |[\t\r\x0b\x0c\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     #: Letters of long-settled alphabets (the others take the library's own way).
@@ -182,24 +182,24 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
-    def _word_ids(self, words: pa.Array) -> list[bytes]:
-        """Ids of distinct words as they follow a space, or a newline that is
-        their first character."""
+    def _word_pieces(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Pieces of ids (piece 0 is empty), and the two pieces of each distinct
+        word as it follows a space, or a newline that is its first character."""
         cores = pc.utf8_rtrim(words, self.SIGNS)
         alpha = pc.match_substring_regex(cores, self.LETTERS)
-        of = cores.filter(alpha).dictionary_encode()
-        known = self._letters_ids(of.dictionary.to_pylist())
-        sizes = pc.utf8_length(cores.filter(alpha)).to_numpy(zero_copy_only=False)
-        ends = [w[n:] for w, n in zip(words.filter(alpha).to_pylist(), sizes.tolist(), strict=True)]
-        signs = dict(zip(distinct := list(set(ends) - {""}), self._ids(distinct), strict=True)) | {"": b""}
-        parted = [known[k] + signs[e] for k, e in zip(of.indices.to_pylist(), ends, strict=True)]
+        core = cores.filter(alpha).dictionary_encode()
+        tail = pc.replace_substring_regex(words.filter(alpha), self.TAIL, "\\1").dictionary_encode()
         other = words.filter(pc.invert(alpha)).to_pylist()
         got = self._ids([w[1:] if w[:1] == "\n" else " " + w for w in other])
         rest = [self.newline + g if w[:1] == "\n" else g for w, g in zip(other, got, strict=True)]
+        pieces = [b"", *self._letters_ids(core.dictionary.to_pylist()), *self._ids(tail.dictionary.to_pylist()), *rest]
+        n_core, n_tail = len(core.dictionary), len(tail.dictionary)
         turn = alpha.to_numpy(zero_copy_only=False)
-        out = np.empty(len(words), object)
-        out[turn], out[~turn] = parted, rest
-        return out.tolist()
+        two = np.zeros((len(words), 2), np.int64)
+        two[turn, 0] = 1 + core.indices.to_numpy(zero_copy_only=False)
+        two[turn, 1] = 1 + n_core + tail.indices.to_numpy(zero_copy_only=False)
+        two[~turn, 0] = 1 + n_core + n_tail + np.arange(len(other))
+        return pieces, two
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and each text's number of ids
@@ -213,9 +213,9 @@ class Encoder:
         later[first] = False
         found = words.filter(pa.array(later)).dictionary_encode()
         starts = iter(self._ids(words.take(pa.array(first)).to_pylist()))
-        known = self._word_ids(found.dictionary)
+        known, two = self._word_pieces(found.dictionary)
         whole = iter(self._ids(texts.filter(pa.array(odd)).to_pylist()))
-        # pieces: the distinct words, then one piece for each text (its first word, or all of it)
+        # a text's pieces: its first word (or all of it), then two for each later word
         heads = [next(whole) if o else next(starts) for o in odd.tolist()]
         pieces = [*known, *heads]
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
@@ -224,15 +224,16 @@ class Encoder:
         n_words = np.ones(len(texts), np.int64)
         n_words[~odd] = lists
         ends = np.cumsum(n_words)
-        order = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        order = np.zeros((int(ends[-1]) if len(ends) else 0, 2), np.int64)
         head = np.zeros(len(order), bool)
         head[ends - n_words] = True
-        order[head] = len(known) + np.arange(len(texts))
-        order[~head] = found.indices.to_numpy(zero_copy_only=False)
+        order[head, 0] = len(known) + np.arange(len(texts))
+        order[~head] = two[found.indices.to_numpy(zero_copy_only=False)]
+        order = order.reshape(-1)
         width = size[order]
         run = np.cumsum(width)
         ids = flat[np.arange(int(run[-1]) if len(run) else 0) + np.repeat(at[order] - (run - width), width)]
-        return ids, np.add.reduceat(width, ends - n_words) if len(texts) else np.empty(0, np.int64)
+        return ids, np.add.reduceat(width, 2 * (ends - n_words)) if len(texts) else np.empty(0, np.int64)
 
 
 def text_slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
@@ -270,7 +271,6 @@ def write_token_files(
     bits = id_bits(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects, no cycles
         encoder = Encoder(tokenizer_path(tokenizer_file))
         keys: list[np.ndarray] = []
         parts: list[np.ndarray] = []
