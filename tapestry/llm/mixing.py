@@ -159,7 +159,7 @@ def copies(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFra
     """The rows of ``docs``, each as often as its rate says: the whole part
     always, the fraction by a hash of the id.  ``rates`` has an id once."""
     chance = F.pmod(F.xxhash64(id_col, F.lit(77)), F.lit(1_000_000)) / 1e6
-    n = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("n")
-    often = rates.select(F.col("doc_id").alias(id_col), n).where("n > 0")
-    turns = F.explode(F.sequence(F.lit(1), F.col("n")))
-    return docs.join(often, id_col).withColumn("n", turns).select(docs.columns)
+    n = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
+    often = rates.select(F.col("doc_id").alias(id_col), "rate").select(id_col, n.alias("_copies")).where("_copies > 0")
+    turns = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return docs.join(often, id_col).withColumn("_copies", turns).select(docs.columns)

@@ -129,7 +129,7 @@ def test_top_k_against_brute_force(spark):
     flat = [(1000 + i, np.round(rng.normal(size=8), 1).astype(np.float32).tolist()) for i in range(300)]
     same = [(5000 + i, [0.5] * 8) for i in range(120)]
     odd = [(50, None), (9100, [1.0, None]), (9150, [float("nan")] * 8), (9200, [float("inf")] * 8), (9250, []), (9300, [0.1, -0.2]), (None, [1.0] * 8), (0, [2.0] * 8)]
-    huge = [(9350, [3.0e7] * 8), (9400, [-2.5e6] * 8)]
+    huge = [(9350, [3.0e6] * 8), (9400, [-2.5e5] * 8)]
     for rows in (near + flat + same, near + odd, near[:40] + huge, odd, odd[:1], []):
         df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], "vec_id long, embedding array<float>, block int, score int")
         rows = [(r[0], r[1]) for r in df.collect()]
