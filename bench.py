@@ -29,10 +29,10 @@ HEADLINE = [
     "dq_flatten",          # rule evaluation
     "dedupe_first",        # keep-first per key
     "score_confidence",    # reconcile -> classify -> resolve -> score
-    "classify_matches_ratio",  # exact similarity (pandas UDF on matched pairs)
+    "classify_matches",    # native similarity on matched pairs
     "split_cells",         # whole-text cell split
     "extract_patterns",    # regex extraction over html
-    "lineage_closure",     # recursive CTE
+    "lineage_closure",     # doubling closure
 ]
 
 

@@ -19,7 +19,6 @@ from tapestry.functions.keys import (  # noqa: F401
     clamp,
     first_non_empty,
     full_name,
-    head_text,
     iso_ts,
     padded_name,
     split_code,

@@ -64,8 +64,3 @@ def base_name(c, first: bool = False) -> Column:
 def clamp(c, lo: float = 0.1, hi: float = 1.0) -> Column:
     """``max(min(c, hi), lo)``."""
     return F.greatest(F.least(as_col(c), F.lit(hi)), F.lit(lo))
-
-
-def head_text(c, n: int) -> Column:
-    """First ``n`` characters of a text."""
-    return F.substring(as_col(c), 1, n)

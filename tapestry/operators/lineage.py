@@ -1,8 +1,9 @@
 """Lineage edges and their transitive closure.
 
-``lineage_closure`` is a recursive CTE (``WITH RECURSIVE``): every step is a
-join of the frontier with the edge table, so it runs distributed; the path of
-each walk is carried to stop cycles, and ``max_depth`` bounds the recursion.
+Closures hold each (node, ancestor) pair once, with its shortest distance, and
+double the distance they reach in every round, so a walk of any depth takes a
+logarithmic number of joins.  Rounds are written to the shared checkpoint
+folder; one count a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapestry.operators.scripts import RAW_DICT_NAMES
+from tapestry.session import written
 
 
 def lineage_edges(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",),
@@ -46,33 +48,55 @@ def lineage_edges(df: DataFrame, text_col: str = "text", keys: Sequence[str] = (
     return edges.filter(keep).distinct()
 
 
+def _pairs(edges: DataFrame, child: str, parent: str, keys: Sequence[str]) -> DataFrame:
+    e = edges.select(*keys, F.col(child).alias("node"), F.col(parent).alias("ancestor"))
+    return e.where(F.col("node") != F.col("ancestor")).distinct()
+
+
 def lineage_closure(spark: SparkSession, edges: DataFrame, child: str = "target", parent: str = "source",
-                    keys: Sequence[str] = (), max_depth: int = 64) -> DataFrame:
-    """All (node, ancestor, depth) pairs reachable through ``edges``.
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """All (keys..., node, ancestor, depth) pairs reachable through
+    ``edges``, each once, ``depth`` being the shortest distance.  A node is not
+    its own ancestor (cycles); edges with a NULL end are dropped.
 
-    Cycles are cut by the walked path; ``max_depth`` bounds the walk."""
+    A shortest path longer than 2^k splits after 2^k edges, so the pairs of
+    distance in (2^k, 2^(k+1)] come from joining the pairs of distance 2^k with
+    all pairs known so far."""
     keys = list(keys)
-    kcols = "".join(f"{k}, " for k in keys)
-    kjoin = "".join(f"r.{k} = e.{k} AND " for k in keys)
-    kr = "".join(f"r.{k}, " for k in keys)
-    e = edges.select(*keys, F.col(child).alias("child"), F.col(parent).alias("parent")).distinct()
-    sql = f"""
-    WITH RECURSIVE r({kcols}node, ancestor, depth, walk) AS (
-      SELECT {kcols}child, parent, 1, array(child, parent) FROM {{e}}
-      UNION ALL
-      SELECT {kr}r.node, e.parent, r.depth + 1, concat(r.walk, array(e.parent))
-      FROM r JOIN {{e}} e ON {kjoin}r.ancestor = e.child
-      WHERE NOT array_contains(r.walk, e.parent) AND r.depth < {int(max_depth)}
-    )
-    SELECT {kcols}node, ancestor, depth FROM r
-    """
-    return spark.sql(sql, e=e)
+    known = written(_pairs(edges, child, parent, keys).withColumn("depth", F.lit(1)), "closure")
+    reach = 1
+    while True:
+        half = known.where(F.col("depth") == reach).select(*keys, "node", F.col("ancestor").alias("via"))
+        rest = known.select(*keys, F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        far = half.join(rest, [*keys, "via"]).where(F.col("node") != F.col("ancestor"))
+        far = far.groupBy(*keys, "node", "ancestor").agg(F.min("depth").alias("depth"))
+        new = written(far.join(known.select(*keys, "node", "ancestor"), [*keys, "node", "ancestor"], "left_anti"), "closure")
+        if not new.limit(1).count():
+            return known
+        known = known.unionByName(new)
+        reach *= 2
 
 
 def lineage_roots(spark: SparkSession, edges: DataFrame, child: str = "target", parent: str = "source",
-                  keys: Sequence[str] = (), max_depth: int = 64) -> DataFrame:
-    """Root sources of every node: closure ancestors that have no parent."""
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """The roots (ancestors without a parent) of every node with their shortest
+    distance, without the closure in between: walks of exactly 2^k edges are
+    doubled by joining them with themselves, and each round joins them with the
+    (node, root) pairs found so far."""
     keys = list(keys)
-    closure = lineage_closure(spark, edges, child, parent, keys, max_depth)
-    has_parent = edges.select(*keys, F.col(child).alias("ancestor")).distinct()
-    return closure.join(has_parent, keys + ["ancestor"], "left_anti").select(*keys, "node", F.col("ancestor").alias("root"), "depth")
+    walks = written(_pairs(edges, child, parent, keys), "walks")
+    has_parent = walks.select(*keys, F.col("node").alias("ancestor")).distinct()
+    first = walks.join(has_parent, [*keys, "ancestor"], "left_anti")
+    known = written(first.select(*keys, "node", F.col("ancestor").alias("root"), F.lit(1).alias("depth")), "roots")
+    reach = 1
+    while True:
+        step = walks.select(*keys, "node", F.col("ancestor").alias("via"))
+        on = known.select(*keys, F.col("node").alias("via"), "root", (F.col("depth") + reach).alias("depth"))
+        far = step.join(on, [*keys, "via"]).groupBy(*keys, "node", "root").agg(F.min("depth").alias("depth"))
+        new = written(far.join(known.select(*keys, "node", "root"), [*keys, "node", "root"], "left_anti"), "roots")
+        if not new.limit(1).count():
+            return known
+        known = known.unionByName(new)
+        walks = written(step.join(walks.select(*keys, F.col("node").alias("via"), "ancestor"), [*keys, "via"])
+                        .select(*keys, "node", "ancestor").distinct(), "walks")
+        reach *= 2

@@ -1,10 +1,11 @@
 """Lookup and satellite joins.
 
-Code tables are small and bounded, so they are broadcast — but only after a
-bounded row count proves it (``limit(n + 1).count()`` reads at most n+1 rows).
-Above the bound the join is left to the planner (sort-merge with AQE skew-join
-splitting).  Satellite aggregates are keyed by the spine key, so joining them
-onto the spine reuses the hash partitioning produced by their ``groupBy``.
+Code tables are pruned to the columns used and joined; whether one is broadcast
+is the planner's choice by bytes (``spark.sql.autoBroadcastJoinThreshold``, and
+again by AQE on what was really read), so building a plan runs no job.  A
+caller who knows better sets ``hint``.  Satellite aggregates are keyed by the
+spine key, so joining them onto the spine reuses the hash partitioning produced
+by their ``groupBy``.
 """
 
 from __future__ import annotations
@@ -15,44 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest lookup (rows) that is broadcast to every executor.  Lookups are
-# pruned to the key and the selected text columns first, so 100,000 rows of
-# (code, text) pairs stay in the low tens of megabytes per executor.
-BROADCAST_MAX_ROWS = 100_000
-
-
-_BOUND_CHECKS: dict[tuple, bool] = {}
-
-
-def _within_bound(df: DataFrame, max_rows: int) -> bool:
-    """``limit(max_rows + 1).count() <= max_rows``, remembered per session for
-    the same plan over the same input files (new or rewritten files are a new
-    key, so a table that grew is checked again)."""
-    try:
-        key = (id(df.sparkSession), df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
-    except Exception:  # plans without a stable hash are always checked
-        key = None
-    if key is not None and key in _BOUND_CHECKS:
-        return _BOUND_CHECKS[key]
-    ok = df.limit(max_rows + 1).count() <= max_rows
-    if key is not None:
-        _BOUND_CHECKS[key] = ok
-    return ok
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows."""
-    if max_rows and _within_bound(df, max_rows):
-        return F.broadcast(df)
-    return df
-
 
 @dataclass
 class Lookup:
     """One join to a code table: ``left_on`` (fact column or Column) equals
     ``right_on`` (code column).  ``select`` prunes the code table; ``distinct``
     de-duplicates it first (D7); ``trim`` compares trimmed keys (D4);
-    ``where`` filters the joined rows (C2)."""
+    ``where`` filters the joined rows (C2); ``hint`` is a join hint such as
+    'broadcast' or 'shuffle_hash'."""
 
     table: DataFrame
     left_on: str | Column
@@ -62,7 +33,7 @@ class Lookup:
     distinct: bool = False
     trim: bool = False
     where: Column | None = None
-    broadcast_rows: int = BROADCAST_MAX_ROWS
+    hint: str | None = None
 
 
 def lookup(df: DataFrame, spec: Lookup) -> DataFrame:
@@ -74,7 +45,8 @@ def lookup(df: DataFrame, spec: Lookup) -> DataFrame:
         right = right.select(*cols)
     if spec.distinct:
         right = right.distinct()
-    right = bounded_broadcast(right, spec.broadcast_rows)
+    if spec.hint:
+        right = right.hint(spec.hint)
     lcol = F.col(spec.left_on) if isinstance(spec.left_on, str) else spec.left_on
     rcol = right[spec.right_on]
     cond = (F.trim(lcol) == F.trim(rcol)) if spec.trim else (lcol == rcol)
@@ -102,7 +74,7 @@ def attach(spine: DataFrame, agg: DataFrame, key: str | Sequence[str], how: str
 
 def join_back(df: DataFrame, key: str | Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """Aggregate ``df`` by ``key`` and join the aggregate back onto its own
-    ungrouped rows (USING join).  The aggregate side shares the exchange of
-    the input, so the plan reads the input once per side and shuffles by key."""
+    ungrouped rows (USING join).  The input is read once for each side; the
+    aggregate side is combined before its shuffle."""
     keys = [key] if isinstance(key, str) else list(key)
     return df.join(df.groupBy(*keys).agg(*aggs), keys, "inner")

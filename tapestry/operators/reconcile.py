@@ -44,9 +44,10 @@ REVIEW_BELOW = 0.6
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
     """Keep the row with the greatest ``order`` per key ("later overwrites
-    earlier").  ``max_by`` is a partial aggregate, so no per-group sort and no
-    whole group in one task.  ``order`` must be unique within a key (a tie
-    would make the kept row depend on task scheduling)."""
+    earlier").  ``max_by`` combines before the shuffle (as a sort aggregate, its
+    value being a struct), so a whole group never meets in one task.  ``order``
+    must be unique within a key (a tie would make the kept row depend on task
+    scheduling)."""
     others = [c for c in df.columns if c not in keys]
     o = F.col(order) if isinstance(order, str) else order
     picked = F.max_by(F.struct(*[F.col(c) for c in others]), o).alias("__r")
@@ -70,28 +71,39 @@ def union_methods(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def known_keys(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """Text key columns with 'unknown' for NULL (other types stay as they are)."""
+    text = {c for c, t in df.dtypes if t == "string"}
+    return df.withColumns({k: F.coalesce(F.col(k), F.lit("unknown")) for k in keys if k in text})
+
+
 def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Full-outer match of two sets on the composite key; each side
-    is kept whole as a struct ``a`` / ``b`` (NULL when absent)."""
+    is kept whole as a struct ``a`` / ``b`` (NULL when absent).  A NULL key
+    part is read as 'unknown' and matches as such."""
     keys = list(keys)
+    a, b = known_keys(a, keys), known_keys(b, keys)
     sa = a.select(*keys, F.struct(*[F.col(c) for c in a.columns]).alias("a"))
     sb = b.select(*keys, F.struct(*[F.col(c) for c in b.columns]).alias("b"))
     return sa.join(sb, keys, "full_outer")
 
 
 def only_in(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Rows of ``a`` whose key is absent from ``b`` (left anti join)."""
+    """Rows of ``a`` whose key is absent from ``b`` (left anti join), NULL
+    key parts read as 'unknown'."""
+    a, b = known_keys(a, keys), known_keys(b, keys)
     return a.join(b.select(*keys), list(keys), "left_anti")
 
 
-def classify_matches(r: DataFrame, method: str = "ratio") -> DataFrame:
+def classify_matches(r: DataFrame, method: str = "levenshtein") -> DataFrame:
     """Add ``similarity`` and ``match_class`` to a reconciled frame.
 
     Both sides present: similarity = 0.7 * sim(rules) + 0.3 * sim(targets);
     > 0.9 exact, > 0.5 partial, else conflict.  One side only: code_only /
-    legacy_only, similarity NULL.  ``method='ratio'`` is the exact
-    sequence-matcher ratio (Arrow-batched pandas UDF); ``'levenshtein'`` is the
-    native normalised edit similarity (stays in codegen).
+    legacy_only, similarity NULL.  ``'levenshtein'`` is the native normalised
+    edit similarity (stays in codegen); ``method='ratio'`` is the exact
+    sequence-matcher ratio (Arrow-batched pandas UDF, outside the registered
+    queries).
     """
     sim = similarity_ratio if method == "ratio" else similarity_native
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
@@ -185,18 +197,21 @@ def score(df: DataFrame) -> DataFrame:
 
 def reconcile_summary(a: DataFrame, b: DataFrame, classified: DataFrame) -> DataFrame:
     """Input counts, resolved count, conflicts and new (code-only) mappings
-    as one row — one aggregate over the tagged union of the three inputs (all
+    and, of inputs that were not yet reduced to one row a key, the rows that a
+    later one overwrote (``duplicates``), as one row — one aggregate over the tagged union of the three inputs (all
     counts are partial aggregates; nothing is joined)."""
     none = F.lit(None).cast("string")
+    of_side = lambda df, side: (known_keys(df).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+                                .select(F.lit(side).alias("__src"), none.alias("match_class"), "n"))
     tagged = (
-        a.select(F.lit("a").alias("__src"), none.alias("match_class"))
-        .unionByName(b.select(F.lit("b").alias("__src"), none.alias("match_class")))
-        .unionByName(classified.select(F.lit("r").alias("__src"), F.col("match_class")))
+        of_side(a, "a").unionByName(of_side(b, "b"))
+        .unionByName(classified.select(F.lit("r").alias("__src"), F.col("match_class"), F.lit(1).cast("long").alias("n")))
     )
     src, m = F.col("__src"), F.col("match_class")
     return tagged.agg(
-        F.count_if(src == "a").alias("code_mappings"),
-        F.count_if(src == "b").alias("legacy_mappings"),
+        F.coalesce(F.sum(F.when(src == "a", F.col("n"))), F.lit(0)).alias("code_mappings"),
+        F.coalesce(F.sum(F.when(src == "b", F.col("n"))), F.lit(0)).alias("legacy_mappings"),
+        F.coalesce(F.sum(F.when(src != "r", F.col("n") - 1)), F.lit(0)).alias("duplicates"),
         F.count_if(src == "r").alias("final_mappings"),
         F.count_if(m == "conflict").alias("conflicts"),
         F.count_if(m == "code_only").alias("new_mappings"),

@@ -33,7 +33,6 @@ REVIEW_COLUMNS = DOCUMENT_COLUMNS + [
     ("user_notes", "User Notes"),
 ]
 RESULT_DEFAULTS = {"confidence_score": 0.5, "needs_review": False, "user_validated": False}
-SESSION_DEFAULTS = {"status": "pending", "gitlab_branch": "main"}
 # ---------------------------------------------------------------------------
 
 

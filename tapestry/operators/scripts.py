@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapestry.functions.names import PY_WHITESPACE_CHARS, is_column_name, py_strip
+from tapestry.session import written
 
 # --- fixed values -----------------------------------------------------------
 CELL_SEPARATOR = "# COMMAND ----------"
@@ -217,12 +218,9 @@ def extract_table_lists(df: DataFrame, text_col: str = "text", keys: Sequence[st
     return lists.select(*keys, F.col("m.list_name").alias("list_name"), F.posexplode(items).alias("position", "table_name"))
 
 
-def _binding_row(kind: str):
-    return lambda x: F.struct(x["var"].alias("var"), F.lit(kind).alias("kind"), x["ref"].alias("ref"))
-
-
 def extract_bindings(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
-    """M8: direct variable -> table bindings ``(keys..., var, kind, ref)``:
+    """M8: direct variable -> table bindings ``(keys..., position, var, kind, ref)``,
+    ``position`` being the number of the assignment in the script:
 
     * ``x = d["t"]``                      -> kind 'table', ref 't'
     * ``x = spark.table("t")``            -> kind 'table', ref 't'
@@ -231,44 +229,49 @@ def extract_bindings(df: DataFrame, text_col: str = "text", keys: Sequence[str]
     * ``x = y.filter/select/groupBy(...)``-> kind 'var',   ref 'y' (carried)
 
     ``resolve_bindings`` closes 'var'/'list' references into table names."""
-    t = F.col(text_col)
+    start = r"^[ \t]*(\w+)[ \t]*=[ \t]*"
     forms = [
-        ("table", r"(?m)^[ \t]*(\w+)[ \t]*=[ \t]*\w+\[\s*" + _Q + "(" + _NQ + "+)" + _Q + r"\s*\]"),
-        ("table", r"(?m)^[ \t]*(\w+)[ \t]*=[ \t]*[\w.]*\.table\(\s*" + _Q + "(" + _NQ + "+)" + _Q),
-        ("list", r"(?m)^[ \t]*(\w+)[ \t]*=[ \t]*\w+\([^,()]*,[^,()]*,\s*(\w+)\s*\)"),
-        ("var", r"(?m)^[ \t]*(\w+)[ \t]*=[ \t]*\(?\s*(\w+)\s*\.\s*(?:filter|select|groupBy|where|agg)\("),
+        ("table", start + r"\w+\[\s*" + _Q + "(" + _NQ + "+)" + _Q + r"\s*\]"),
+        ("table", start + r"[\w.]*\.table\(\s*" + _Q + "(" + _NQ + "+)" + _Q),
+        ("list", start + r"\w+\([^,()]*,[^,()]*,\s*(\w+)\s*\)"),
+        ("var", start + r"\(?\s*(\w+)\s*\.\s*(?:filter|select|groupBy|where|agg)\("),
     ]
-    arrs = []
-    for kind, rx in forms:
-        z = F.arrays_zip(F.regexp_extract_all(t, F.lit(rx), 1).alias("var"), F.regexp_extract_all(t, F.lit(rx), 2).alias("ref"))
-        arrs.append(F.transform(z, _binding_row(kind)))
-    return df.select(*keys, F.explode(F.concat(*arrs)).alias("b")).select(*keys, "b.*")
-
-
-def resolve_bindings(spark, bindings: DataFrame, table_lists: DataFrame, keys: Sequence[str] = ("path",),
-                     max_depth: int = 64) -> DataFrame:
-    """M8 + M12: resolve every variable to a table ``(keys..., var, table_name)``.
-
-    'list' refs take the first table of their list; 'var' refs follow the
-    chain of carried variables (a recursive CTE, cycles cut) to the nearest
-    variable that has a direct binding."""
-    from tapestry.operators.lineage import lineage_closure
-
+    stmts = df.select(*keys, F.posexplode(F.split(F.col(text_col), r"(?m)(?=^[ \t]*\w+[ \t]*=[^=])")).alias("position", "s"))
+    ref = F.lit(None).cast("string")
+    kind = F.lit(None).cast("string")
+    for k, rx in reversed(forms):
+        hit = F.regexp_extract("s", rx, 2)
+        ref, kind = F.when(hit != "", hit).otherwise(ref), F.when(hit != "", F.lit(k)).otherwise(kind)
+    out = stmts.select(*keys, "position", F.regexp_extract("s", start, 1).alias("var"), kind.alias("kind"), ref.alias("ref"))
+    return out.where(F.col("kind").isNotNull())
+
+
+def resolve_bindings(spark, bindings: DataFrame, table_lists: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """M8 + M12: the table of every variable at the end of its script
+    ``(keys..., var, table_name)``: its last binding counts.
+
+    A 'list' ref takes the first table of its list; a 'var' ref means the latest
+    binding of that variable above it.  So every binding has one parent at
+    most, and the chains are shortened by pointer doubling, whatever their
+    length.  Variables whose chain ends at no table have no row."""
     keys = list(keys)
     first = table_lists.filter(F.col("position") == 0).select(*keys, F.col("list_name").alias("ref"),
                                                               F.col("table_name").alias("via_list"))
     base = bindings.join(first, keys + ["ref"], "left")
-    # a variable bound more than once keeps one table deterministically (the
-    # greatest name), so a recomputed partition always resolves the same way
-    direct = base.filter(F.col("kind") != "var").select(
-        *keys, "var", F.when(F.col("kind") == "list", F.col("via_list")).otherwise(F.col("ref")).alias("table_name")
-    ).filter(F.col("table_name").isNotNull()).groupBy(*keys, "var").agg(F.max("table_name").alias("table_name"))
-    carried = base.filter(F.col("kind") == "var").select(*keys, F.col("var").alias("target"), F.col("ref").alias("source"))
-    walks = lineage_closure(spark, carried, keys=keys, max_depth=max_depth)
-    via = walks.join(direct.withColumnRenamed("var", "ancestor"), keys + ["ancestor"], "inner")
-    nearest = via.groupBy(*keys, F.col("node").alias("var")).agg(F.min_by("table_name", "depth").alias("table_name"))
-    own = direct.select(*keys, "var", "table_name")
-    return own.unionByName(nearest.join(own.select(*keys, "var"), keys + ["var"], "left_anti"))
+    table = F.when(F.col("kind") == "table", F.col("ref")).when(F.col("kind") == "list", F.col("via_list"))
+    base = base.select(*keys, "position", "var", "kind", "ref", table.alias("table_name"))
+    earlier = base.select(*keys, F.col("var").alias("ref"), F.col("position").alias("at"))
+    up = base.where("kind = 'var'").join(earlier, keys + ["ref"]).where(F.col("at") < F.col("position"))
+    up = up.groupBy(*keys, "position").agg(F.max("at").alias("up"))
+    rows = written(base.join(up, keys + ["position"], "left").select(*keys, "position", "var", "table_name", "up"), "bindings")
+    while rows.where("table_name IS NULL AND up IS NOT NULL").limit(1).count():
+        far = rows.select(*keys, F.col("position").alias("up"), F.col("table_name").alias("far_table"), F.col("up").alias("far_up"))
+        open_row = F.col("table_name").isNull()
+        rows = written(rows.join(far, keys + ["up"], "left").select(
+            *keys, "position", "var", F.coalesce("table_name", "far_table").alias("table_name"),
+            F.when(open_row, F.col("far_up")).alias("up")), "bindings")
+    last = rows.groupBy(*keys, "var").agg(F.max_by("table_name", "position").alias("table_name"))
+    return last.where("table_name IS NOT NULL")
 
 
 def extract_target(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
@@ -305,7 +308,8 @@ def extract_joins(df: DataFrame, text_col: str = "text", keys: Sequence[str] = (
     args = F.col("args")
     right = F.regexp_extract(args, r"^\s*(\w+)", 1)
     rest = F.regexp_replace(args, r"(?s)^\s*\w+(?:\s*\.\s*\w+\s*" + BALANCED + r")*", "")
-    how_rx = r"(?s),\s*(?:how\s*=\s*)?" + _Q + r"(\w+)" + _Q + r"\s*$"
+    # a join type is named, or stands behind a condition: ``.join(b, "k")`` has none
+    how_rx = r"(?s)(?:,\s*how\s*=\s*|(?<=[^\s,])\s*,\s*(?=" + _Q + r"\w+" + _Q + r"\s*$))" + _Q + r"(\w+)" + _Q + r"\s*$"
     how = F.regexp_extract(rest, how_rx, 1)
     cond = F.regexp_replace(rest, how_rx, "")
     cond = F.regexp_replace(cond, r"(?s)^\s*,\s*(?:on\s*=\s*)?", "")

@@ -178,7 +178,7 @@ def _address_satellite(t: dict[str, DataFrame]) -> DataFrame:
         F.col("address2__l_address"), F.substring("address2__tax_id", 1, 10).alias("address2__tax_id"))
     joined = lookup_chain(a, [
         Lookup(bronze(t["addr_arr"], "addr_arr"), "address1__sch_type", "addr_arr__cd", "inner", select=["addr_arr__txt"]),
-        Lookup(a2, "address1__link", "address2__l_address", "inner", broadcast_rows=0),
+        Lookup(a2, "address1__link", "address2__l_address", "inner"),
         Lookup(bronze(t["loc_tab"], "loc_tab"), "address1__loc_code", "loc_tab__cd", "left", select=["loc_tab__txt"], trim=True),
     ])
     c = lambda n: F.col(f"address1__{n}")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapestry.functions.names import clean_column, clean_field, clean_rule, clean_table, is_column_name, output_name
-from tapestry.functions.text import confidence_band, similarity_native, similarity_ratio
+from tapestry.functions.text import confidence_band, similarity_native
 from tapestry.operators.reconcile import (KEY, classify_matches, last_per_key, only_in, reconcile, reconcile_summary,
                                           resolve, score, union_methods)
 from tapestry.operators.review import (apply_updates, close_session, confidence_summary, export_review, extract_counts,
@@ -36,7 +36,7 @@ def mapping_a(spark: SparkSession, d: str) -> DataFrame:
     return p.select(
         F.col("p_partkey").alias("id"),
         F.col("p_brand").alias("source_table"),
-        F.when(F.col("p_retailprice") > 1900, F.concat(F.col("p_type"), F.lit("_NEW"))).otherwise(F.col("p_type")).alias("source_column"),
+        F.when(F.col("p_retailprice") > 990, F.concat(F.col("p_type"), F.lit("_NEW"))).otherwise(F.col("p_type")).alias("source_column"),
         F.col("p_name").alias("transformation_rule"),
         F.concat(F.lit("size_"), F.col("p_size").cast("string")).alias("target_field"),
         F.when(F.col("p_size") > 40, F.concat(F.lit("arr_"), F.lower("p_type"))).alias("array_field"),
@@ -64,7 +64,7 @@ def mapping_b(spark: SparkSession, d: str) -> DataFrame:
 
 MAPPING_A_SQL = """
 a AS (SELECT p_partkey AS id, p_brand AS source_table,
-  CASE WHEN p_retailprice > 1900 THEN p_type || '_NEW' ELSE p_type END AS source_column,
+  CASE WHEN p_retailprice > 990 THEN p_type || '_NEW' ELSE p_type END AS source_column,
   p_name AS transformation_rule, 'size_' || p_size::VARCHAR AS target_field,
   CASE WHEN p_size > 40 THEN 'arr_' || lower(p_type) END AS array_field,
   p_retailprice / 2100.0 AS confidence_score, p_size < 10 AS needs_review FROM part)"""
@@ -156,15 +156,6 @@ def q_classify_matches(spark, d):
                     F.col("b.id").cast("string").alias("b_id"), "similarity", "match_class")
 
 
-@register("classify_matches_ratio", None)
-def q_classify_matches_ratio(spark, d):
-    """Exact sequence-matcher similarity (pandas UDF); checked against Python's
-    difflib in tests/, rows-only here."""
-    c = classified(spark, d, method="ratio")
-    return c.select("source_table", "source_column", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"),
-                    "similarity", "match_class")
-
-
 @register("similarity_native", WITH_AB + f"""
 SELECT al.source_table, al.source_column, {_sim_sql('al.transformation_rule', 'bl.transformation_rule')} AS rule_similarity,
   {_sim_sql('al.target_field', 'bl.target_field')} AS target_similarity
@@ -178,15 +169,6 @@ def q_similarity_native(spark, d):
                     similarity_native(F.col("x.target_field"), F.col("y.target_field")).alias("target_similarity"))
 
 
-@register("similarity_ratio", None)
-def q_similarity_ratio(spark, d):
-    """Exact ratio of every key-matched pair (pandas UDF, Arrow batches)."""
-    a, b = latest_sets(spark, d)
-    j = a.alias("x").join(b.alias("y"), list(KEY))
-    return j.select("source_table", "source_column",
-                    similarity_ratio(F.col("x.transformation_rule"), F.col("y.transformation_rule")).alias("rule_similarity"))
-
-
 RESOLVE_FIELDS = ["id", "source_table", "source_column", "transformation_rule", "target_field", "array_field",
                   "confidence_score", "needs_review"]
 
@@ -252,7 +234,8 @@ def q_score_confidence(spark, d):
 
 
 @register("reconcile_summary", CLASSIFIED_SQL + """
-SELECT (SELECT count(*) FROM al) AS code_mappings, (SELECT count(*) FROM bl) AS legacy_mappings,
+SELECT (SELECT count(*) FROM a)::BIGINT AS code_mappings, (SELECT count(*) FROM b)::BIGINT AS legacy_mappings,
+  ((SELECT count(*) FROM a) + (SELECT count(*) FROM b) - (SELECT count(*) FROM al) - (SELECT count(*) FROM bl))::BIGINT AS duplicates,
   count(*) AS final_mappings, count(*) FILTER (WHERE match_class = 'conflict') AS conflicts,
   count(*) FILTER (WHERE match_class = 'code_only') AS new_mappings,
   count(*) FILTER (WHERE match_class = 'exact') AS exact_matches,
@@ -261,7 +244,7 @@ SELECT (SELECT count(*) FROM al) AS code_mappings, (SELECT count(*) FROM bl) AS
 """)
 def q_reconcile_summary(spark, d):
     a, b = latest_sets(spark, d)
-    return reconcile_summary(a, b, classify_matches(reconcile(a, b), method="levenshtein"))
+    return reconcile_summary(mapping_a(spark, d), mapping_b(spark, d), classify_matches(reconcile(a, b)))
 
 
 @register("top_conflicts", CLASSIFIED_SQL + """
@@ -650,7 +633,9 @@ SELECT ts::DATE::VARCHAR AS created_date, count(*) AS n, count(DISTINCT user_id)
 """)
 def q_save_partitioned(spark, d):
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/runs-{uuid.uuid4().hex}"
-    save_partitioned(T(spark, d, "events"), root, ts_col="ts", cluster_by="user_id")
+    events = T(spark, d, "events")
+    save_partitioned(events.where("user_id % 2 = 0"), root, ts_col="ts", cluster_by="user_id")
+    save_partitioned(events.where("user_id % 2 <> 0 OR user_id IS NULL"), root, ts_col="ts")  # a second run adds to the store
     back = spark.read.parquet(root)
     return back.groupBy(F.col("created_date").cast("string").alias("created_date")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"),

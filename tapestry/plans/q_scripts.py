@@ -1,13 +1,15 @@
 """Registered queries for the text operators (M1, M2, M12) over whole texts of
-the ``documents`` and ``pages`` tables and the ``supplier`` hierarchy.  The
-script-specific extractors (M3-M11, M13-M15) need script text, which these
-tables do not hold; they are checked against fixture scripts in tests/."""
+the ``documents`` and ``pages`` tables and the ``supplier`` and ``part``
+hierarchies, and for the script extractors (M7-M9, M11, M13, M14, D14) over
+scripts derived from every ``part`` row.  The others (M3-M6, M10, M15) are
+checked against fixture scripts in tests/."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapestry.operators.lineage import lineage_closure, lineage_roots
+from tapestry.operators import scripts as S
+from tapestry.operators.lineage import lineage_closure, lineage_edges, lineage_roots
 from tapestry.operators.scripts import CODE_PATTERNS, extract_patterns, split_cells, split_lines
 from tapestry.plans.queries import T, register
 
@@ -106,3 +108,115 @@ SELECT node, ancestor AS root, depth FROM r WHERE ancestor NOT IN (SELECT child
 """)
 def q_lineage_roots(spark, d):
     return lineage_roots(spark, _supplier_edges(spark, d))
+
+
+# chains of 100 (even hundreds) and diamonds with a cycle (odd hundreds), from part
+_DAG_SQL = """
+WITH RECURSIVE k AS (SELECT p_partkey AS k FROM part),
+e AS (SELECT k AS child, k + 1 AS parent FROM k WHERE (k // 100) % 2 = 0 AND k % 100 < 99
+  UNION SELECT k, k + 1 FROM k WHERE (k // 100) % 2 = 1 AND k % 20 < 19
+  UNION SELECT k, k + 3 FROM k WHERE (k // 100) % 2 = 1 AND k % 20 < 17
+  UNION SELECT k, k - 5 FROM k WHERE (k // 100) % 2 = 1 AND k % 20 = 19),
+w(node, ancestor, depth) AS (
+  SELECT child, parent, 1 FROM e
+  UNION
+  SELECT w.node, e.parent, w.depth + 1 FROM w JOIN e ON w.ancestor = e.child WHERE w.depth < 110),
+r AS (SELECT node, ancestor, min(depth)::INTEGER AS depth FROM w WHERE node <> ancestor GROUP BY ALL)
+"""
+
+
+def _dag_edges(spark, d):
+    k = F.col("p_partkey")
+    even = F.floor(k / 100) % 2 == 0
+    steps = F.array(
+        F.when(even & (k % 100 < 99), k + 1), F.when(~even & (k % 20 < 19), k + 1),
+        F.when(~even & (k % 20 < 17), k + 3), F.when(~even & (k % 20 == 19), k - 5))
+    return T(spark, d, "part").select(k.alias("target"), F.explode(F.array_compact(steps)).alias("source"))
+
+
+@register("lineage_dag_closure", _DAG_SQL + "SELECT node, ancestor, depth FROM r")
+def q_lineage_dag_closure(spark, d):
+    return lineage_closure(spark, _dag_edges(spark, d))
+
+
+@register("lineage_dag_roots", _DAG_SQL + """
+SELECT node, ancestor AS root, depth FROM r WHERE ancestor NOT IN (SELECT child FROM e)
+""")
+def q_lineage_dag_roots(spark, d):
+    return lineage_roots(spark, _dag_edges(spark, d))
+
+
+# ------------------------------------------------------------------ scripts derived from part, one a row
+def part_scripts(spark, d):
+    """A script for every part: a list of tables, bindings (one variable is
+    bound twice), a join, a target and a rule block."""
+    p = T(spark, d, "part")
+    q = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    text = F.concat(
+        F.lit("# part script\nmember_tables = ["), q("p_brand"), F.lit(", "), q("p_type"), F.lit("]\n"),
+        F.lit("x_df = tables["), q("p_brand"), F.lit("]\n"),
+        F.lit('y_df = x_df.filter("size > '), F.col("p_size").cast("string"), F.lit('")\n'),
+        F.lit("x_df = spark.table("), q("p_type"), F.lit(")\n"),
+        F.lit('z_df = x_df.select("a", "b")\n'),
+        F.lit("m_df = load(spark, schema, member_tables)\n"),
+        F.when(F.col("p_size") % 2 == 0, F.lit('j_df = y_df.join(z_df, "k", "left")\n')).otherwise(F.lit('j_df = y_df.join(z_df, "k")\n')),
+        F.lit('target_table = f"{db}.silver.'), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")), F.lit('"\n'),
+        F.lit("dq_rule_string = \"\"\"\nsize must be "), F.col("p_size").cast("string"), F.lit("\n\"\"\"\n"),
+    )
+    return p.select("p_partkey", text.alias("text"))
+
+
+@register("resolve_bindings", """
+SELECT p_partkey, unnest(['m_df', 'x_df', 'y_df', 'z_df']) AS var, unnest([p_brand, p_type, p_brand, p_type]) AS table_name FROM part
+""")
+def q_resolve_bindings(spark, d):
+    s = part_scripts(spark, d)
+    keys = ["p_partkey"]
+    return S.resolve_bindings(spark, S.extract_bindings(s, keys=keys), S.extract_table_lists(s, keys=keys), keys=keys)
+
+
+@register("extract_table_lists", """
+SELECT p_partkey, 'member_tables' AS list_name, unnest([0, 1])::INTEGER AS position, unnest([p_brand, p_type]) AS table_name FROM part
+""")
+def q_extract_table_lists(spark, d):
+    return S.extract_table_lists(part_scripts(spark, d), keys=["p_partkey"])
+
+
+@register("extract_joins", """
+SELECT p_partkey, 'y_df' AS left_df, 'z_df' AS right_df, CASE WHEN p_size % 2 = 0 THEN 'LEFT' ELSE 'INNER' END AS join_type, '"k"' AS condition FROM part
+""")
+def q_extract_joins(spark, d):
+    return S.extract_joins(part_scripts(spark, d), keys=["p_partkey"]).drop("join_no")
+
+
+@register("resolve_joins", """
+SELECT p_partkey, p_brand AS primary_table, p_type AS secondary_table,
+  CASE WHEN p_size % 2 = 0 THEN 'LEFT' ELSE 'INNER' END AS join_type, '"k"' AS condition FROM part
+""")
+def q_resolve_joins(spark, d):
+    s, keys = part_scripts(spark, d), ["p_partkey"]
+    bound = S.resolve_bindings(spark, S.extract_bindings(s, keys=keys), S.extract_table_lists(s, keys=keys), keys=keys)
+    return S.resolve_joins(S.extract_joins(s, keys=keys), bound, keys=keys).select(
+        *keys, "primary_table", "secondary_table", "join_type", "condition")
+
+
+@register("extract_target", r"""
+SELECT p_partkey, 'silver.' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g')) AS target_table FROM part
+""")
+def q_extract_target(spark, d):
+    return S.extract_target(part_scripts(spark, d), keys=["p_partkey"])
+
+
+@register("extract_rule_block", """
+SELECT p_partkey, chr(10) || 'size must be ' || p_size || chr(10) AS rule_block FROM part
+""")
+def q_extract_rule_block(spark, d):
+    return S.extract_rule_block(part_scripts(spark, d), keys=["p_partkey"])
+
+
+@register("lineage_edges", """
+SELECT p_partkey, unnest(['j_df', 'j_df', 'x_df', 'y_df', 'z_df']) AS target, unnest(['y_df', 'z_df', p_type, 'x_df', 'x_df']) AS source FROM part
+""")
+def q_lineage_edges(spark, d):
+    e = lineage_edges(part_scripts(spark, d), keys=["p_partkey"])
+    return e.where(~F.col("source").startswith("tables["))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tapestry") -> SparkSession:
@@ -52,3 +53,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="tapestry-ckpt-")
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to a new folder below the shared checkpoint folder and read
+    it back: iterative jobs cut their lineage with it, and a lost executor costs
+    a reread, not a recomputation."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tapestry-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,8 +47,9 @@ def overwrite_into(df: DataFrame, table: str) -> None:
 
 def save_partitioned(df: DataFrame, path: str, ts_col: str = "created_at", cluster_by: str | None = None,
                      fmt: str = "parquet") -> None:
-    """A10: write a run table partitioned by the date of ``ts_col``; optional
-    clustering key (the file-layout equivalent of a clustered table).
+    """A10: add rows to a run table partitioned by the date of ``ts_col``;
+    optional clustering key (the file-layout equivalent of a clustered table).
+    Earlier runs stay.
 
     Rows are range-partitioned on (date, cluster key): each task writes a
     contiguous slice, so a date lands in few files (no task x date file
@@ -58,8 +59,10 @@ def save_partitioned(df: DataFrame, path: str, ts_col: str = "created_at", clust
     if cluster_by:
         out = out.repartitionByRange("created_date", cluster_by).sortWithinPartitions("created_date", cluster_by)
     else:
-        out = out.repartitionByRange("created_date")
-    out.write.mode("overwrite").partitionBy("created_date").format(fmt).save(path)
+        # without a key, a hash of the row splits a hot date
+        row = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
+        out = out.repartitionByRange(F.col("created_date"), row)
+    out.write.mode("append").partitionBy("created_date").format(fmt).save(path)
 
 
 def document_rows(mappings: DataFrame, order: str | list = "mapping_no") -> DataFrame:

@@ -10,7 +10,7 @@ from tapestry.plans import queries as Q
 
 SF = os.environ.get("TAPESTRY_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
-PYTHON_OK = {"classify_matches_ratio", "similarity_ratio"}
+PYTHON_OK = set()
 
 
 def plan_of(df) -> str:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tapestry.operators.lookup import BROADCAST_MAX_ROWS, Lookup, bounded_broadcast, lookup
+from tapestry.operators.lookup import Lookup, lookup
 from tapestry.operators.nest import Nest, NestConcat, nest_many
 from tapestry.sources.sinks import (SchemaMismatch, conform, document_rows, export_joins, export_mappings, overwrite_into,
                                     save_partitioned)
@@ -87,11 +87,20 @@ def test_salted_nest_equals_one_phase(spark):
     assert one == two and len(one[0][0]) == 1667
 
 
-def test_bounded_broadcast(spark):
-    small = spark.range(10)
-    big = spark.range(100)
-    plan_small = lookup(spark.range(1000).withColumnRenamed("id", "k"), Lookup(small, "k", "id", "left"))._jdf \
-        .queryExecution().executedPlan().toString()
-    assert "Broadcast" in plan_small
-    assert bounded_broadcast(big, max_rows=50) is big  # above the bound: left to the planner
-    assert BROADCAST_MAX_ROWS > 0
+def test_building_a_lookup_runs_no_job(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    out = lookup(spark.range(1000).withColumnRenamed("id", "k"), Lookup(spark.range(10), "k", "id", "left"))
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert "Broadcast" in out._jdf.queryExecution().executedPlan().toString()  # small enough in bytes
+    merged = lookup(spark.range(1000).withColumnRenamed("id", "k"), Lookup(spark.range(10), "k", "id", "left", hint="merge"))
+    assert "SortMergeJoin" in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_saves_keep_both_runs(spark):
+    root = tempfile.mkdtemp(prefix="tapestry-runs-")
+    run = lambda i, day: spark.createDataFrame([(i, f"2024-01-0{day} 10:00:00")], "session_id int, created_at string").withColumn(
+        "created_at", F.col("created_at").cast("timestamp"))
+    save_partitioned(run(1, 1), root, cluster_by="session_id")
+    save_partitioned(run(2, 2), root, cluster_by="session_id")
+    save_partitioned(run(3, 2), root)
+    assert sorted(r.session_id for r in spark.read.parquet(root).collect()) == [1, 2, 3]
