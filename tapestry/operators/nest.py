@@ -179,6 +179,31 @@ def schedule_entries(
     )
 
 
+def nest_schedules(
+    df: DataFrame,
+    key: str,
+    days: Mapping[str, tuple[str, str, str, str]],
+    extra: Sequence[tuple[str, Column]] = (),
+    day_field: str = "day",
+    start_field: str = "start_time",
+    end_field: str = "end_time",
+) -> DataFrame:
+    """J4 per key: ``schedule``, the sorted entries of all rows of a key.  One
+    struct a row (the ``extra`` fields once, a shift for each day) goes through
+    the shuffle and is expanded to one entry a day after it."""
+    shifts = [F.struct(first_non_empty(s1, s2).alias("s"), first_non_empty(e1, e2).alias("e")).alias(f"d{k}")
+              for k, (s1, s2, e1, e2) in enumerate(days.values())]
+    packed = df.select(key, F.struct(*[c.alias(n) for n, c in extra], *shifts).alias("line")).groupBy(key).agg(F.collect_list("line").alias("lines"))
+
+    def entries(x: Column) -> Column:
+        return F.array(*[
+            F.struct(*[x[n].alias(n) for n, _ in extra], F.lit(label).alias(day_field), x[f"d{k}"]["s"].alias(start_field), x[f"d{k}"]["e"].alias(end_field))
+            for k, label in enumerate(days)
+        ])
+
+    return packed.select(key, F.sort_array(F.flatten(F.transform("lines", entries))).alias("schedule"))
+
+
 def unpivot_schedule(
     df: DataFrame,
     days: Mapping[str, tuple[str, str, str, str]],

@@ -13,7 +13,7 @@ from tapestry.functions.codes import classify, role_of, translate, yes_no
 from tapestry.functions.keys import (base_name, first_non_empty, full_name, iso_ts, padded_name, split_code,
                                      surrogate_key)
 from tapestry.operators.lookup import Lookup, attach, join_back, lookup, lookup_chain
-from tapestry.operators.nest import Nest, NestConcat, NestUnion, nest_many, primary_of, schedule_entries, unpivot_schedule
+from tapestry.operators.nest import Nest, NestConcat, NestUnion, nest_many, nest_schedules, primary_of, unpivot_schedule
 from tapestry.operators.project import const, derive, lower_columns, null_as, prefix_columns, project, trim_strings
 from tapestry.operators.quality import apply_rules, dq_summary, flatten_results
 from tapestry.operators.reconcile import dedupe_first, last_per_key
@@ -666,8 +666,7 @@ def q_weekly_schedule(spark, d):
     li = _shifts(T(spark, d, "lineitem")).withColumn(
         "ref", F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                                  F.col("l_partkey").cast("string"))))
-    entries = schedule_entries(DAYS, extra=[("ref", F.col("ref"))], day_field="day", start_field="st", end_field="en")
-    out = nest_many(li, "l_orderkey", {"schedule": NestUnion(entries, "asc", distinct=False)})
+    out = nest_schedules(li, "l_orderkey", DAYS, extra=[("ref", F.col("ref"))], day_field="day", start_field="st", end_field="en")
     return out.select("l_orderkey", arr_text("schedule", ["ref", "day", "st", "en"]).alias("schedule"))
 
 
