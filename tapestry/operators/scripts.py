@@ -9,7 +9,7 @@ shuffle and nothing collected.  Relational resolution (variable -> table,
 rules per column, lineage closure) is done with joins and aggregates.
 
 Regular expressions cannot balance parentheses; calls are matched with
-parenthesis nesting up to four levels deep (``BALANCED``), which covers
+calls are cut by ``calls.calls_of`` at any nesting, which covers
 ordinary column expressions.
 """
 
@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapestry.functions.names import PY_WHITESPACE_CHARS, is_column_name, py_strip
+from tapestry.operators.calls import calls_of
 from tapestry.session import written
 
 # --- fixed values -----------------------------------------------------------
@@ -45,12 +46,6 @@ RAW_DICT_NAMES = ("dm_df",)
 DEFAULT_JOIN_TYPE = "inner"
 # ---------------------------------------------------------------------------
 
-_P0 = r"\([^()]*\)"
-_P1 = r"\((?:[^()]|" + _P0 + r")*\)"
-_P2 = r"\((?:[^()]|" + _P1 + r")*\)"
-_P3 = r"\((?:[^()]|" + _P2 + r")*\)"
-BALANCED = r"\((?:[^()]|" + _P3 + r")*\)"  # a (...) group, nesting up to 5 deep
-_ARGS = r"(?:[^()]|" + _P3 + r")*"  # the inside of such a group
 _Q = "['\"]"
 _NQ = "[^'\"]"
 
@@ -171,39 +166,49 @@ def code_patterns(cells: DataFrame, keys: Sequence[str] = ("path", "cell_no")) -
 
 
 def extract_with_column(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
-    """M3: ``df.withColumn("target", expr)`` -> (receiver, target_column,
-    transformation), with balanced parentheses (up to five levels) in
-    ``expr``.  ``receiver`` is the variable the call is made on ('' inside a
-    chain)."""
-    rx = r"(?s)(\w*)\s*\.withColumn\(\s*" + _Q + r"(" + _NQ + r"*)" + _Q + r"\s*,\s*(" + _ARGS + r")\)"
-    t = F.col(text_col)
-    z = F.arrays_zip(
-        F.regexp_extract_all(t, F.lit(rx), 1).alias("receiver"),
-        F.regexp_extract_all(t, F.lit(rx), 2).alias("target_column"),
-        F.regexp_extract_all(t, F.lit(rx), 3).alias("transformation"),
-    )
-    return df.select(*keys, F.posexplode(z).alias("match_no", "m")).select(
-        *keys, "match_no", F.col("m.receiver").alias("receiver"), F.col("m.target_column").alias("target_column"),
-        F.regexp_replace(py_strip(F.col("m.transformation")), r"\s*\n\s*", "").alias("transformation"))
+    """M3: ``df.withColumn("target", expr)`` and each entry of
+    ``df.withColumns({"target": expr, ...})`` -> (match_no, receiver,
+    target_column, transformation), at any nesting.  ``receiver`` is the
+    variable at the head of the call's chain ('' if there is none)."""
+    keys = list(keys)
+    one = calls_of(df, "withColumn", text_col, keys).where("n_args > 1")
+    one = one.select(*keys, "call", F.lit(0).alias("entry"), "receiver",
+                     F.regexp_extract("arg0", r"^\s*" + _Q + "(" + _NQ + "*)" + _Q + r"\s*$", 1).alias("target_column"), F.col("rest").alias("e"))
+    many = calls_of(df, "withColumns", text_col, keys)
+    many = many.select(*keys, "call", "receiver", F.posexplode("args").alias("entry", "item"))
+    item = r"(?s)^\s*\{?\s*" + _Q + "(" + _NQ + "+)" + _Q + r"\s*:\s*(.*?)\s*\}?\s*$"
+    many = many.select(*keys, "call", "entry", "receiver", F.regexp_extract("item", item, 1).alias("target_column"),
+                       F.regexp_extract("item", item, 2).alias("e"))
+    out = one.unionByName(many).where("target_column <> ''")
+    order = Window.partitionBy(*keys).orderBy("call", "entry")
+    return out.select(*keys, (F.row_number().over(order) - 1).alias("match_no"), "receiver", "target_column",
+                      F.regexp_replace(py_strip(F.col("e")), r"\s*\n\s*", "").alias("transformation"))
 
 
 def extract_select(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
     """M4: ``.select(a, b, ...)`` -> one row per select call with its items."""
-    rx = r"(?s)\.select\((" + _ARGS + r")\)"
-    items = F.regexp_extract_all(F.col(text_col), F.lit(rx), 1)
-    return df.select(*keys, F.posexplode(items).alias("match_no", "transformation")).select(
-        *keys, "match_no", F.regexp_replace(py_strip(F.col("transformation")), r"\s*\n\s*", " ").alias("transformation"))
+    calls = calls_of(df, "select", text_col, keys)
+    return calls.select(*keys, "match_no", F.regexp_replace(py_strip(F.array_join("args", ",")), r"\s*\n\s*", " ").alias("transformation"))
+
+
+def extract_aliased(df: DataFrame, name: str = "select", text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
+    """M4: the aliased items of ``.select(expr.alias("t"), ...)`` (or, with
+    ``name="agg"``, of ``groupBy(...).agg(expr.alias("t"), ...)``) ->
+    (match_no, item_no, receiver, target_column, transformation)."""
+    alias = r"(?s)^(.*?)\s*\.\s*alias\(\s*" + _Q + "(" + _NQ + "+)" + _Q + r"\s*\)\s*$"
+    items = calls_of(df, name, text_col, keys).select(*keys, "match_no", "receiver", F.posexplode("args").alias("item_no", "item"))
+    return items.select(
+        *keys, "match_no", "item_no", "receiver", F.regexp_extract("item", alias, 2).alias("target_column"),
+        F.regexp_replace(py_strip(F.regexp_extract("item", alias, 1)), r"\s*\n\s*", "").alias("transformation"),
+    ).where("target_column <> ''")
 
 
 def extract_when(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
     """M6: ``when(condition, value)`` calls -> (condition, result)."""
-    arg = r"((?:[^(),]|" + _P2 + r")*)"
-    rx = r"(?s)\bwhen\(\s*" + arg + r"\s*,\s*" + arg + r"\s*\)"
-    t = F.col(text_col)
-    z = F.arrays_zip(F.regexp_extract_all(t, F.lit(rx), 1).alias("condition"), F.regexp_extract_all(t, F.lit(rx), 2).alias("result"))
-    return df.select(*keys, F.posexplode(z).alias("match_no", "m")).select(
-        *keys, "match_no", py_strip(F.col("m.condition")).alias("condition"), py_strip(F.col("m.result")).alias("result"),
-        F.concat(F.lit("when("), py_strip(F.col("m.condition")), F.lit(", "), py_strip(F.col("m.result")), F.lit(")")).alias("transformation"))
+    calls = calls_of(df, "when", text_col, keys).where("n_args = 2")
+    condition, result = py_strip(F.col("arg0")), py_strip(F.col("arg1"))
+    return calls.select(*keys, "match_no", condition.alias("condition"), result.alias("result"),
+                        F.concat(F.lit("when("), condition, F.lit(", "), result, F.lit(")")).alias("transformation"))
 
 
 # ------------------------------------------------------------------------ M7, M8, M13
@@ -296,26 +301,22 @@ def extract_rule_block(df: DataFrame, text_col: str = "text", keys: Sequence[str
 
 # ------------------------------------------------------------------------ M9
 def extract_joins(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",), default_how: str = DEFAULT_JOIN_TYPE) -> DataFrame:
-    """M9: ``left.join(right, condition[, how])`` -> (left_df, right_df,
-    join_type, condition).  ``right`` may be a projected frame such as
+    """M9: ``left.join(right, condition[, how])`` -> (join_no, left_df, right_df,
+    join_type, condition), every join of a chain with the variable at the
+    chain's head as its left side.  ``right`` may be a projected frame such as
     ``lk.select(...)`` (its base variable is reported); ``how`` may be
     positional or a keyword; a missing ``how`` is ``default_how`` (upper-case).
     """
-    rx = r"(?s)(\w+)\s*\)?\s*\.\s*join\((" + _ARGS + r")\)"
-    t = F.col(text_col)
-    z = F.arrays_zip(F.regexp_extract_all(t, F.lit(rx), 1).alias("left_df"), F.regexp_extract_all(t, F.lit(rx), 2).alias("args"))
-    calls = df.select(*keys, F.posexplode(z).alias("join_no", "m")).select(*keys, "join_no", "m.left_df", "m.args")
-    args = F.col("args")
-    right = F.regexp_extract(args, r"^\s*(\w+)", 1)
-    rest = F.regexp_replace(args, r"(?s)^\s*\w+(?:\s*\.\s*\w+\s*" + BALANCED + r")*", "")
-    # a join type is named, or stands behind a condition: ``.join(b, "k")`` has none
-    how_rx = r"(?s)(?:,\s*how\s*=\s*|(?<=[^\s,])\s*,\s*(?=" + _Q + r"\w+" + _Q + r"\s*$))" + _Q + r"(\w+)" + _Q + r"\s*$"
-    how = F.regexp_extract(rest, how_rx, 1)
-    cond = F.regexp_replace(rest, how_rx, "")
-    cond = F.regexp_replace(cond, r"(?s)^\s*,\s*(?:on\s*=\s*)?", "")
-    cond = F.regexp_replace(py_strip(cond), r"\s*\n\s*", " ")
-    return calls.select(
-        *keys, "join_no", "left_df", right.alias("right_df"),
+    calls = calls_of(df, "join", text_col, keys).where("receiver <> ''")
+    right = F.regexp_extract("arg0", r"^\s*\(?\s*(\w+)", 1)
+    quoted = _Q + r"(\w+)" + _Q + r"\s*$"
+    named = F.coalesce(F.regexp_extract("arg1", r"^\s*how\s*=\s*" + quoted, 1), F.lit(""))
+    third = F.coalesce(F.regexp_extract("arg2", r"^\s*(?:how\s*=\s*)?" + quoted, 1), F.lit(""))
+    how = F.when(third != "", third).otherwise(named)
+    cond = F.when(named != "", F.coalesce("arg2", F.lit(""))).otherwise(F.coalesce("arg1", F.lit("")))
+    cond = F.regexp_replace(py_strip(F.regexp_replace(cond, r"^\s*on\s*=\s*", "")), r"\s*\n\s*", " ")
+    return calls.where(right != "").select(
+        *keys, F.col("match_no").alias("join_no"), F.col("receiver").alias("left_df"), right.alias("right_df"),
         F.upper(F.when(how != "", how).otherwise(F.lit(default_how))).alias("join_type"),
         F.when(cond != "", cond).otherwise(F.lit("unknown")).alias("condition"),
     )

@@ -220,3 +220,60 @@ SELECT p_partkey, unnest(['j_df', 'j_df', 'x_df', 'y_df', 'z_df']) AS target, un
 def q_lineage_edges(spark, d):
     e = lineage_edges(part_scripts(spark, d), keys=["p_partkey"])
     return e.where(~F.col("source").startswith("tables["))
+
+
+# calls nested 1 to 12 deep, a parenthesis inside a string, chains, dictionaries and aggregates
+def part_calls(spark, d):
+    p = T(spark, d, "part")
+    n = F.col("p_size") % 12 + 1
+    nested = F.concat(F.repeat(F.lit("f("), n), F.lit('col("'), F.col("p_type"), F.lit('")'), F.repeat(F.lit(")"), n))
+    text = F.concat(
+        F.lit('x_df = a_df.withColumn("u", '), nested, F.lit(').withColumn("t", concat(lit("("), col("p")))  # not ) this (\n'),
+        F.lit('y_df = x_df.withColumns({"m": coalesce(col("a"), lit("NA, x")), "n": when(col("b") > 1, lit("y"))})\n'),
+        F.lit('j_df = y_df.join(b_df, y_df.k == b_df.k, "left").join(c_df.select("k"), ["k", "z"])\n'),
+        F.lit('g_df = j_df.groupBy("k").agg(sum('), nested, F.lit(').alias("total"), collect_list(struct("a", "b")).alias("arr"))\n'),
+    )
+    return p.select("p_partkey", text.alias("text"))
+
+
+_NESTED = "repeat('f(', (p_size % 12 + 1)::INTEGER) || 'col(\"' || p_type || '\")' || repeat(')', (p_size % 12 + 1)::INTEGER)"
+
+
+@register("extract_with_column", f"""
+SELECT p_partkey, unnest([0, 1, 2, 3])::INTEGER AS match_no, unnest(['a_df', 'a_df', 'x_df', 'x_df']) AS receiver,
+  unnest(['u', 't', 'm', 'n']) AS target_column,
+  unnest([{_NESTED}, 'concat(lit("("), col("p"))', 'coalesce(col("a"), lit("NA, x"))', 'when(col("b") > 1, lit("y"))']) AS transformation
+FROM part
+""")
+def q_extract_with_column(spark, d):
+    return S.extract_with_column(part_calls(spark, d), keys=["p_partkey"])
+
+
+@register("extract_chained_joins", """
+SELECT p_partkey, unnest([0, 1])::INTEGER AS join_no, 'y_df' AS left_df, unnest(['b_df', 'c_df']) AS right_df,
+  unnest(['LEFT', 'INNER']) AS join_type, unnest(['y_df.k == b_df.k', '["k", "z"]']) AS condition FROM part
+""")
+def q_extract_chained_joins(spark, d):
+    return S.extract_joins(part_calls(spark, d), keys=["p_partkey"])
+
+
+@register("extract_aggregates", f"""
+SELECT p_partkey, unnest([0, 1])::INTEGER AS item_no, unnest(['total', 'arr']) AS target_column,
+  unnest(['sum(' || {_NESTED} || ')', 'collect_list(struct("a", "b"))']) AS transformation FROM part
+""")
+def q_extract_aggregates(spark, d):
+    return S.extract_aliased(part_calls(spark, d), "agg", keys=["p_partkey"]).select("p_partkey", "item_no", "target_column", "transformation")
+
+
+@register("extract_when", """
+SELECT p_partkey, 0 AS match_no, 'col("b") > 1' AS condition, 'lit("y")' AS result FROM part
+""")
+def q_extract_when(spark, d):
+    return S.extract_when(part_calls(spark, d), keys=["p_partkey"]).drop("transformation")
+
+
+@register("extract_select", """
+SELECT p_partkey, 0 AS match_no, '"k"' AS transformation FROM part
+""")
+def q_extract_select(spark, d):
+    return S.extract_select(part_calls(spark, d), keys=["p_partkey"])
