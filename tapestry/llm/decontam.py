@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapestry.llm.common import mix64, words_of
+from tapestry.llm.common import mix64, release, words_of
 from tapestry.llm.substring import BASES, rolling
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -183,6 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     if found:
                         names = ["doc_id", "item_id", "start", "n_words", "similarity"]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
+            release()
 
         return rows.mapInArrow(run, "doc_id long, item_id long, start long, n_words long, similarity double")
 

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapestry.llm.common import longs_in, mix64, stage, words_of
+from tapestry.llm.common import mix64, release, stage, words_of
 from tapestry.llm.components import components
 from tapestry.llm.substring import BASES, rolling
 
@@ -130,6 +130,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, what: str) -> DataFrame:
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), extra],
                     names=["doc_id", "n_shingles", "class_key", what],
                 )
+        release()
 
     kind = {"signature": "array<bigint>", "shingles": "binary"}[what]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -152,6 +153,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+        release()
 
     left = sets.select(F.col("cid").alias("a"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("cid").alias("b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b"))
@@ -236,7 +238,9 @@ def complete(sizes: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     keys = ("family", "row", "column")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        return compare_cell(a, b.rename_columns(list(fields)), percent, least)
+        links = compare_cell(a, b.rename_columns(list(fields)), percent, least)
+        release()
+        return links
 
     return left.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_" for k in keys])).applyInArrow(compare, "a long, b long")
 

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapestry.llm.common import longs_in, scratch_path
+from tapestry.llm.common import longs_in, release, scratch_path
 
 MAGIC = b"TAPTOK01"
 HEAD = 40
@@ -295,6 +295,8 @@ def write_token_files(
                     held = 0
         if keys:
             yield flush()
+        del encoder
+        release()
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapestry.llm.common import words_of
+from tapestry.llm.common import release, words_of
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5)
@@ -217,6 +217,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: fl
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(values, pa.float64()), pa.array((values >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"]
                 )
+        memory.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
