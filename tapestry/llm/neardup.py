@@ -277,9 +277,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     families = components(posts.join(lists, "pair").select(F.col("cid").alias("a"), "b").distinct())
     families = families.select(F.col("id").alias("cid"), F.col("label").alias("family"))
     sizes = stage(families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "family"), "families")
-    large = posts.join(sizes.where(F.col("size") > CELL).select("cid"), "cid")
-    for r in range(rounds if sizes.where(F.col("size") > CELL).limit(1).count() else 0):
-        now = large.join(comps, "cid")
+    big = sizes.where(F.col("size") > CELL).select("cid")
+    large = stage(posts.join(big, "cid"), "large")
+    for r in range(rounds if big.limit(1).count() else 0):
+        now = stage(large.join(comps, "cid"), "now")  # read twice below
         rank = F.xxhash64("cid", "pair", F.lit(r))
         # a list's pivot: one member, another one in each list and round
         pivot = F.min(F.struct(rank.alias("rank"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("n_b"))).alias("p")
