@@ -177,3 +177,33 @@ def test_odd_turns(spark):
     got = chat.format_chats(df).collect()
     assert len(got) == len(rows) and all(r["role"] in chat.ROLES for r in got)
     assert chat.format_chats(df.limit(0)).collect() == []
+
+
+def test_transcript_in_one_text(spark):
+    whole = "\nUser: hi\n- one\nAssistant: hello\n\nAsk on.\n\n  ### Human: why?\r\n> quoted\n[Bot] > so"
+    rows = [(1, 0, None, whole), (1, 1, None, "User: thanks"), (2, 0, "user", "a\nb\n\nSystematic: c\n"), (3, 0, None, "User: x\nUser: y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = [
+        ("user", "hi\n- one"), ("assistant", "hello\n\nAsk on."), ("user", "why?\r\n> quoted"), ("assistant", "so"), ("user", "thanks"),
+        ("user", "a\nb\n\nSystematic: c"), ("user", "x"), ("user", "y"),
+    ]
+    for piece in (1, 2, 512):
+        got = sorted(chat.format_chats(df, piece=piece).collect(), key=lambda r: (r["conv_id"], r["at"]))
+        assert [(r["role"], r["rendered"]) for r in got] == [(r, f"<|{r}|>\n{t}\n<|end|>") for r, t in want]
+        assert [r["at"] for r in got] == [0, 1, 2, 3, 4, 0, 0, 1] and [r["turn"] for r in got] == [0, 0, 0, 0, 1, 0, 0, 0]
+
+
+def test_steps_inside_a_text_are_counted_apart(spark):
+    rows = [(c, t, r, x) for c in range(9) for t, r, x in ((0, "system", "rules\nUser: q\nBot: a"), (1, "user", "more"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.learn(chat.run_rows(df.withColumn("conv", F.col("conv_id"))).cache())
+    assert model.line.argmax(axis=1)[:2].tolist() == [1, 2] and model.step.argmax(axis=1)[2] == 1 and model.start.argmax() == 0
+
+
+def test_text_without_markers_is_one_turn(spark, tables):
+    given = tables["conversations"]
+    got = chat.format_chats(given).select("conv_id", "turn", "rendered")
+    assert given.where("text LIKE '%\n%'").count() > 0
+    bare = F.regexp_extract("rendered", r"(?s)^<\|\w+\|>\n(.*)\n<\|end\|>$", 1)
+    want = given.select("conv_id", "turn", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+    assert want.exceptAll(got.select("conv_id", "turn", bare)).count() == 0 and got.count() == given.count()
