@@ -140,8 +140,9 @@ class Encoder:
     white space is a lone space or newline, a text can be parted at those and
     each distinct word encoded once.  A word that is letters and then signs is
     encoded as those two parts by a second tokenizer that skips the library's
-    own parting; any other word, and any text with other white space, goes
-    through the library as it is.
+    own parting; any other word, any text with other white space and any text
+    that holds an added token's content ("<|endoftext|>" has an id of its own)
+    goes through the library as it is.
     """
 
     SIGNS = ".,;:!?%&$*#-()|/"
@@ -156,7 +157,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
+        self.odd = "|".join([self.ODD, *("".join(f"\\x{{{ord(c):x}}}" for c in t) for t in added)])
         parting = json.loads(self.whole.to_str())["pre_tokenizer"] or {}
         self.by_word = parting.get("type") == "ByteLevel" and parting.get("use_regex") and not parting.get("add_prefix_space")
         # byte-level BPE's letters: printable bytes stand for themselves
@@ -164,7 +166,7 @@ class Encoder:
         rest = [x for x in range(256) if x not in plain]
         self.letters = {x: x for x in plain} | {x: 256 + i for i, x in enumerate(rest)}
         self.bare = Tokenizer.from_file(path)
-        self.bare.encode_special_tokens = True
+        self.bare.encode_special_tokens = True  # asked for words of letters alone
         self.bare.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[10]), "isolated")
         self.newline = self._ids(["\n"])[0]
 
@@ -205,7 +207,7 @@ class Encoder:
         """Ids of all texts one after the other, and each text's number of ids
         (a NULL has none)."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
         parts = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
         lists, words = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), parts.flatten()
         first = np.cumsum(lists) - lists

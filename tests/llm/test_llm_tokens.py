@@ -56,5 +56,34 @@ def test_round_trip(spark, odd_docs, encoder):
     assert in_order == sorted(in_order)
 
 
+@pytest.fixture(scope="module")
+def fresh():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_added_tokens_have_their_own_id(spark, fresh):
+    end = "<|endoftext|>"
+    texts = [f"a b{end} c", end, f"{end}{end}", f"one two\n{end}\nthree, four", f"x {end}", f"{end} x", "a <|endof text|> c", "a <|endoftext| > b", "plain text"]
+    want = [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 275, 50256, 269]
+    ids, sizes = Encoder(tokenizer_path("byte_bpe_50k.json")).encode(pa.array(texts))
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    rows = token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in rows} == {k: (len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4"))) for k, w in enumerate(want)}
+
+
+_ALPHABET = st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "ab", "'s", "t\u00e9", "1", " ", ",", ".", "\n", "\t", "\U0001f600"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(_ALPHABET, max_size=12).map("".join), min_size=1, max_size=5))
+def test_encoder_equals_a_fresh_library(encoder, fresh, texts):
+    want = fresh.encode_batch(texts, add_special_tokens=False)
+    ids, sizes = encoder.encode(pa.array(texts))
+    assert ids.tolist() == [i for w in want for i in w.ids] and sizes.tolist() == [len(w.ids) for w in want]
+
+
 def test_empty_table(spark, no_docs):
     assert token_table(no_docs).collect() == []
