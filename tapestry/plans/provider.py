@@ -5,20 +5,20 @@ Satellites (each ``lookup_chain`` -> ``nest_many`` -> attach by ``dr_id``):
 
 * address   — addresses, phones, tax ids, weekly contact schedule, reference
               ids, county/link extensions, location variable;
-* status    — variables with code translations, Medicare/Medicaid identifier
-              maps, primary-care role;
+* status    — only rows of the given staff statuses; variables with code
+              translations, Medicare/Medicaid identifier maps, primary-care role;
 * plan      — networks, status/pcp extensions, term-reason variable; only
               statuses whose contract text is 'active' are kept;
-* language, credential (license qualifications), specialty / taxonomy /
+* language, credential (license qualifications, extensions), specialty / taxonomy /
   expertise, training (identifier map, variables), education (a school code
   must match both the school and the hospital table, as in the source).
 
 Hub-level e-mails, social profiles, identifiers, extensions and
 accept-new-patient codes come straight from the hub row (one row per
 provider: no aggregation needed).  All qualifications are crossed with the
-provider's taxonomy codes (optionally with its NPDB list).  The order of the
-extension lists inside ``extension_source_values`` is ours (hub, address,
-status, plan, education).
+provider's taxonomy codes (optionally with its NPDB list).  The extension lists
+stand in ``extension_source_values`` in the source's order.  A credential
+extension whose column the given bronze table does not have gives no entries.
 
 Row grain, as in the source: one row per provider x active plan status.  All
 provider-level aggregates are built *before* that fan-out, so no array is
@@ -27,6 +27,8 @@ duplicated by it (the source aggregated its hub after the fan-out).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType
@@ -39,12 +41,15 @@ from tapestry.operators.lookup import Lookup, attach, lookup_chain
 from tapestry.operators.nest import Nest, NestConcat, NestUnion, nest_many
 from tapestry.operators.project import bronze
 from tapestry.operators.quality import apply_rules, flatten_results
+from tapestry.sources.catalog import isin_trimmed
 
 # --- fixed values -----------------------------------------------------------
 SOURCE_NAME = "HERO"
 ID_USE = "usual"
 PRIMARY_SCH_TYPE = "HFC2"
 ACTIVE_CONTRACT = "active"
+# staff statuses that are loaded
+STAFF_STATUSES = ("!", ".", "1", "7", "A", "AINN", "C", "D", "PCNN", "Q", "SPI", "V", "W")
 SHAPES = {
     "contact": ["reference_id", "id", "entity_type", "telecom_value", "telecom_type", "telecom_use", "telecom_rank",
                 "telecom_eff_date", "telecom_exp_date", "contact_name", "contact_address", "contact_telecom_value",
@@ -98,6 +103,12 @@ EMPLOYMENT_TYPES = {"C": "1099/Contracted", "E": "W-2/Employed"}
 # staff-status qualifications: status column -> (description, code display)
 STATUS_QUALIFICATIONS = {"udf22": ("Flouride Varnish", "udf22"), "udf21": ("DC Health Check", "udf21"),
                          "udf1": ("EPDST", "udf1")}
+# credential extensions: source column name -> (table, column); one list each
+CREDENTIAL_EXTENSIONS = {
+    "Credent_Code": ("credent", "cd"), "Credent_Link": ("credent", "link"), "Credent_Notes": ("credent", "notes"),
+    "Credent_State": ("statelic", "state"), "Credent_Email": ("statelic", "email"),
+    "Credent_Verification": ("statelic", "ver_elec"),
+}
 # education extensions: source column name -> (table, column); one list each
 EDUCATION_EXTENSIONS = {
     "Educate_Code": ("educate", "cd"), "cmt1": ("educate", "cmt1"), "Educate_Link": ("educate", "link"),
@@ -109,6 +120,15 @@ EDUCATION_EXTENSIONS = {
     "hospital_contact1": ("hospital", "contact1"), "hospital_phone": ("hospital", "phone"),
     "hospital_fax": ("hospital", "fax"), "hospital_email": ("hospital", "email"), "hospital_comments": ("hospital", "note"),
 }
+# extension lists in the source's order: names of hub and education extensions, or columns that hold a list
+EXTENSION_ORDER = [
+    "Verfac", "Dr_Title", "ud7", "ud7_date", "pict1", "pict2", "ud3", "ud9", "Min_Patient_Age", "Max_Patient_Age",
+    "ud13_date", "ud14_date", "ud15_date", "status_rec_date_extension", "address_county_extension",
+    "address_link_extension", "Educate_Code", "cmt1", "Educate_Link", *CREDENTIAL_EXTENSIONS, "Beeper", "Beeper2",
+    "School_Code", "drplan1_status_extension", "drplan1_pcp_spec_extension", "status_rea_date_extension",
+    "status_l_secfile_extension", "school_email", "education_program", "education_notes",
+    *[name for name in EDUCATION_EXTENSIONS if name.startswith("hospital_")],
+]
 # hub code columns translated through code tables (for the hub variables)
 HUB_CODE_TABLES = {"ethnic": "eth_tab", "ud12": "u12_tab", "pract_cd1": "par_tab"}
 # patient age range from two code tables: extension name -> (hub code column, code table)
@@ -216,8 +236,8 @@ def _address_satellite(t: dict[str, DataFrame]) -> DataFrame:
     return nest_many(joined, KEY, nests)
 
 
-def _status_satellite(t: dict[str, DataFrame]) -> DataFrame:
-    s = lookup_chain(bronze(t["stfstatu"], "stfstatu"), [
+def _status_satellite(t: dict[str, DataFrame], statuses: Sequence[str]) -> DataFrame:
+    s = lookup_chain(bronze(t["stfstatu"], "stfstatu").where(isin_trimmed("stfstatu__active123", statuses)), [
         Lookup(bronze(t["sta_tab"], "sta_tab"), "stfstatu__staff_cd", "sta_tab__cd", "left", select=["sta_tab__txt"]),
         Lookup(bronze(t["rec_arr"], "rec_arr"), "stfstatu__active123", "rec_arr__cd", "left", select=["rec_arr__txt"]),
     ]).withColumnRenamed("stfstatu__dr_id", KEY)
@@ -298,16 +318,23 @@ def _language_satellite(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def _credential_satellite(t: dict[str, DataFrame]) -> DataFrame:
-    cr = lookup_chain(bronze(t["credent"], "credent"), [
+    frames = {name: bronze(t[name], name) for name in ("credent", "statelic")}
+    held = {name: f"{tb}__{col}" for name, (tb, col) in CREDENTIAL_EXTENSIONS.items() if f"{tb}__{col}" in frames[tb].columns}
+    cr = lookup_chain(frames["credent"], [
         Lookup(bronze(t["lic_arr"], "lic_arr"), "credent__sch_type", "lic_arr__cd", "inner", select=["lic_arr__txt"]),
-        Lookup(bronze(t["statelic"], "statelic"), "credent__cd", "statelic__cd", "inner", select=["statelic__txt"]),
+        Lookup(frames["statelic"], "credent__cd", "statelic__cd", "inner",
+               select=["statelic__txt", *[c for c in held.values() if c.startswith("statelic__")]]),
     ]).withColumnRenamed("credent__dr_id", KEY)
     c = lambda n: F.col(f"credent__{n}")
-    return nest_many(cr, KEY, {"credential_qualifications": Nest(of(
-        "qualification", description=c("title"), issue_date=c("issue_dt").cast("string"),
-        exp_date=c("lic_date").cast("string"), issuer=F.col("statelic__txt"), issuer_display=F.col("statelic__cd"),
-        license_category=F.col("lic_arr__cd"), license_number=c("lic_num"),
-        qualification_code_system=F.col("lic_arr__txt"), status=c("status")), "desc", distinct=True)})
+    return nest_many(cr, KEY, {
+        "credential_qualifications": Nest(of(
+            "qualification", description=c("title"), issue_date=c("issue_dt").cast("string"),
+            exp_date=c("lic_date").cast("string"), issuer=F.col("statelic__txt"), issuer_display=F.col("statelic__cd"),
+            license_category=F.col("lic_arr__cd"), license_number=c("lic_num"),
+            qualification_code_system=F.col("lic_arr__txt"), status=c("status")), "desc", distinct=True),
+        **{name: Nest(of("extension", source_column_name=name, source_column_value=F.col(column).cast("string")), "desc")
+           for name, column in held.items()},
+    })
 
 
 def _specialty_satellite(t: dict[str, DataFrame]) -> DataFrame:
@@ -422,9 +449,12 @@ def _nullable(dt: DataType) -> DataType:
     return dt
 
 
-def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_npdb: bool = False) -> DataFrame:
+def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_npdb: bool = False,
+                     statuses: Sequence[str] = STAFF_STATUSES) -> DataFrame:
     """115-column provider rows (target order), with data-quality results.
 
+    Only staff-status rows whose trimmed ``active123`` is in ``statuses`` are read.
+
     ``apply_npdb`` reproduces the source's last qualification step: every
     qualification repeated for each NPDB entry of the provider, its number and
     type overwritten (and the list emptied when the provider has none)."""
@@ -436,7 +466,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         Lookup(bronze(t[table], table), f"drname__{col}", f"{table}__cd", "left", select=[f"{table}__txt"])
         for col, table in HUB_CODE_TABLES.items()])
     spine = attach(hub, _address_satellite(t), KEY, "inner")
-    spine = attach(spine, _status_satellite(t), KEY, "inner")
+    spine = attach(spine, _status_satellite(t, statuses), KEY, "inner")
     spine = attach(spine, _plan_satellite(t), KEY, "inner")
     spine = attach(spine, _language_satellite(t), KEY, "left")
     spine = attach(spine, _credential_satellite(t), KEY, "left")
@@ -494,11 +524,11 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
             v = v.try_cast("date")
         return v.cast("string")
 
-    hub_ext = F.array(
-        *[of("extension", source_column_name=name, source_column_value=hub_value(name, column))
-          for name, column in HUB_EXTENSIONS.items()],
-        *[of("extension", source_column_name=name, source_column_value=F.col(f"{table}__txt"))
-          for name, (_, table) in AGE_EXTENSIONS.items()])
+    hub_values = {name: hub_value(name, column) for name, column in HUB_EXTENSIONS.items()} | {
+        name: F.col(f"{table}__txt") for name, (_, table) in AGE_EXTENSIONS.items()}
+    ext_lists = {name: F.array(of("extension", source_column_name=name, source_column_value=v)) for name, v in hub_values.items()}
+    ext_lists |= {name: F.col(f"education_ext_{i}") for i, name in enumerate(EDUCATION_EXTENSIONS)}
+    ext_lists |= {name: F.col(name) for name in EXTENSION_ORDER if name in spine.columns}
     primary = pick("other_addresses", lambda x: x["address_sch_type"] == PRIMARY_SCH_TYPE)
     birth = h("birthdate").try_cast("date")
     filled = {
@@ -548,11 +578,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         "source_id": F.col(KEY),
         "identifiers": merge_maps(*hub_ids[:5], "status_medicare_identifiers", "status_medicaid_identifiers", *hub_ids[5:],
                                   "train_identifiers"),
-        "extension_source_values": merge_arrays(hub_ext, "address_county_extension", "address_link_extension",
-                                                "status_rec_date_extension", "status_rea_date_extension",
-                                                "status_l_secfile_extension", "drplan1_status_extension",
-                                                "drplan1_pcp_spec_extension",
-                                                *[f"education_ext_{i}" for i in range(len(EDUCATION_EXTENSIONS))]),
+        "extension_source_values": merge_arrays(*[ext_lists[name] for name in EXTENSION_ORDER if name in ext_lists]),
     }
     out = spine.select(*[(filled[c] if c in filled else F.lit(None).cast("string")).alias(c)
                          for c in TARGET_COLUMNS if c != "data_quality_result"])

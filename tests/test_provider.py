@@ -235,3 +235,27 @@ def test_provider_education_extensions(profile_rows):
     assert ext["education_program"] == "MD program" and ext["cmt1"] == "MD program" and ext["education_notes"] == "honors"
     assert ext["School_Code"] == "H1" and ext["school_email"] == "s@x"
     assert ext["hospital_url"] == "http://h" and ext["hospital_comments"] == "teaching" and ext["hospital_fax"] is None
+
+
+def test_provider_credential_extensions(spark, tables):
+    credent = tables["credent"].withColumns({"link": F.concat(F.lit("k-"), "cd"), "notes": F.when(F.col("cd") == "MD", "seen")})
+    statelic = tables["statelic"].withColumns({"state": F.col("cd"), "email": F.lower("cd"), "ver_elec": F.when(F.col("cd") == "VA", F.lit(1))})
+    r = provider_profile(tables | {"credent": credent, "statelic": statelic}).first()
+    values = [(x.source_column_name, x.source_column_value) for x in r.extension_source_values]
+    at = values.index(("Credent_Code", "VA"))
+    assert values[at:at + 12] == [
+        ("Credent_Code", "VA"), ("Credent_Code", "MD"), ("Credent_Link", "k-VA"), ("Credent_Link", "k-MD"), ("Credent_Notes", "seen"),
+        ("Credent_Notes", None), ("Credent_State", "VA"), ("Credent_State", "MD"), ("Credent_Email", "va"), ("Credent_Email", "md"),
+        ("Credent_Verification", "1"), ("Credent_Verification", None)]
+    # the source's order: hub, address, education codes before; beepers, plan, school, hospital after
+    assert values[at - 1][0] == "Educate_Link" and values[at + 12][0] == "Beeper"
+    assert values[0][0] == "Verfac" and values[-1][0] == "hospital_comments"
+
+
+def test_provider_staff_statuses(spark, tables):
+    more = table(spark, tables["stfstatu"].columns, [("1", "S9", " X ", "1", *[None] * 8), ("1", "S8", " Q ", "1", *[None] * 8)])
+    got = tables | {"stfstatu": tables["stfstatu"].union(more)}
+    codes = lambda r: sorted(v.code_value for v in r.variable_fields if v.code_type == "Active123")
+    assert codes(provider_profile(got).first()) == ["A", "A", "Q"]
+    assert codes(provider_profile(got, statuses=["X"]).first()) == ["X"]
+    assert provider_profile(got, statuses=["B"]).count() == 0
