@@ -235,7 +235,7 @@ copyleft 3 copyleft: copyleft
 copyright 3 copyright: copyright (?:c )?(?:19|20)[0-9]{2}
 warranty 3 warranty: without warranty of any kind
 licence 3 licensed: (?:is |are )?licensed (?:under|to)
-licence 3 license: (?:end user )?licen[sc]e agreement
+licence 3 agreement: (?:end user )?licen[sc]e agreement
 """
 
 #: Phrases whose every place is counted, and their labels.

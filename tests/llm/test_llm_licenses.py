@@ -60,6 +60,45 @@ def test_against_model(spark, cut):
         assert rows[i] == model(t), t
 
 
+def forms(tree):
+    """Every text that a parsed regex can match; of a wide class or a repeat, its ends."""
+    out = {""}
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            ways = {chr(arg)}
+        elif name == "IN":
+            ways = {chr(c) for kind, x in arg for c in ((x,) if str(kind) == "LITERAL" else x)}
+        elif name == "ANY":
+            ways = {"x"}
+        elif name == "SUBPATTERN":
+            ways = forms(arg[-1])
+        elif name == "BRANCH":
+            ways = set().union(*map(forms, arg[1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = forms(arg[2])
+            ways = {w * n for w in one for n in {arg[0], min(arg[1], arg[0] + 1)}}
+        elif name == "ASSERT_NOT":
+            ways = {""}
+        else:
+            raise ValueError(name)
+        out = {a + b for a in out for b in ways}
+    return out
+
+
+def test_every_form_holds_its_keyword():
+    for r in parse_rules(RULES):
+        missing = [f for f in forms(re._parser.parse(r["regex"])) if r["keyword"] not in f.split(" ")]
+        assert not missing, (r["keyword"], missing[:3])
+
+
+def test_licence_agreement(spark):
+    texts = ["this licence agreement binds", "the End User Licence Agreement.", "a license agreement", "an agreement"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: tuple(r)[1:] for r in license_scan(docs).collect()}
+    assert [rows[i] for i in range(4)] == [model(t) for t in texts] and "licence" in rows[0][5] and "licence" not in rows[3][5]
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = {r["doc_id"]: tuple(r)[1:] for r in license_scan(docs).collect()}
