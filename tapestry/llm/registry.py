@@ -17,11 +17,14 @@ from tapestry.llm.decontam import contaminated
 from tapestry.llm.licenses import license_scan
 from tapestry.llm.mixing import mix
 from tapestry.llm.neardup import near_duplicates
+from tapestry.llm.sharding import shard_table
 from tapestry.llm.substring import substring_digest
 from tapestry.llm.tokens import token_table
 from tapestry.llm.toxicity import toxicity
 from tapestry.llm.topk import SQL as TOP_K_SQL
 from tapestry.llm.topk import top_k
+from tapestry.llm.trie import conversation_trie
+from tapestry.llm.variants import spelling_variants
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -84,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_decontaminate": op9_decontaminate,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_shards": op12_shards,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
