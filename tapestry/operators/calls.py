@@ -35,10 +35,11 @@ def masked(text: Column) -> Column:
     return F.array_join(F.transform(chunks, hide), "")
 
 
-def call_arguments(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
+def call_arguments(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",), unnamed: bool = False) -> DataFrame:
     """One row per argument: ``(keys..., call, name, receiver, arg_no, a, b)``:
     the call's place in the text, the name before its parenthesis, the variable
-    at the head of its chain ('' if there is none) and the argument's span."""
+    at the head of its chain ('' if there is none) and the argument's span.
+    ``unnamed``: also the items of brackets and of parentheses without a name."""
     keys = list(keys)
     pieces = df.select(*keys, F.posexplode(F.split(masked(F.col(text_col)), r"(?<=[()\[\],])|(?=[()\[\],])", -1)).alias("i", "piece"))
     along = Window.partitionBy(*keys).orderBy("i")
@@ -59,22 +60,29 @@ def call_arguments(df: DataFrame, text_col: str = "text", keys: Sequence[str] =
     )
     number = F.row_number().over(Window.partitionBy(*keys, "level", "call").orderBy("i")) - 1
     rows = cuts.select(*keys, "call", "name", F.coalesce("receiver", F.lit("")).alias("receiver"), number.alias("arg_no"), (F.col("start") + 1).alias("a"), "b", "closing")
-    return rows.where("NOT closing AND b IS NOT NULL AND name <> ''").drop("closing")
+    rows = rows.where("NOT closing AND b IS NOT NULL").drop("closing")
+    return rows if unnamed else rows.where("name <> ''")
 
 
 def calls_of(df: DataFrame, name: str, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
     """The calls of one name in text order: ``(keys..., call, match_no, receiver,
     n_args, arg0, arg1, arg2, args, rest)`` with the first three arguments'
     texts, all arguments, and everything from the second argument on."""
+    return calls_among(df, [name], text_col, keys).drop("name")
+
+
+def calls_among(df: DataFrame, names: Sequence[str], text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
+    """``calls_of`` several names in one pass, with ``name``; ``match_no`` counts
+    the calls of a name."""
     keys = list(keys)
-    spans = call_arguments(df, text_col, keys).where(F.col("name") == name)
-    spans = spans.groupBy(*keys, "call", "receiver").agg(F.array_sort(F.collect_list(F.struct("arg_no", "a", "b"))).alias("spans"))
-    match_no = (F.row_number().over(Window.partitionBy(*keys).orderBy("call")) - 1).alias("match_no")
-    spans = spans.select(*keys, "call", match_no, "receiver", "spans")
+    spans = call_arguments(df, text_col, keys).where(F.col("name").isin(*names))
+    spans = spans.groupBy(*keys, "name", "call", "receiver").agg(F.array_sort(F.collect_list(F.struct("arg_no", "a", "b"))).alias("spans"))
+    match_no = (F.row_number().over(Window.partitionBy(*keys, "name").orderBy("call")) - 1).alias("match_no")
+    spans = spans.select(*keys, "name", "call", match_no, "receiver", "spans")
     text = F.col("_text")
     args = F.transform("spans", lambda s: text.substr(s["a"] + 1, s["b"] - s["a"]))
     out = spans.join(df.select(*keys, F.col(text_col).alias("_text")), keys)
     last = F.element_at("spans", -1)["b"]
     rest = F.when(F.size("spans") > 1, text.substr(F.get("spans", F.lit(1))["a"] + 1, last - F.get("spans", F.lit(1))["a"])).otherwise("")
-    return out.select(*keys, "call", "match_no", "receiver", F.size("spans").alias("n_args"), args.alias("args"), rest.alias("rest")).select(
-        *keys, "call", "match_no", "receiver", "n_args", *[F.get("args", F.lit(k)).alias(f"arg{k}") for k in range(3)], "args", "rest")
+    return out.select(*keys, "name", "call", "match_no", "receiver", F.size("spans").alias("n_args"), args.alias("args"), rest.alias("rest")).select(
+        *keys, "name", "call", "match_no", "receiver", "n_args", *[F.get("args", F.lit(k)).alias(f"arg{k}") for k in range(3)], "args", "rest")

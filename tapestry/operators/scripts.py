@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tapestry.functions.names import PY_WHITESPACE_CHARS, is_column_name, py_strip
 from tapestry.operators.calls import calls_of
+from tapestry.operators.tokens import rename_heads
 from tapestry.session import written
 
 # --- fixed values -----------------------------------------------------------
@@ -324,19 +325,16 @@ def extract_joins(df: DataFrame, text_col: str = "text", keys: Sequence[str] = (
 
 def resolve_joins(joins: DataFrame, resolved: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     """D14 for join details: variables -> table names (falling back to the
-    variable), and ``var.`` prefixes inside the condition rewritten to
-    ``table.``.  The per-script binding list is bounded by the script."""
+    variable), and the variables of the condition's dotted names likewise, each
+    once.  The per-script map of bindings is bounded by the script."""
     keys = list(keys)
     r = resolved.select(*keys, "var", "table_name")
     j = joins.join(r.withColumnRenamed("var", "left_df").withColumnRenamed("table_name", "left_table"), keys + ["left_df"], "left")
     j = j.join(r.withColumnRenamed("var", "right_df").withColumnRenamed("table_name", "right_table"), keys + ["right_df"], "left")
-    pairs = r.groupBy(*keys).agg(F.collect_list(F.struct("var", "table_name")).alias("pairs"))
-    j = j.join(pairs, keys, "left")
-    cond = F.aggregate(
-        F.coalesce(F.col("pairs"), F.array().cast("array<struct<var:string,table_name:string>>")),
-        F.col("condition"),
-        lambda acc, p: F.regexp_replace(acc, F.concat(F.lit(r"\b"), p["var"], F.lit(r"\.")), F.concat(p["table_name"], F.lit("."))),
-    )
+    names = r.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("var", "table_name"))).alias("names"))
+    j = j.join(names, keys, "left")
+    names = F.coalesce("names", F.create_map().cast("map<string,string>"))
+    cond = rename_heads(F.col("condition"), names)
     return j.select(
         *keys, "join_no",
         F.coalesce("left_table", "left_df").alias("primary_table"),

@@ -2,12 +2,12 @@
 target-column mapping (source table, source columns, target, transformation,
 array fields, DQ rules) plus join details and lineage, as DataFrames.
 
-    scripts ─┬─ withColumn calls ─⟕ resolved bindings (table of the receiver)
-             │                    ─ column refs -> table.column list
-             │                    ─ struct fields -> array fields
-             │                    ─⟕ rules per column (rule block)
+    scripts ─┬─ withColumn(s), select and agg items, column lists expanded
+             │     ─ col("x"), df.x, df["x"] ─⟕ tables of the versions in force
+             │     ─ nested fields under aliases -> array fields
+             │     ─⟕ rules per column (rule block)
              ├─ join calls ───────⟕ resolved bindings -> join details
-             └─ assignments ──────  lineage edges -> closure to root tables
+             └─ assignments ──────  versioned lineage -> closure to root tables
 
 Every stage is per-file string work or a join keyed by (path, name); no
 stage gathers the corpus in one place.
@@ -17,13 +17,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapestry.operators import scripts as S
-from tapestry.operators.lineage import lineage_edges, lineage_roots
+from tapestry.operators import statements as V
+from tapestry.operators.lineage import lineage_roots
 from tapestry.operators.quality import rule_lines, rules_by_column
-from tapestry.operators.review import attach_rules, resolve_tables
+from tapestry.operators.review import attach_rules
+from tapestry.session import written
 from tapestry.sources.sinks import export_joins, export_mappings
 
 KEYS = ["path"]
@@ -37,32 +39,44 @@ class MappingDocument:
     targets: DataFrame
 
 
-def extract_mappings(spark: SparkSession, scripts: DataFrame) -> MappingDocument:
-    tl = S.extract_table_lists(scripts)
-    bound = S.resolve_bindings(spark, S.extract_bindings(scripts), tl)
-
-    wc = S.extract_with_column(scripts)
-    wc = resolve_tables(wc.withColumn("receiver", F.nullif(F.col("receiver"), F.lit(""))), bound, var_col="receiver",
-                        keys=KEYS, out="receiver_table")
-    table = F.coalesce(F.col("receiver_table"), F.lit("unknown"))
-    short = F.element_at(F.split(table, r"\."), -1)
-    cols = S.column_refs(F.col("transformation"))
-    m = wc.select(
+def extract_mappings(spark: SparkSession, scripts: DataFrame, direct: bool = False) -> MappingDocument:
+    """``direct``: columns that a select passes on as they are count as mappings
+    too."""
+    lists = written(V.list_versions(scripts), "lists")
+    versions = V.table_versions(scripts)
+    e = V.expressions(scripts, lists=lists)
+    e = written(e if direct else e.where("NOT direct"), "expressions")
+    one = [*KEYS, "at", "item_no"]
+    refs = V.references(e, keys=[*one, "receiver"]).join(V.imported_names(scripts), [*KEYS, "var"], "left_anti")
+    refs = V.bind_references(refs, versions, KEYS).withColumn("table_name", F.coalesce("table_name", F.lit("unknown")))
+    short = F.element_at(F.split("table_name", r"\."), -1)
+    sources = refs.groupBy(*one).agg(
+        F.array_join(F.sort_array(F.collect_set("table_name")), ", ").alias("source_table"),
+        F.array_join(F.sort_array(F.collect_set(F.concat(short, F.lit("."), "column"))), ", ").alias("source_columns"),
+    )
+    field = F.struct("field_no", F.col("path").alias("alias"), "transformation")
+    tree = V.field_tree(e.withColumnRenamed("path", "_path"), keys=["_path", "at", "item_no"])
+    fields = tree.groupBy(F.col("_path").alias("path"), "at", "item_no").agg(F.array_sort(F.collect_list(field)).alias("f"))
+    pair = lambda f: F.struct(f["alias"].alias("alias"), f["transformation"].alias("transformation"))
+    order = Window.partitionBy(*KEYS).orderBy("at", "item_no")
+    m = e.join(sources, one, "left").join(fields, one, "left").select(
         *KEYS,
-        F.col("match_no").alias("mapping_no"),
-        F.when(F.size(cols) > 0, table).otherwise(F.lit("")).alias("source_table"),
-        F.array_join(F.transform(cols, lambda c: F.concat(short, F.lit("."), c)), ", ").alias("source_columns"),
-        F.col("target_column"),
-        F.col("transformation"),
-        S.extract_fields(F.col("transformation")).alias("array_fields"),
+        (F.row_number().over(order) - 1).alias("mapping_no"),
+        F.coalesce("source_table", F.lit("")).alias("source_table"),
+        F.coalesce("source_columns", F.lit("")).alias("source_columns"),
+        "target_column",
+        "transformation",
+        F.coalesce(F.transform("f", pair), F.array().cast("array<struct<alias:string,transformation:string>>")).alias("array_fields"),
     )
     rules = rules_by_column(rule_lines(S.extract_rule_block(scripts), "rule_block", keys=KEYS), KEYS)
     m = attach_rules(m, rules, on_mapping="target_column", keys=KEYS)
 
+    bound = S.resolve_bindings(spark, S.extract_bindings(scripts), S.extract_table_lists(scripts))
     joins = S.resolve_joins(S.extract_joins(scripts), bound).select(
         *KEYS, "join_no", F.col("primary_table").alias("left_df"), F.col("secondary_table").alias("right_df"),
         "join_type", "condition", "remarks")
-    lineage = lineage_roots(spark, lineage_edges(scripts), keys=KEYS)
+    roots = lineage_roots(spark, V.lineage_versions(scripts), keys=KEYS)
+    lineage = roots.select(*KEYS, F.col("node.name").alias("node"), F.col("node.version").alias("version"), F.col("root.name").alias("root"), "depth")
     return MappingDocument(m, joins, lineage, S.extract_target(scripts))
 
 
