@@ -19,9 +19,10 @@ from tapestry.functions.names import clean_column, clean_field, clean_rule, clea
 from tapestry.functions.text import confidence_band, similarity_native
 from tapestry.operators.reconcile import (KEY, classify_matches, last_per_key, only_in, reconcile, reconcile_summary,
                                           resolve, score, union_methods)
+from tapestry.operators.chunks import join_text_chunks, sources_of_chunks
 from tapestry.operators.review import (apply_updates, close_session, confidence_summary, export_review, extract_counts,
-                                       join_text, review_queue, rule_kinds, session_results, session_totals,
-                                       session_view, sources_of, standardize, store_report, to_document, to_standard, top_n,
+                                       review_queue, rule_kinds, session_results, session_totals,
+                                       session_view, standardize, store_report, to_document, to_standard, top_n,
                                        with_defaults)
 from tapestry.plans.queries import T, register
 from tapestry.session import ensure_checkpoint_dir
@@ -487,20 +488,31 @@ def q_store_report(spark, d):
     return store_report(m.withColumn("stored", ok))
 
 
-@register("sources_of", WITH_AB + """
-SELECT target_field, array_to_string(list_sort(list(DISTINCT source_column)), ', ') AS source_columns,
-  array_to_string(list_sort(list(DISTINCT source_table)), ', ') AS source_tables
-FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY target_field
+#: Values of a chunk in the registered queries: their rows grow with the data.
+CHUNK = 100
+
+
+@register("sources_of", WITH_AB + f"""
+, m AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+c AS (SELECT target_field, chunk, array_to_string(list(source_column ORDER BY source_column), ', ') AS source_columns FROM (
+  SELECT target_field, source_column, ((row_number() OVER (PARTITION BY target_field ORDER BY source_column) - 1) // {CHUNK})::INTEGER AS chunk
+  FROM (SELECT DISTINCT target_field, source_column FROM m WHERE source_column IS NOT NULL)) GROUP BY ALL),
+t AS (SELECT target_field, chunk, array_to_string(list(source_table ORDER BY source_table), ', ') AS source_tables FROM (
+  SELECT target_field, source_table, ((row_number() OVER (PARTITION BY target_field ORDER BY source_table) - 1) // {CHUNK})::INTEGER AS chunk
+  FROM (SELECT DISTINCT target_field, source_table FROM m WHERE source_table IS NOT NULL)) GROUP BY ALL)
+SELECT target_field, chunk, coalesce(source_columns, '') AS source_columns, coalesce(source_tables, '') AS source_tables
+FROM c FULL JOIN t USING (target_field, chunk)
 """)
 def q_sources_of(spark, d):
-    return sources_of(mapping_a(spark, d).unionByName(mapping_b(spark, d)))
+    return sources_of_chunks(mapping_a(spark, d).unionByName(mapping_b(spark, d)), size=CHUNK)
 
 
-@register("join_text", WITH_AB + """
-SELECT target_field, string_agg(transformation_rule, '; ' ORDER BY id) AS rules FROM a GROUP BY target_field
+@register("join_text", WITH_AB + f"""
+SELECT target_field, chunk, string_agg(transformation_rule, '; ' ORDER BY id) AS rules FROM (
+  SELECT *, ((row_number() OVER (PARTITION BY target_field ORDER BY id) - 1) // {CHUNK})::INTEGER AS chunk FROM a) GROUP BY target_field, chunk
 """)
 def q_join_text(spark, d):
-    return join_text(mapping_a(spark, d), "target_field", "transformation_rule", order="id")
+    return join_text_chunks(mapping_a(spark, d), "target_field", "transformation_rule", order="id", size=CHUNK)
 
 
 # ------------------------------------------------------------------ A8, A9, A11, C7, P
