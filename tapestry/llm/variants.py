@@ -44,6 +44,8 @@ LETTERS = "[A-Za-zÀ-ÿ]"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 #: Words of a tile, code points of a tile's matrix, and pairs compared at once.
 TILE, CELLS, PAIRS = 1024, 1 << 21, 1 << 18
+#: Rows of blocks that one task compares (about four for each word).
+TASK_ROWS = 1 << 16
 
 
 def with_slips(word: Column, doc_id: Column, every: int = 31) -> Column:
@@ -188,7 +190,8 @@ def near_words(counts: DataFrame, least_length: int = LEAST_LENGTH, tile: int =
         F.expr("CASE WHEN mine = other THEN 0 WHEN mine < other THEN 1 ELSE 2 END").alias("tile"),
     )
     runs = [*keys, "low", "high"]
-    found = dealt.repartition(*runs).sortWithinPartitions(*runs).mapInArrow(compare, "word string, near long, best_n long, best string")
+    tasks = 4 * counts.count() // TASK_ROWS + 1  # comparing costs far more than its few bytes tell
+    found = dealt.repartition(tasks, *runs).sortWithinPartitions(*runs).mapInArrow(compare, "word string, near long, best_n long, best string")
     top = F.min(F.struct((-F.col("best_n")).alias("rank"), F.col("best"))).alias("top")
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), top).select("word", "n_near", (-F.col("top.rank")).alias("best_n"), F.col("top.best").alias("best"))
 
