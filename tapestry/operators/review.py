@@ -36,10 +36,11 @@ RESULT_DEFAULTS = {"confidence_score": 0.5, "needs_review": False, "user_validat
 # ---------------------------------------------------------------------------
 
 
-def standardize(df: DataFrame) -> DataFrame:
+def standardize(df: DataFrame, keep=()) -> DataFrame:
     """Clean names and rules; confidence defaults to 0.5, review to true;
-    a fixed note."""
+    a fixed note.  ``keep``: columns to carry along in front."""
     return df.select(
+        *keep,
         clean_table("source_table").alias("source_table"),
         clean_column("source_column").alias("source_column"),
         clean_rule("transformation_rule").alias("transformation_rule"),

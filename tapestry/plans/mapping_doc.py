@@ -39,9 +39,9 @@ class MappingDocument:
     targets: DataFrame
 
 
-def extract_mappings(spark: SparkSession, scripts: DataFrame, direct: bool = False) -> MappingDocument:
-    """``direct``: columns that a select passes on as they are count as mappings
-    too."""
+def mapping_rows(scripts: DataFrame, direct: bool = False) -> DataFrame:
+    """The document's mapping rows.  ``direct``: columns that a select passes on
+    as they are count as mappings too."""
     lists = written(V.list_versions(scripts), "lists")
     versions = V.table_versions(scripts)
     e = V.expressions(scripts, lists=lists)
@@ -69,8 +69,12 @@ def extract_mappings(spark: SparkSession, scripts: DataFrame, direct: bool = Fal
         F.coalesce(F.transform("f", pair), F.array().cast("array<struct<alias:string,transformation:string>>")).alias("array_fields"),
     )
     rules = rules_by_column(rule_lines(S.extract_rule_block(scripts), "rule_block", keys=KEYS), KEYS)
-    m = attach_rules(m, rules, on_mapping="target_column", keys=KEYS)
+    return attach_rules(m, rules, on_mapping="target_column", keys=KEYS)
+
 
+def extract_mappings(spark: SparkSession, scripts: DataFrame, direct: bool = False) -> MappingDocument:
+    """Mapping rows, join details, lineage to root tables and targets."""
+    m = mapping_rows(scripts, direct)
     bound = S.resolve_bindings(spark, S.extract_bindings(scripts), S.extract_table_lists(scripts))
     joins = S.resolve_joins(S.extract_joins(scripts), bound).select(
         *KEYS, "join_no", F.col("primary_table").alias("left_df"), F.col("secondary_table").alias("right_df"),

@@ -138,7 +138,7 @@ def q_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 # query modules register themselves on import
-from tapestry.plans import q_chunks, q_entity, q_mapping, q_scripts, q_statements  # noqa: E402,F401
+from tapestry.plans import q_chunks, q_corpus, q_entity, q_mapping, q_scripts, q_statements  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

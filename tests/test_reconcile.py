@@ -3,6 +3,7 @@ Python model of the documented behaviour (difflib ratio, fallback resolution,
 final scoring)."""
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,11 +132,19 @@ def test_expected_scores(spark, frames):
     assert summary["final_mappings"] == 10 and summary["conflicts"] == 1 and summary["new_mappings"] == 1
 
 
-def test_similarity_ratio_matches_difflib(spark):
+def test_exact_similarity_matches_the_sequence_matcher(spark):
     from tapestry.functions.text import similarity_ratio
+    rng = random.Random(6)
     pairs = [("abc", "abd"), ("", ""), ("", "x"), ("when(col('a'))", "when(col('b'))"), ("x" * 300 + "y", "x" * 299 + "z"),
-             (None, "abc")]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    got = [r.s for r in df.select(similarity_ratio("a", "b").alias("s")).collect()]
-    want = [difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in pairs]
-    assert got == pytest.approx(want)
+             (None, "abc"), (None, None), ("same", "same"), ("a\U0001f600b\n", "\U0001f600b\nc"), ("abcabc", "cabcab"), ("aab", "baa")]
+    pairs += [("".join(rng.choices("abcd", k=rng.randrange(40))), "".join(rng.choices("abcde", k=rng.randrange(40)))) for _ in range(150)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for n in (199, 200, 260):  # popular characters from 200 on
+        a = "".join(rng.choices(letters + "ee  ", k=n))
+        pairs += [(a, a[40:] + a[:30]), (a, "".join(rng.choices(letters, k=n))), ("xy" * 50, a), (a, "ab" * (n // 2))]
+    df = spark.createDataFrame([(i, *p, 1.0) for i, p in enumerate(pairs)], "i int, a string, b string, k double")
+    got = {r.i: r.s for r in df.select("i", similarity_ratio("a", "b").alias("s")).collect()}
+    assert [got[i] for i in range(len(pairs))] == pytest.approx([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in pairs], abs=1e-12)
+    classes = classify_matches(reconcile(*[spark.createDataFrame([("t", "c", r, "f", 0.5, False)], "source_table string, source_column string, "
+                               "transformation_rule string, target_field string, confidence_score double, needs_review boolean") for r in ("abcd", "bcde")]), "ratio")
+    assert classes.first().similarity == pytest.approx(0.7 * 0.75 + 0.3)
