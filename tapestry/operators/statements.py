@@ -118,7 +118,7 @@ def list_versions(df: DataFrame, text_col: str = "text", keys: Sequence[str] = (
     ``[f(c) for c in names]`` holds f of each item of the list ``names``.
     ``assigned`` are the script's ``assignments``, if they are at hand."""
     keys = list(keys)
-    a = assignments(df, text_col, keys) if assigned is None else assigned
+    a = written(assignments(df, text_col, keys), "assignments") if assigned is None else assigned
     a = a.withColumn("text", F.rtrim("text", F.lit("\r\n \t;")))
     one = [*keys, "stmt"]
     heads = a.where(F.rlike("code", F.lit(r"^[\[(]")))
@@ -128,7 +128,7 @@ def list_versions(df: DataFrame, text_col: str = "text", keys: Sequence[str] = (
     found = heads.join(spans, one).where((last == F.length("text") - 1) & (F.col("text").startswith("[") | (F.size("spans") > 1)))
     cut = F.transform("spans", lambda s: py_strip(F.col("text").substr(s["a"] + 1, s["b"] - s["a"])))
     found = found.select(*one, "var", "until", F.filter(cut, lambda x: x != "").alias("items"))
-    lists = a.select(*one, "var", "version", "at", "until").join(found.select(*one, "items"), one, "left")
+    lists = written(a.select(*one, "var", "version", "at", "until").join(found.select(*one, "items"), one, "left"), "lists")
     made = lists.where(F.size("items") == 1).select(*one, "at", F.get("items", F.lit(0)).alias("item"))
     made = _each(made, lists, keys).groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("sub", "item"))).alias("made"))
     out = lists.join(made, one, "left")
@@ -166,8 +166,9 @@ def expressions(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("p
     expanded), in text order.  An item without an alias that is a plain column
     is its own target (``direct``)."""
     keys = list(keys)
-    lists = list_versions(df, text_col, keys) if lists is None else lists
+    lists = written(list_versions(df, text_col, keys), "lists") if lists is None else lists
     calls = calls_among(df, ["withColumn", "withColumns", "select", "agg"], text_col, keys).withColumnRenamed("call", "at").withColumnRenamed("name", "call")
+    calls = written(calls.drop("match_no", "arg1", "arg2"), "calls")  # read by three branches
     head = [*keys, "at", "call", "receiver"]
     quoted = r"^\s*['\"]([^'\"]*)['\"]\s*$"
     mapped = F.lit(False).alias("direct")

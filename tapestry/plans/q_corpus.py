@@ -273,9 +273,10 @@ SELECT path, unnest(['code_only', 'legacy_only', 'code_only', 'legacy_only', 'ex
   unnest([false, true, false, true, false, false]) AS needs_review FROM p
 """)
 def q_corpus_job(spark, d):
-    """A job for every part, run twice into one store."""
+    """A job for every part, saved twice into one store."""
     store = RunStore(spark, _scratch(spark, "jobs"))
-    for _ in range(2):
-        rows = run_corpus(spark, part_jobs(spark, d), store, F.lit("2024-03-01 12:00:00").cast("timestamp"))
+    rows = run_corpus(spark, part_jobs(spark, d), store, F.lit("2024-03-01 12:00:00").cast("timestamp"))
+    store.save(rows)
+    rows = store.read()
     return rows.select("path", "match_class", "extraction_source", "source_table", "source_column", "transformation_rule", "target_field",
                        F.round("confidence_score", 6).alias("confidence_score"), "needs_review")
