@@ -274,7 +274,7 @@ SELECT path, unnest(['code_only', 'legacy_only', 'code_only', 'legacy_only', 'ex
 """)
 def q_corpus_job(spark, d):
     """A job for every part, saved twice into one store."""
-    store = RunStore(spark, _scratch(spark, "jobs"))
+    store = RunStore(spark, _scratch(spark, "jobs"), buckets=8)
     rows = run_corpus(spark, part_jobs(spark, d), store, F.lit("2024-03-01 12:00:00").cast("timestamp"))
     store.save(rows)
     rows = store.read()

@@ -20,9 +20,9 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tapestry.session import written
+from tapestry.sources.run_store import stored_table
 
 BUCKET = "path_bucket"
 Extractor = Callable[[DataFrame], DataFrame]
@@ -39,12 +39,7 @@ class Corpus:
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
 
     def _stored(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
+        return stored_table(self.spark, f"{self.root}/{name}")
 
     def read(self, name: str) -> DataFrame:
         """All rows of an extractor, or the ``manifest``."""

@@ -100,6 +100,19 @@ def test_a_save_twice_is_one_run(spark, store):
     assert store.read().where("session_id IS NULL").count() == 1
 
 
+def test_sessions_in_buckets(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "b"), buckets=2)
+    rows = [runs(spark, s, 1, [s or "n"]) for s in ("a", "b", "c", "d", None)] + [runs(spark, "a", 2, ["a2"])]
+    for r in rows:
+        store.save(r)
+    store.save(rows[1])
+    assert [r[1:3] for r in content(store.read())] == [("", "n"), ("a", "a"), ("b", "b"), ("c", "c"), ("d", "d"), ("a", "a2")]
+    assert [r[2] for r in content(store.read("a"))] == ["a", "a2"]
+    assert len(list((tmp_path / "b").glob("run_date=*/run_session=*"))) <= 6
+    store.patch(spark.createDataFrame([(200, "A2")], "id long, transformation_rule string"))
+    assert [r[2] for r in content(store.read())][-1] == "A2"
+
+
 def files(path):
     return {p.name: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
 
