@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapestry.llm.common import longs_in, release, scratch_path
+from tapestry.llm.common import longs_in, release, scratch_path, stage
 
 MAGIC = b"TAPTOK01"
 HEAD = 40
@@ -133,7 +133,8 @@ def segments(raw: bytes) -> Iterator[Segment]:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct word of a batch.
+    """The tokenizers library, asked once for each distinct word of a task (a
+    table of at most ``MOST`` words is kept, and begun anew when full).
 
     Byte-level BPE first parts a text into letters, digits, other signs and
     white space, a single space going with what follows it.  So where every
@@ -145,6 +146,7 @@ class Encoder:
     goes through the library as it is.
     """
 
+    MOST = 1 << 20
     SIGNS = ".,;:!?%&$*#-()|/"
     TAIL = "^.*?([.,;:!?%&$*#\\-()|/]*)$"
     #: White space that is not a lone space or newline.
@@ -169,6 +171,30 @@ class Encoder:
         self.bare.encode_special_tokens = True  # asked for words of letters alone
         self.bare.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[10]), "isolated")
         self.newline = self._ids(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table: words' numbers, their two pieces, and the pieces
+        (their sizes, and their ids one after the other; piece 0 is empty)."""
+        self.words = pa.array([], pa.string())
+        self.two = np.empty((0, 2), np.int32)
+        self.sizes, self.flat = np.zeros(1, np.int32), np.empty(0, "<u4")
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The table's numbers of distinct words; new words are encoded."""
+        if len(self.words) >= self.MOST:
+            self._forget()
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            added = words.take(pa.array(new))
+            pieces, two = self._word_pieces(added)
+            self.two = np.concatenate([self.two, np.where(two > 0, two + len(self.sizes) - 1, 0).astype(np.int32)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, pieces[1:]), np.int32, len(pieces) - 1) // 4])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(pieces), "<u4")])
+            at[new] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, added])
+        return at
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -215,30 +241,29 @@ class Encoder:
         later[first] = False
         found = words.filter(pa.array(later)).dictionary_encode()
         starts = iter(self._ids(words.take(pa.array(first)).to_pylist()))
-        known, two = self._word_pieces(found.dictionary)
+        numbers = self._numbers(found.dictionary)
         whole = iter(self._ids(texts.filter(pa.array(odd)).to_pylist()))
         # a text's pieces: its first word (or all of it), then two for each later word
         heads = [next(whole) if o else next(starts) for o in odd.tolist()]
-        pieces = [*known, *heads]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        at = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(pieces), "<u4")
+        size = np.concatenate([self.sizes, np.fromiter(map(len, heads), np.int32, len(heads)) // 4])
+        at = np.cumsum(size, dtype=np.int64) - size
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(heads), "<u4")])
         n_words = np.ones(len(texts), np.int64)
         n_words[~odd] = lists
         ends = np.cumsum(n_words)
-        order = np.zeros((int(ends[-1]) if len(ends) else 0, 2), np.int64)
+        order = np.zeros((int(ends[-1]) if len(ends) else 0, 2), np.int32)
         head = np.zeros(len(order), bool)
         head[ends - n_words] = True
-        order[head, 0] = len(known) + np.arange(len(texts))
-        order[~head] = two[found.indices.to_numpy(zero_copy_only=False)]
+        order[head, 0] = len(self.sizes) + np.arange(len(texts))
+        order[~head] = self.two[numbers[found.indices.to_numpy(zero_copy_only=False)]]
         order = order.reshape(-1)
         width = size[order]
-        run = np.cumsum(width)
+        run = np.cumsum(width, dtype=np.int64)
         ids = flat[np.arange(int(run[-1]) if len(run) else 0) + np.repeat(at[order] - (run - width), width)]
-        return ids, np.add.reduceat(width, 2 * (ends - n_words)) if len(texts) else np.empty(0, np.int64)
+        return ids, np.add.reduceat(width, 2 * (ends - n_words)).astype(np.int64) if len(texts) else np.empty(0, np.int64)
 
 
-def text_slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """(start, rows) of slices of about ``most`` bytes of text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -263,14 +288,18 @@ def write_token_files(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    segment_ids: int = 2_000_000,
+    segment_ids: int = 500_000,
+    file_bytes: int = 128 << 20,
 ) -> None:
     """Encode ``text_col`` of every row and write bit-packed files under ``path``.
 
-    Rows are dealt to files by ranges of ``id_col`` (then of a text hash, so an
-    id that many rows share is split); file names ascend with the ids.
+    Rows are dealt to files of about ``file_bytes`` of text by ranges of
+    ``id_col`` (then of a text hash, so an id that many rows share is split);
+    file numbers ascend with the ids.
     """
     bits = id_bits(vocabulary)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    files = int(size // file_bytes) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path(tokenizer_file))
@@ -303,7 +332,7 @@ def write_token_files(
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
         .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("key", "tie")
+        .repartitionByRange(files, "key", "tie")
         .sortWithinPartitions("key", "tie")
         .select("key", "text")
     )
@@ -335,18 +364,15 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(decode, "file string, segment int, at long, doc_id long, n_tokens long, ids_crc32 long")
 
 
-def file_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, before): ids in all files that come earlier, from the segment
-    heads alone.  The running total is over one row per file."""
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [sum(s.n_ids for s in segments(c.as_buffer())) for c in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(n, pa.int64())], names=["file", "n"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.mapInArrow(heads, "file string, n long").select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+def file_starts(rows: DataFrame) -> DataFrame:
+    """(file, before): ids in all files that come earlier, of the rows that
+    ``read_token_files`` gave.  Files stand in the order of their numbers (names
+    do not sort so from a hundred thousand files on); the running total is over
+    one row a file."""
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("number", number)
+    order = Window.orderBy("number", "file").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
 
 
 def token_table(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
@@ -355,5 +381,6 @@ def token_table(docs: DataFrame, path: str | None = None, **options) -> DataFram
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     write_token_files(docs, path, **options)
-    rows = read_token_files(spark, path).join(file_starts(spark, path), "file")
+    rows = stage(read_token_files(spark, path), "token-rows")
+    rows = rows.join(file_starts(rows), "file")
     return rows.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "file", "segment")
