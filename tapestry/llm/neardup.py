@@ -15,9 +15,9 @@ if it has fewer words).  Documents are linked if 100 * intersection >=
    the first ``postings - m + 1`` of each, rarest first.  Only those lists are
    used, so the long lists (common passages) are mostly skipped.  Classes that
    such lists connect form a family; candidates lie within one family.
-4. In families of more than ``CELL`` classes, rounds of stars come first: each
-   list names one member its pivot and the other members are compared with it,
-   a number of comparisons that grows with the list, not with its square.
+4. Rounds of stars come first: each list names one member its pivot, and each
+   class is compared with one of its lists' pivots, so a round compares at most
+   one pair a class, whatever the sizes of families.
 5. Completion: within each family, the classes outside its largest component
    are compared with all classes of other components, in cells of CELL by CELL
    classes.  A cell counts the signatures' collisions, confirms candidates on
@@ -30,8 +30,8 @@ pair is a link; a class's set is sent to the cells of its family only.
 
 Edge cases: NULL or empty texts, or texts without words, have an empty set and
 are linked with nothing; rows with a NULL id take no part (component_id NULL,
-kept true); rows that share an id are one document with all their links; an
-empty table gives no rows; other columns are ignored.
+kept true); rows that share an id are one document: all their texts' classes
+are linked; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ from tapestry.llm.substring import BASES, rolling
 SHINGLE = 5
 COORDS = 48
 PERCENT = 85
-ROUNDS = 2
+ROUNDS = 3
 CELL = 256
 SLICE = 256
 COLUMNS = 8192
@@ -214,6 +214,36 @@ def postings_of(classes: DataFrame, least: int) -> DataFrame:
     return listed.where(F.size("posts") >= least).select("cid", "n_shingles", F.explode(prefix).alias("p")).select("cid", "n_shingles", F.col("p.pair").alias("pair"))
 
 
+def family_links(posts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the classes of each list and of lists that share
+    a class: each class with the smallest of its lists' least members, and that
+    member with the other lists' least ones, about one link a class."""
+    lists = posts.groupBy("pair").agg(F.min("cid").alias("low"))
+    seen = posts.join(lists, "pair").groupBy("cid").agg(F.min("low").alias("b"), F.collect_set("low").alias("lows"))
+    ends = F.explode(F.concat(F.array("cid"), "lows"))
+    return seen.select(ends.alias("a"), "b").where("a <> b").distinct()
+
+
+def star_pairs(now: DataFrame, percent: int, round_: int) -> DataFrame:
+    """(a, b), a < b: each class with the lowest-ranked pivot of its lists that
+    lies in another component and is of a size that allows a link."""
+    rank = F.xxhash64("cid", F.lit(round_))
+    pivot = F.min(F.struct(rank.alias("rank"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("n_b"))).alias("p")
+    pivots = now.groupBy("pair").agg(pivot, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pair", "p.*")
+    star = now.join(pivots, "pair").where(F.expr("comp <> comp_b") & alike("n_shingles", "n_b", percent))
+    one = star.groupBy("cid").agg(F.min(F.struct("rank", "b")).alias("p"))
+    return one.select(F.least("cid", "p.b").alias("a"), F.greatest("cid", "p.b").alias("b")).distinct()
+
+
+def id_links(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id but not a text."""
+    rows = sketched.where("class_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "class_key")
+    several = rows.groupBy("doc_id").agg(F.min("class_key").alias("x"), F.max("class_key").alias("y")).where("x <> y").select("doc_id", "x")
+    pairs = rows.join(several, "doc_id").where("class_key <> x").select("class_key", "x").distinct()
+    number = lambda key, name: classes.select(F.col("class_key").alias(key), F.col("cid").alias(name))
+    return pairs.join(number("class_key", "a"), "class_key").join(number("x", "b"), "x").select("a", "b")
+
+
 def alike(a: str, b: str, percent: int):
     """Set sizes that allow the similarity at all."""
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
@@ -273,23 +303,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     sets = stage(reps.join(full, ["doc_id", "class_key"]).select("cid", "signature", "shingles").dropDuplicates(["cid"]), "sets")
 
     comps = stage(members.select("cid", F.col("cid").alias("comp")), "comps")
-    lists = posts.groupBy("pair").agg(F.min("cid").alias("b"))
-    families = components(posts.join(lists, "pair").select(F.col("cid").alias("a"), "b").distinct())
+    families = components(family_links(posts))
     families = families.select(F.col("id").alias("cid"), F.col("label").alias("family"))
     sizes = stage(families.join(families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "family"), "families")
-    big = sizes.where(F.col("size") > CELL).select("cid")
-    large = stage(posts.join(big, "cid"), "large")
-    for r in range(rounds if big.limit(1).count() else 0):
-        now = stage(large.join(comps, "cid"), "now")  # read twice below
-        rank = F.xxhash64("cid", "pair", F.lit(r))
-        # a list's pivot: one member, another one in each list and round
-        pivot = F.min(F.struct(rank.alias("rank"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("n_b"))).alias("p")
-        pivots = now.groupBy("pair").agg(pivot, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("pair", "p.*")
-        star = now.join(pivots, "pair").where(F.expr("comp <> comp_b") & alike("n_shingles", "n_b", percent))
-        pairs = star.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
-        comps = merge(comps, stage(confirm(pairs, sets, percent), "links"))
+    listed = stage(posts.join(sizes.select("cid"), "cid"), "listed")
+    for r in range(rounds):
+        now = stage(listed.join(comps, "cid"), "now")  # read twice
+        comps = merge(comps, stage(confirm(star_pairs(now, percent, r), sets, percent), "links"))
     comps = merge(comps, stage(complete(sizes, comps, sets, percent), "links"))
 
+    same_id = stage(id_links(sketched, classes), "id-links")
+    if same_id.limit(1).count():
+        ends = same_id.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        comps = comps.unionByName(ends.join(comps, "cid", "left_anti").select("cid", F.col("cid").alias("comp")))
+        comps = merge(comps, same_id)
+
     named = classes.select("cid", "class_key", "first_doc").join(comps, "cid", "left")
     # the smallest document of a component, from the few classes that were compared
     first = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first_doc").alias("lowest"))

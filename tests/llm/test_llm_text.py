@@ -8,8 +8,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tapestry.llm import backoff, exchange
+from tapestry.llm import backoff, exchange, neardup
 from tapestry.llm.components import components
 from tapestry.llm.decontam import block_masks, contaminated
 from tapestry.llm.neardup import common_counts, least_matches, near_duplicates
@@ -181,6 +182,32 @@ def test_family_in_cells_and_stars(spark, monkeypatch):
     assert sorted(map(tuple, got)) == classes(rows, 85)
 
 
+def test_texts_of_one_id_are_linked(spark):
+    x, y, z = ("x1 x2 x3 x4 x5 x6", "y1 y2 y3 y4 y5 y6", "z1 z2 z3 z4 z5 z6")
+    rows = [(5, x), (5, y), (3, x), (9, y), (9, y), (7, z), (7, None), (7, ""), (None, x)]
+    got = sorted(((r.doc_id or -1), r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, None, True), (3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (7, 7, True), (7, 7, True), (9, 3, False), (9, 3, False)]
+
+
+def test_links_grow_with_the_classes(spark):
+    """About one family link and at most one star pair a class, in one family of
+    400 classes as in 100 families of four."""
+    rng = random.Random(9)
+    near = lambda base, k: " ".join(w if rng.random() > 0.02 else f"n{k}" for w in base)
+    big = [f"b{k}" for k in range(80)]
+    small = [[f"s{j} {k}" for k in range(80)] for j in range(100)]
+    tables = [[(k, near(big, k)) for k in range(400)], [(k, near(small[k % 100], k)) for k in range(400)]]
+    for rows in tables:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        sketched = neardup.sketch(docs, "doc_id", "text", "signature").groupBy("class_key").agg(
+            F.min("doc_id").alias("cid"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
+        classes_ = sketched.count()
+        posts = neardup.postings_of(sketched.cache(), least_matches(85)).cache()
+        assert neardup.family_links(posts).count() < 1.5 * classes_
+        pairs = neardup.star_pairs(posts.withColumn("comp", F.col("cid")), 85, 0)
+        assert 0 < pairs.count() <= classes_
+
+
 def test_odd_rows_near_duplicates(odd_docs, no_docs):
     got = collections.Counter(tuple(r) for r in near_duplicates(odd_docs).collect())
     by_id = {r[0]: r for r in got if r[0] not in (None, 5)}
