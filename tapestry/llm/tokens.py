@@ -146,7 +146,7 @@ class Encoder:
     goes through the library as it is.
     """
 
-    MOST = 1 << 20
+    MOST = 1 << 19
     SIGNS = ".,;:!?%&$*#-()|/"
     TAIL = "^.*?([.,;:!?%&$*#\\-()|/]*)$"
     #: White space that is not a lone space or newline.
@@ -263,7 +263,7 @@ class Encoder:
         return ids, np.add.reduceat(width, 2 * (ends - n_words)).astype(np.int64) if len(texts) else np.empty(0, np.int64)
 
 
-def text_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(texts: pa.Array, most: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """(start, rows) of slices of about ``most`` bytes of text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -289,7 +289,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     segment_ids: int = 500_000,
-    file_bytes: int = 128 << 20,
+    file_bytes: int = 64 << 20,
 ) -> None:
     """Encode ``text_col`` of every row and write bit-packed files under ``path``.
 
