@@ -27,15 +27,16 @@ duplicated by it (the source aggregated its hub after the fan-out).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from tapestry.functions.arrays import cross_apply, keyed_map, merge_arrays, merge_maps, pick, shape
-from tapestry.functions.codes import (ADDRESS_USE, EPSDT_CODES, FLUORIDE_VARNISH_CODES, HEALTHCHECK_CODES, classify,
-                                      role_of, translate, yes_no)
+from tapestry.functions.codes import classify, role_of, translate, yes_no
 from tapestry.functions.keys import first_non_empty, full_name, iso_ts, split_code, surrogate_key
 from tapestry.operators.lookup import Lookup, attach, lookup_chain
 from tapestry.operators.nest import Nest, NestConcat, NestUnion, nest_many
@@ -44,12 +45,9 @@ from tapestry.operators.quality import apply_rules, flatten_results
 from tapestry.sources.catalog import isin_trimmed
 
 # --- fixed values -----------------------------------------------------------
-SOURCE_NAME = "HERO"
 ID_USE = "usual"
 PRIMARY_SCH_TYPE = "HFC2"
 ACTIVE_CONTRACT = "active"
-# staff statuses that are loaded
-STAFF_STATUSES = ("!", ".", "1", "7", "A", "AINN", "C", "D", "PCNN", "Q", "SPI", "V", "W")
 SHAPES = {
     "contact": ["reference_id", "id", "entity_type", "telecom_value", "telecom_type", "telecom_use", "telecom_rank",
                 "telecom_eff_date", "telecom_exp_date", "contact_name", "contact_address", "contact_telecom_value",
@@ -180,6 +178,26 @@ Service_Provider
 KEY = "dr_id"
 
 
+@dataclass(frozen=True)
+class SourceValues:
+    """What one source system calls things: its name, the staff statuses that are
+    loaded, address uses by address type (first list wins) and the texts of its
+    status codes."""
+
+    system: str
+    staff_statuses: Sequence[str]
+    address_use: Mapping[str, Sequence[str]]
+    epsdt: Mapping[str, str]
+    healthcheck: Mapping[str, str]
+    fluoride_varnish: Mapping[str, str]
+
+    @classmethod
+    def load(cls, path: str) -> SourceValues:
+        """From a JSON file with these names."""
+        with open(path, encoding="utf-8") as f:
+            return cls(**json.load(f))
+
+
 def of(shape_name: str, **values) -> Column:
     """A struct of the named shape: given fields from ``values`` (Columns or
     constants), every other field a NULL string — never a void field."""
@@ -190,7 +208,7 @@ def of(shape_name: str, **values) -> Column:
     return shape(fields)
 
 
-def _address_satellite(t: dict[str, DataFrame]) -> DataFrame:
+def _address_satellite(t: dict[str, DataFrame], values: SourceValues) -> DataFrame:
     a = bronze(t["address1"], "address1")
     base, ext = split_code("address1__zip")          # the extension must come from the full code
     a = a.withColumn("address1__zip_extension", ext).withColumn("address1__zip", base)
@@ -213,7 +231,7 @@ def _address_satellite(t: dict[str, DataFrame]) -> DataFrame:
         for label, p in SCHEDULE_DAYS.items()])
     nests = {
         "other_addresses": Nest(of(
-            "address", reference_id=r, address_type="physical", address_use=classify("addr_arr__txt", ADDRESS_USE),
+            "address", reference_id=r, address_type="physical", address_use=classify("addr_arr__txt", values.address_use),
             address_line_1=c("addr"), address_line_2=c("addr2"), city=c("city"), county=c("county"),
             state_province=c("state"), postal_code=c("zip"), zip_code_extension=c("zip_extension"), country=c("nation"),
             longitude=c("longitude"), latitude=c("latitude"), eff_date=c("effdate"), exp_date=c("termdate"),
@@ -236,7 +254,7 @@ def _address_satellite(t: dict[str, DataFrame]) -> DataFrame:
     return nest_many(joined, KEY, nests)
 
 
-def _status_satellite(t: dict[str, DataFrame], statuses: Sequence[str]) -> DataFrame:
+def _status_satellite(t: dict[str, DataFrame], values: SourceValues, statuses: Sequence[str]) -> DataFrame:
     s = lookup_chain(bronze(t["stfstatu"], "stfstatu").where(isin_trimmed("stfstatu__active123", statuses)), [
         Lookup(bronze(t["sta_tab"], "sta_tab"), "stfstatu__staff_cd", "sta_tab__cd", "left", select=["sta_tab__txt"]),
         Lookup(bronze(t["rec_arr"], "rec_arr"), "stfstatu__active123", "rec_arr__cd", "left", select=["rec_arr__txt"]),
@@ -255,9 +273,9 @@ def _status_satellite(t: dict[str, DataFrame], statuses: Sequence[str]) -> DataF
                                           code_description=F.col("rec_arr__txt")), "desc"),
         "status_staff_variable": Nest(of("variable", code_type="Staff", code_value=c("staff_cd"),
                                          code_description=F.col("sta_tab__txt")), "desc"),
-        "status_udf1_variable": variable("udf1", "EPSDT", "udf1", EPSDT_CODES),
-        "status_udf21_variable": variable("udf21", "DC Healthcheck", "udf21", HEALTHCHECK_CODES),
-        "status_udf22_variable": variable("udf22", "Flouride Varnish", "udf22", FLUORIDE_VARNISH_CODES),
+        "status_udf1_variable": variable("udf1", "EPSDT", "udf1", values.epsdt),
+        "status_udf21_variable": variable("udf21", "DC Healthcheck", "udf21", values.healthcheck),
+        "status_udf22_variable": variable("udf22", "Flouride Varnish", "udf22", values.fluoride_varnish),
         "status_rec_date_extension": Nest(of("extension", source_column_name="Rec_Date",
                                              source_column_value=c("rec_date").cast("string")), "desc"),
         "status_rea_date_extension": Nest(of("extension", source_column_name="Rea_Date",
@@ -449,11 +467,12 @@ def _nullable(dt: DataType) -> DataType:
     return dt
 
 
-def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_npdb: bool = False,
-                     statuses: Sequence[str] = STAFF_STATUSES) -> DataFrame:
+def provider_profile(t: dict[str, DataFrame], values: SourceValues, now: Column | None = None, apply_npdb: bool = False,
+                     statuses: Sequence[str] | None = None) -> DataFrame:
     """115-column provider rows (target order), with data-quality results.
 
-    Only staff-status rows whose trimmed ``active123`` is in ``statuses`` are read.
+    Only staff-status rows whose trimmed ``active123`` is in ``statuses`` (by
+    default the source's own list, ``values.staff_statuses``) are read.
 
     ``apply_npdb`` reproduces the source's last qualification step: every
     qualification repeated for each NPDB entry of the provider, its number and
@@ -465,8 +484,8 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
         for col, table in AGE_EXTENSIONS.values()] + [
         Lookup(bronze(t[table], table), f"drname__{col}", f"{table}__cd", "left", select=[f"{table}__txt"])
         for col, table in HUB_CODE_TABLES.items()])
-    spine = attach(hub, _address_satellite(t), KEY, "inner")
-    spine = attach(spine, _status_satellite(t, statuses), KEY, "inner")
+    spine = attach(hub, _address_satellite(t, values), KEY, "inner")
+    spine = attach(spine, _status_satellite(t, values, values.staff_statuses if statuses is None else statuses), KEY, "inner")
     spine = attach(spine, _plan_satellite(t), KEY, "inner")
     spine = attach(spine, _language_satellite(t), KEY, "left")
     spine = attach(spine, _credential_satellite(t), KEY, "left")
@@ -534,7 +553,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
     filled = {
         "service_provider_id": h("nationalid"),
         "source_service_provider_id": h("dr_no_ext"),
-        "service_provider_id_system": F.lit(SOURCE_NAME),
+        "service_provider_id_system": F.lit(values.system),
         "service_provider_id_use": F.lit(ID_USE),
         "name_first_name": h("dr_fname"), "name_middle_name": h("dr_iname"), "name_last_name": h("dr_lname"),
         "name_prefix_name": h("drsal"), "name_suffix_name": h("drsuffix"),
@@ -574,7 +593,7 @@ def provider_profile(t: dict[str, DataFrame], now: Column | None = None, apply_n
                                         hub_var["race"], hub_var["fmg"], "drplan1_u3ins_variable", "location_variable",
                                         "educ_tab_variable", "expertise_variable", hub_var["pract"], "apos_variable",
                                         "hospital_variable", "affi_arr_variable"),
-        "source_name": F.lit(SOURCE_NAME),
+        "source_name": F.lit(values.system),
         "source_id": F.col(KEY),
         "identifiers": merge_maps(*hub_ids[:5], "status_medicare_identifiers", "status_medicaid_identifiers", *hub_ids[5:],
                                   "train_identifiers"),

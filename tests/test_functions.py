@@ -1,14 +1,19 @@
 """Column helpers: edge values from FIXTURES.md §6."""
 
+import os
+
 import pytest
 
 from tapestry.functions.arrays import cross_apply, distinct_groups, keyed_map, merge_arrays, merge_maps, non_empty, pick
-from tapestry.functions.codes import ADDRESS_USE, EPSDT_CODES, classify, role_of, translate, yes_no
+from tapestry.functions.codes import classify, role_of, translate, yes_no
 from tapestry.functions.keys import first_non_empty, full_name, split_code, surrogate_key
 from tapestry.functions.names import clean_column, clean_field, clean_rule, clean_table, is_column_name, output_name
+from tapestry.plans.provider import SourceValues
 
 IDENT = "array<struct<identifier_type:string,identifier:string,eff_date:string,exp_date:string>>"
 
+VALUES = SourceValues.load(os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures", "source_values.json"))
+
 
 def test_keyed_map_zero_one_two(spark):
     df = spark.createDataFrame(
@@ -55,10 +60,10 @@ def test_split_code_and_full_name(spark):
 
 def test_translate_classify_fixed_lists(spark):
     df = spark.createDataFrame([("Home",), ("Billing",), ("UNSPECIFIED",), ("Previous",), ("zzz",)], "t string")
-    got = [r.u for r in df.select(classify("t", ADDRESS_USE).alias("u")).collect()]
+    got = [r.u for r in df.select(classify("t", VALUES.address_use).alias("u")).collect()]
     assert got == ["home", "billing", "temp", "old", None]
     df2 = spark.createDataFrame([("1",), ("NOC",), ("7",), (None,)], "c string")
-    got2 = [r.t for r in df2.select(translate("c", EPSDT_CODES, "").alias("t")).collect()]
+    got2 = [r.t for r in df2.select(translate("c", VALUES.epsdt, "").alias("t")).collect()]
     assert got2 == ["MD Medicaid EPSDT Certified", "Not Certified", "", ""]
 
 

@@ -1,10 +1,14 @@
 """The provider profile on small bronze fixture tables (columns as listed in
 FIXTURES.md §1)."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from tapestry.plans.provider import TARGET_COLUMNS, provider_profile
+from tapestry.plans.provider import TARGET_COLUMNS, SourceValues, provider_profile
+
+VALUES = SourceValues.load(os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures", "source_values.json"))
 
 DAYS = ["sun", "mon", "tues", "wednes", "thurs", "fri", "satur"]
 
@@ -107,7 +111,7 @@ def tables(spark):
 
 @pytest.fixture(scope="module")
 def profile_rows(tables):
-    out = provider_profile(tables, now=F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    out = provider_profile(tables, VALUES, now=F.lit("2026-01-01 00:00:00").cast("timestamp"))
     assert out.columns == TARGET_COLUMNS and len(TARGET_COLUMNS) == 115
     return out.collect()
 
@@ -147,7 +151,7 @@ def test_provider_qualifications(spark, tables, profile_rows):
     # two distinct board entries (one certified, one all-NULL but for the description) x two codes
     boards = [q for q in r.qualifications if q.description == "Board Certified"]
     assert len(boards) == 4 and {(q.issue_date, q.renew_date, q.status) for q in boards} == {("2005", "2015", "1"), (None, None, None)}
-    r2 = provider_profile(tables, apply_npdb=True).first()
+    r2 = provider_profile(tables, VALUES, apply_npdb=True).first()
     assert {(q.qualification_number, q.qualification_type) for q in r2.qualifications} == {("N-9", "report")}
     assert len(r2.qualifications) == 22 and {q.taxonomy for q in r2.qualifications} == {"207Q", "208D"}
 
@@ -240,7 +244,7 @@ def test_provider_education_extensions(profile_rows):
 def test_provider_credential_extensions(spark, tables):
     credent = tables["credent"].withColumns({"link": F.concat(F.lit("k-"), "cd"), "notes": F.when(F.col("cd") == "MD", "seen")})
     statelic = tables["statelic"].withColumns({"state": F.col("cd"), "email": F.lower("cd"), "ver_elec": F.when(F.col("cd") == "VA", F.lit(1))})
-    r = provider_profile(tables | {"credent": credent, "statelic": statelic}).first()
+    r = provider_profile(tables | {"credent": credent, "statelic": statelic}, VALUES).first()
     values = [(x.source_column_name, x.source_column_value) for x in r.extension_source_values]
     at = values.index(("Credent_Code", "VA"))
     assert values[at:at + 12] == [
@@ -256,6 +260,6 @@ def test_provider_staff_statuses(spark, tables):
     more = table(spark, tables["stfstatu"].columns, [("1", "S9", " X ", "1", *[None] * 8), ("1", "S8", " Q ", "1", *[None] * 8)])
     got = tables | {"stfstatu": tables["stfstatu"].union(more)}
     codes = lambda r: sorted(v.code_value for v in r.variable_fields if v.code_type == "Active123")
-    assert codes(provider_profile(got).first()) == ["A", "A", "Q"]
-    assert codes(provider_profile(got, statuses=["X"]).first()) == ["X"]
-    assert provider_profile(got, statuses=["B"]).count() == 0
+    assert codes(provider_profile(got, VALUES).first()) == ["A", "A", "Q"]
+    assert codes(provider_profile(got, VALUES, statuses=["X"]).first()) == ["X"]
+    assert provider_profile(got, VALUES, statuses=["B"]).count() == 0
