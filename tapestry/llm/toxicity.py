@@ -155,15 +155,18 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, can_train: Column, max_positive: int, max_unlabelled: int) -> tuple[DataFrame, float]:
-    """(text, positive) of the training sample, and the class prior."""
+    """(text, positive) of the training sample, and the class prior.  An id that
+    many rows share gives one row (that of the smallest text hash)."""
     known = labels.where(F.col("doc_id").isNotNull()).select("doc_id", "toxic").where(can_train)
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     order = F.xxhash64("doc_id")
     toxic = known.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive)
     ids = docs.where(F.col("doc_id").isNotNull()).where(can_train).select("doc_id")
-    others = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled)
+    others = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled)
     picked = toxic.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
-    return docs.select("doc_id", "text").join(picked, "doc_id").select("text", "positive"), prior
+    rows = docs.select("doc_id", "text").join(picked, "doc_id")
+    one = rows.groupBy("doc_id", "positive").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.select("text", "positive"), prior
 
 
 def fit(sample: DataFrame, prior: float) -> tuple[np.ndarray, float] | None:

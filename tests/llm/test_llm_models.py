@@ -207,3 +207,12 @@ def test_text_without_markers_is_one_turn(spark, tables):
     bare = F.regexp_extract("rendered", r"(?s)^<\|\w+\|>\n(.*)\n<\|end\|>$", 1)
     want = given.select("conv_id", "turn", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
     assert want.exceptAll(got.select("conv_id", "turn", bare)).count() == 0 and got.count() == given.count()
+
+
+def test_sample_takes_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c")] * 50 + [(3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
+    rows, prior = toxicity.sample_rows(docs, labels, F.lit(True), 10, 10)
+    got = sorted((r.positive, r.text or "") for r in rows.collect())
+    assert [p for p, _ in got] == [False] * 3 + [True] and prior == pytest.approx(2 / 3)
+    assert {t for p, t in got if not p} - {"", "c"} == {t for p, t in got if p}
