@@ -302,6 +302,10 @@ def write_token_files(
     files = int(size // file_bytes) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded(batches)
+        release()  # once nothing of the task is held any more
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path(tokenizer_file))
         keys: list[np.ndarray] = []
         parts: list[np.ndarray] = []
@@ -326,8 +330,6 @@ def write_token_files(
                     held = 0
         if keys:
             yield flush()
-        del encoder
-        release()
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
@@ -342,7 +344,12 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files: doc_id, n_tokens, ids_crc32 and where
     it lies (file, segment, and ``at``, its first id's place in the file)."""
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from decoded(batches)
+        release()
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 before = 0
