@@ -8,9 +8,9 @@ a corpus of any size is processed map-side, one file per task slot, with no
 shuffle and nothing collected.  Relational resolution (variable -> table,
 rules per column, lineage closure) is done with joins and aggregates.
 
-Regular expressions cannot balance parentheses; calls are matched with
-calls are cut by ``calls.calls_of`` at any nesting, which covers
-ordinary column expressions.
+Regular expressions cannot balance parentheses: calls are cut by
+``calls.calls_of`` at any nesting.  ``statements`` cuts scripts into statements
+and tells the versions of a variable apart.
 """
 
 from __future__ import annotations

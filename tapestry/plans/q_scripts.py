@@ -1,8 +1,7 @@
 """Registered queries for the text operators (M1, M2, M12) over whole texts of
 the ``documents`` and ``pages`` tables and the ``supplier`` and ``part``
-hierarchies, and for the script extractors (M7-M9, M11, M13, M14, D14) over
-scripts derived from every ``part`` row.  The others (M3-M6, M10, M15) are
-checked against fixture scripts in tests/."""
+hierarchies, and for the script extractors (M3, M4, M6-M9, M11, M13, M14, D14)
+over scripts derived from every ``part`` row."""
 
 from __future__ import annotations
 
