@@ -10,7 +10,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_stages_and_registry(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "token_files"]
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"} and len(names) == 11
+    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 14)), "pipeline"} and len(names) == 14
     assert set(registry.oracle_sql()) <= names
 
 
