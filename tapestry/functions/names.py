@@ -32,7 +32,7 @@ OUTPUT_NAME_MISSING = "unknown"
 # ---------------------------------------------------------------------------
 
 # identifier syntax (letters/underscore first, then letters, digits, underscore)
-IDENTIFIER_RE = r"^[\p{L}_][\p{L}\p{N}_]*$"
+IDENTIFIER_RE = r"^[\p{L}_][\p{L}\p{N}_]*\z"
 
 
 # Python's str.strip() whitespace: ASCII controls \t \n \v \f \r, the
