@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapestry.functions.names import PY_WHITESPACE_CHARS, is_column_name, py_strip
-from tapestry.operators.calls import calls_of
+from tapestry.operators.calls import calls_among, calls_of
 from tapestry.operators.tokens import rename_heads
 from tapestry.session import written
 
@@ -172,15 +172,14 @@ def extract_with_column(df: DataFrame, text_col: str = "text", keys: Sequence[st
     target_column, transformation), at any nesting.  ``receiver`` is the
     variable at the head of the call's chain ('' if there is none)."""
     keys = list(keys)
-    one = calls_of(df, "withColumn", text_col, keys).where("n_args > 1")
-    one = one.select(*keys, "call", F.lit(0).alias("entry"), "receiver",
-                     F.regexp_extract("arg0", r"^\s*" + _Q + "(" + _NQ + "*)" + _Q + r"\s*$", 1).alias("target_column"), F.col("rest").alias("e"))
-    many = calls_of(df, "withColumns", text_col, keys)
-    many = many.select(*keys, "call", "receiver", F.posexplode("args").alias("entry", "item"))
+    calls = calls_among(df, ["withColumn", "withColumns"], text_col, keys).where("name = 'withColumns' OR n_args > 1")
     item = r"(?s)^\s*\{?\s*" + _Q + "(" + _NQ + "+)" + _Q + r"\s*:\s*(.*?)\s*\}?\s*$"
-    many = many.select(*keys, "call", "entry", "receiver", F.regexp_extract("item", item, 1).alias("target_column"),
-                       F.regexp_extract("item", item, 2).alias("e"))
-    out = one.unionByName(many).where("target_column <> ''")
+    entry = lambda target, e: F.struct(target.alias("target_column"), e.alias("e"))
+    one = entry(F.regexp_extract("arg0", r"^\s*" + _Q + "(" + _NQ + "*)" + _Q + r"\s*$", 1), F.col("rest"))
+    many = F.transform("args", lambda x: entry(F.regexp_extract(x, item, 1), F.regexp_extract(x, item, 2)))
+    entries = F.when(F.col("name") == "withColumn", F.array(one)).otherwise(many)
+    out = calls.select(*keys, "call", "receiver", F.posexplode(entries).alias("entry", "m")).select(*keys, "call", "entry", "receiver", "m.*")
+    out = out.where("target_column <> ''")
     order = Window.partitionBy(*keys).orderBy("call", "entry")
     return out.select(*keys, (F.row_number().over(order) - 1).alias("match_no"), "receiver", "target_column",
                       F.regexp_replace(py_strip(F.col("e")), r"\s*\n\s*", "").alias("transformation"))
