@@ -1,16 +1,16 @@
 """Statements of script text, the versions of their variables, and what
 expressions refer to (M4, M8, M10-M12, M15, D14).
 
-A script is cut into statements by bracket depth, not by line starts: a running
-sum over its lines says whether a line opens a statement or continues one, so
-statements over several lines, in indented blocks and behind ``if x:`` count
-alike.  Every assignment is a version of its variable, and a name means its
+A script is cut into statements by bracket depth, not by line starts: a fold over
+its lines, where its row lies, says whether a line opens a statement or
+continues one, so statements over several lines, in indented blocks and behind
+``if x:`` count alike.  Every assignment is a version of its variable, and a name means its
 latest version above the place where it stands: definitions and uses of a name
 are sorted together by place, and a running ``last`` carries the definition to
 the uses (linear in both, however often a name is bound again).
 
-Everything is window, array and join work keyed by the script, so scripts are
-spread over tasks; one script's lines are sorted together.  NULL texts have no
+Everything else is window, array and join work keyed by the script, so scripts
+are spread over tasks.  NULL texts have no
 statements.  In a loop, a use does not see a definition below it.  Text after
 an unclosed bracket belongs to the statement that opened it.
 """
@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapestry.functions.names import is_column_name, py_strip
-from tapestry.operators.calls import LITERAL, call_arguments, calls_among, masked
+from tapestry.functions.text import _let
+from tapestry.operators.calls import LITERAL, by_key, call_arguments, calls_among, masked
 from tapestry.operators.scripts import RAW_DICT_NAMES
 from tapestry.operators.tokens import NAME, TOKEN, WORD
 from tapestry.session import written
@@ -45,10 +46,36 @@ def _shown(text: Column) -> Column:
     return F.array_join(F.transform(chunks, show), "")
 
 
+def _starts(code: Column) -> Column:
+    """Where the statements of masked text start, and its end."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("held"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc: Column, line: Column) -> Column:
+        opens = (acc["depth"] <= 0) & ~acc["held"] & F.rlike(line, F.lit(r"[^\s;]"))
+        net = F.length(F.translate(line, ")]}", "")) - F.length(F.translate(line, "([{", ""))
+        held = F.rtrim(line, F.lit("\r\n \t")).endswith("\\")
+        starts = F.when(opens, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
+        return F.struct((acc["at"] + F.length(line)).alias("at"), (acc["depth"] + net).alias("depth"), held.alias("held"), starts.alias("starts"))
+
+    return F.aggregate(F.split(code, r"(?<=[\n;])", -1), start, step, lambda acc: F.concat(acc["starts"], F.array(acc["at"])))
+
+
 def statements(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
     """``(keys..., stmt, start, code, text)``: each statement's number, place in
     the text, masked text and text (comments blank), both of one length."""
-    keys, cut = list(keys), r"(?<=[\n;])"
+    keys = list(keys)
+    single, several = by_key(df, keys)
+    rows = single.select(*keys, masked(F.col(text_col)).alias("_code"), _shown(F.col(text_col)).alias("_text"))
+    spans = _let(_starts(F.col("_code")), lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda x, i: F.struct(x.alias("start"), (F.get(at, i + 1) - x).alias("size"))))
+    rows = rows.select(*keys, "_code", "_text", F.posexplode_outer(spans).alias("stmt", "_s")).where("_s IS NOT NULL").select(*keys, "_code", "_text", "stmt", "_s.*")
+    part = lambda c: F.col(c).substr(F.col("start") + 1, F.col("size"))
+    rows = rows.select(*keys, "stmt", "start", part("_code").alias("code"), F.translate(part("_text"), BREAK + SEMICOLON, "\n;").alias("text"))
+    return rows if several is None else rows.unionByName(_statements_of_several(several, text_col, keys))
+
+
+def _statements_of_several(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """``statements`` of rows that share keys, by windows over their lines."""
+    cut = r"(?<=[\n;])"
     lines = F.arrays_zip(F.split(masked(F.col(text_col)), cut, -1).alias("code"), F.split(_shown(F.col(text_col)), cut, -1).alias("line"))
     rows = df.select(*keys, F.posexplode(lines).alias("i", "z")).select(*keys, "i", "z.code", "z.line")
     above = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)

@@ -88,3 +88,12 @@ def test_names_are_replaced_once(spark):
     got = S.resolve_joins(df, names).first()
     assert (got.primary_table, got.secondary_table, got.condition) == ("b", "c", 'b.k == c.k and "a.b" and f(a).a.b and $1\\.a')
     assert S.resolve_joins(df, names.where("false")).first().condition == df.first().condition
+
+
+def test_statements_are_cut_within_their_rows(spark):
+    df = spark.createDataFrame([("p", "\n# c\nx = (1,\n 2); y = 3 \\\n + 4\n"), ("q", "")], "path string, text string")
+    got = V.statements(df)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.path, r.stmt, r.start, r.text) for r in got.collect()) == [("p", 0, 5, "x = (1,\n 2);"), ("p", 1, 17, " y = 3 \\\n + 4\n")]
+    again = V.statements(df.unionByName(df).where("path = 'p'")).collect()
+    assert len(again) > 2  # rows of one key keep the window form
