@@ -129,18 +129,22 @@ def extract_patterns(
     catalog: Mapping[str, tuple[str, Sequence[int], str]] = CODE_PATTERNS,
     text_col: str = "text",
     keys: Sequence[str] = ("path",),
+    where: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """M2: every match of every named pattern -> one row ``(keys..., pattern,
     match_no, g1, g2)`` (g2 NULL for one-group patterns).  One
     ``regexp_extract_all`` per (pattern, group), zipped per pattern,
-    concatenated and exploded once — no cross join."""
-    text = F.col(text_col)
+    concatenated and exploded once — no cross join.  ``where``: patterns looked
+    for in the rows of a condition only."""
+    text, where = F.col(text_col), where or {}
+    none = F.array().cast("array<struct<pattern:string,match_no:int,g1:string,g2:string>>")
     per_pattern = []
     for name, (pattern, groups, flags) in catalog.items():
         rx = _with_flags(pattern, flags)
         arrs = [F.regexp_extract_all(text, F.lit(rx), g).alias(f"g{j + 1}") for j, g in enumerate(groups)]
         # zip first so each group's matches are extracted once, not once per element
-        per_pattern.append(F.transform(F.arrays_zip(*arrs), _match_row(name, len(arrs) > 1)))
+        matches = F.transform(F.arrays_zip(*arrs), _match_row(name, len(arrs) > 1))
+        per_pattern.append(F.when(where[name], matches).otherwise(none) if name in where else matches)
     return df.select(*keys, F.explode(F.concat(*per_pattern)).alias("m")).select(*keys, "m.*")
 
 
@@ -148,11 +152,9 @@ def code_patterns(cells: DataFrame, keys: Sequence[str] = ("path", "cell_no")) -
     """M2-M5 as the extraction path uses them: pyspark patterns on pyspark
     cells, SQL patterns on sql cells; raw rows ``(keys..., type,
     target_column, transformation, condition, result, source_line)``."""
-    py = {k: CODE_PATTERNS[k] for k in PYSPARK_PATTERNS}
-    sq = {k: CODE_PATTERNS[k] for k in SQL_PATTERNS}
-    a = extract_patterns(cells.filter(F.col("cell_type") == "pyspark"), py, keys=keys)
-    b = extract_patterns(cells.filter(F.col("cell_type") == "sql"), sq, keys=keys)
-    m = a.unionByName(b)
+    of = dict.fromkeys(PYSPARK_PATTERNS, "pyspark") | dict.fromkeys(SQL_PATTERNS, "sql")
+    where = {k: F.col("cell_type") == t for k, t in of.items()}
+    m = extract_patterns(cells.where(F.col("cell_type").isin("pyspark", "sql")), {k: CODE_PATTERNS[k] for k in of}, keys=keys, where=where)
     p = F.col("pattern")
     g1, g2 = py_strip(F.col("g1")), py_strip(F.col("g2"))
     typ = (F.when(p == "column_mapping", "column_transformation").when(p == "select_mapping", "select_transformation")

@@ -130,3 +130,24 @@ def test_closure_stops_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "target string, source string")
     got = rows(lineage_closure(spark, e), "node", "ancestor", "depth")
     assert ("a", "c", 2) in got and len(got) == 6  # each node reaches the other two, never itself
+
+
+def test_calls_leave_their_rows_only(spark):
+    """No piece of a text is shuffled or sorted: one row a call behind the script's row."""
+    from tapestry.operators.calls import call_arguments, calls_of
+
+    df = spark.createDataFrame([("p", 'x = a.f(g(1, [2, 3]), "(").f(4)\n'), ("q", "f(1, (2"), (None, "f(1)"), ("r", None)], "path string, text string")
+    plan = calls_of(df, "f")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    got = sorted((r.path, r.match_no, r.receiver, r.args) for r in calls_of(df, "f").collect())
+    assert got == [("p", 0, "a", ["g(1, [2, 3])", ' "("']), ("p", 1, "a", ["4"]), ("q", 0, "", ["1"])]
+    spans = sorted((r.call, r.name, r.arg_no, r.a, r.b) for r in call_arguments(df.where("path = 'p'"), unnamed=True).collect())
+    assert spans == [(7, "f", 0, 8, 20), (7, "f", 1, 21, 25), (9, "g", 0, 10, 11), (9, "g", 1, 12, 19), (13, "", 0, 14, 15), (13, "", 1, 16, 18), (28, "f", 0, 29, 30)]
+
+
+def test_code_patterns_read_the_cells_once(spark):
+    df = spark.createDataFrame([("p", 0, "pyspark", 'd.select(a)\nSELECT x FROM t'), ("p", 1, "sql", "SELECT y FROM t .select(b)"), ("p", 2, "markdown", "SELECT z FROM t")],
+                               "path string, cell_no int, cell_type string, text string")
+    out = S.code_patterns(df)
+    assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out, "cell_no", "type", "transformation") == [(0, "select_transformation", "a"), (1, "sql_select", "y")]
