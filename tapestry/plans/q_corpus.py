@@ -16,7 +16,7 @@ from tapestry.operators.rule_table import apply_rule_table, rule_rows
 from tapestry.plans.corpus_job import run_corpus
 from tapestry.plans.q_mapping import classified
 from tapestry.plans.queries import T, register
-from tapestry.session import ensure_checkpoint_dir
+from tapestry.session import dealt, ensure_checkpoint_dir
 from tapestry.sources.catalog import read_scripts
 from tapestry.sources.corpus import Corpus
 from tapestry.sources.run_store import RunStore
@@ -61,7 +61,7 @@ _PAIR = "p_name || ' ' || p_type AS a, p_brand || ' ' || CASE WHEN p_size % 5 =
 SELECT p_partkey, round(ratio, 9) AS ratio FROM (SELECT p_partkey, {_PAIR} FROM part) JOIN ratios USING (a, b)
 """)
 def q_similarity_ratio(spark, d):
-    p = T(spark, d, "part")
+    p = dealt(T(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"))
     b = F.when(F.col("p_size") % 5 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", F.lower("p_type"), F.reverse("p_name"), F.col("p_size").cast("string")))
     return p.select("p_partkey", F.round(similarity_ratio(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_brand", b)), 9).alias("ratio"))
 

@@ -55,6 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to as many tasks as a shuffle has: a small file is
+    read by one task, however much work its rows make."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a set number is not merged to fewer
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to a new folder below the shared checkpoint folder and read
     it back: iterative jobs cut their lineage with it, and a lost executor costs

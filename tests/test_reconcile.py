@@ -148,3 +148,15 @@ def test_exact_similarity_matches_the_sequence_matcher(spark):
     classes = classify_matches(reconcile(*[spark.createDataFrame([("t", "c", r, "f", 0.5, False)], "source_table string, source_column string, "
                                "transformation_rule string, target_field string, confidence_score double, needs_review boolean") for r in ("abcd", "bcde")]), "ratio")
     assert classes.first().similarity == pytest.approx(0.7 * 0.75 + 0.3)
+
+
+def test_a_small_file_is_dealt_to_all_tasks(spark, tmp_path):
+    """The rows of one file's one task are compared by as many tasks as a shuffle has."""
+    from tapestry.plans.queries import queries
+
+    rows = [(k, f"name {k}", "TYPE A", f"Brand#{k % 3}", k % 7) for k in range(40)] + [(None, None, None, None, None), (3, "name 3", "TYPE A", "Brand#0", 3)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = queries()["similarity_ratio"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert got.count() == 42
