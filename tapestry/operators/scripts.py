@@ -266,7 +266,7 @@ def resolve_bindings(spark, bindings: DataFrame, table_lists: DataFrame, keys: S
                                                               F.col("table_name").alias("via_list"))
     base = bindings.join(first, keys + ["ref"], "left")
     table = F.when(F.col("kind") == "table", F.col("ref")).when(F.col("kind") == "list", F.col("via_list"))
-    base = base.select(*keys, "position", "var", "kind", "ref", table.alias("table_name"))
+    base = written(base.select(*keys, "position", "var", "kind", "ref", table.alias("table_name")), "bindings")  # read three times
     earlier = base.select(*keys, F.col("var").alias("ref"), F.col("position").alias("at"))
     up = base.where("kind = 'var'").join(earlier, keys + ["ref"]).where(F.col("at") < F.col("position"))
     up = up.groupBy(*keys, "position").agg(F.max("at").alias("up"))

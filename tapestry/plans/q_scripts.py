@@ -11,6 +11,7 @@ from tapestry.operators import scripts as S
 from tapestry.operators.lineage import lineage_closure, lineage_edges, lineage_roots
 from tapestry.operators.scripts import CODE_PATTERNS, extract_patterns, split_cells, split_lines
 from tapestry.plans.queries import T, register
+from tapestry.session import dealt
 
 # --- fixed values of this binding ---------------------------------------------
 HTML_PATTERNS = {
@@ -149,7 +150,7 @@ def q_lineage_dag_roots(spark, d):
 def part_scripts(spark, d):
     """A script for every part: a list of tables, bindings (one variable is
     bound twice), a join, a target and a rule block."""
-    p = T(spark, d, "part")
+    p = dealt(T(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size"))
     q = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
     text = F.concat(
         F.lit("# part script\nmember_tables = ["), q("p_brand"), F.lit(", "), q("p_type"), F.lit("]\n"),

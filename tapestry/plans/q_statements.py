@@ -11,12 +11,13 @@ from tapestry.operators import scripts as S
 from tapestry.operators import statements as V
 from tapestry.operators.lineage import lineage_closure, lineage_roots
 from tapestry.plans.queries import T, register
+from tapestry.session import dealt
 
 KEYS = ["p_partkey"]
 
 
 def _script(spark, d, *parts: Column | str):
-    p = T(spark, d, "part")
+    p = dealt(T(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size"))
     return p.select("p_partkey", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("text"))
 
 

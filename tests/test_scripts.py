@@ -91,6 +91,24 @@ def test_table_lists_and_bindings(spark, scripts):
     ]
 
 
+def test_bindings_are_extracted_once(spark, tmp_path):
+    """Resolving reads its bindings once, and the scripts of a small file are dealt to all tasks."""
+    from tapestry.plans.q_scripts import part_scripts
+
+    kinds = [("p", 0, "a", "table", "t"), ("p", 1, "b", "var", "a"), ("p", 2, "a", "list", "l"), ("p", 3, "c", "var", "a"), ("q", 0, "a", "var", "a"), (None, 0, "a", "table", "t")]
+    schema = "path string, position int, var string, kind string, ref string"
+    seen = spark.sparkContext.accumulator(0)
+    counted = spark.createDataFrame(spark.createDataFrame(kinds, schema).rdd.map(lambda r: (seen.add(1), r)[1]), schema)
+    lists = spark.createDataFrame([("p", "l", 0, "u"), ("p", "l", 1, "v")], "path string, list_name string, position int, table_name string")
+    got = {(r.path, r.var, r.table_name) for r in S.resolve_bindings(spark, counted, lists).collect()}
+    assert got == {("p", "a", "u"), ("p", "b", "t"), ("p", "c", "u"), (None, "a", "t")}
+    assert seen.value == len(kinds)
+    part = spark.createDataFrame([(k, "Brand#1", "TYPE", k % 3) for k in range(20)], "p_partkey long, p_brand string, p_type string, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    dealt = part_scripts(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_joins_resolved(spark, scripts):
     tl = S.extract_table_lists(scripts)
     r = S.resolve_bindings(spark, S.extract_bindings(scripts), tl)
