@@ -168,13 +168,15 @@ def code_patterns(cells: DataFrame, keys: Sequence[str] = ("path", "cell_no")) -
     )
 
 
-def extract_with_column(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
+def extract_with_column(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",), calls: DataFrame | None = None) -> DataFrame:
     """M3: ``df.withColumn("target", expr)`` and each entry of
     ``df.withColumns({"target": expr, ...})`` -> (match_no, receiver,
     target_column, transformation), at any nesting.  ``receiver`` is the
-    variable at the head of the call's chain ('' if there is none)."""
+    variable at the head of the call's chain ('' if there is none).  ``calls`` are
+    the ``calls_among`` of these names (and others), if they are at hand."""
     keys = list(keys)
-    calls = calls_among(df, ["withColumn", "withColumns"], text_col, keys).where("name = 'withColumns' OR n_args > 1")
+    calls = calls_among(df, ["withColumn", "withColumns"], text_col, keys) if calls is None else calls
+    calls = calls.where("name = 'withColumns' OR name = 'withColumn' AND n_args > 1")
     item = r"(?s)^\s*\{?\s*" + _Q + "(" + _NQ + "+)" + _Q + r"\s*:\s*(.*?)\s*\}?\s*$"
     entry = lambda target, e: F.struct(target.alias("target_column"), e.alias("e"))
     one = entry(F.regexp_extract("arg0", r"^\s*" + _Q + "(" + _NQ + "*)" + _Q + r"\s*$", 1), F.col("rest"))

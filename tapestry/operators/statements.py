@@ -95,12 +95,13 @@ def _statements_of_several(df: DataFrame, text_col: str, keys: list[str]) -> Dat
 _TARGET = r"^\s*(?:(?:if|elif|else|for|while|with|try|except|finally)\b[^:]*:\s*)?(" + NAME + r")\s*(?::[^=\n]*)?=(?!=)\s*"
 
 
-def assignments(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
+def assignments(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",), cut: DataFrame | None = None) -> DataFrame:
     """``(keys..., stmt, var, version, at, until, code, text)``: every ``name =
     ...`` statement with the masked and plain text of its right side; uses at
-    places up to ``until`` see the version before."""
+    places up to ``until`` see the version before.  ``cut`` are the script's
+    ``statements``, if they are at hand."""
     keys = list(keys)
-    s = statements(df, text_col, keys).withColumn("var", F.regexp_extract("code", _TARGET, 1)).where("var <> ''")
+    s = (statements(df, text_col, keys) if cut is None else cut).withColumn("var", F.regexp_extract("code", _TARGET, 1)).where("var <> ''")
     right = F.regexp_replace("code", _TARGET, "")
     s = s.withColumn("until", F.col("start") + F.length("code")).withColumn("right", right)
     s = s.withColumn("at", F.col("until") - F.length("right"))
@@ -186,16 +187,22 @@ _ALIAS = r"(?s)^(.*?)\s*\.\s*alias\(\s*['\"]([^'\"]+)['\"]\s*\)\s*$"
 _ENTRY = r"(?s)^\s*\{?\s*['\"]([^'\"]+)['\"]\s*:\s*(.*?)\s*\}?\s*$"
 
 
-def expressions(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",), lists: DataFrame | None = None) -> DataFrame:
+#: The calls that make target columns.
+MAKERS = ("withColumn", "withColumns", "select", "agg")
+
+
+def expressions(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",), lists: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
     """Every target column that a script's calls make: ``(keys..., at, item_no,
     call, receiver, direct, target_column, transformation)`` from
     ``withColumn``, ``withColumns``, ``select`` and ``agg`` (column lists
     expanded), in text order.  An item without an alias that is a plain column
-    is its own target (``direct``)."""
+    is its own target (``direct``).  ``calls`` are the ``calls_among`` of
+    ``MAKERS``, if they are written already."""
     keys = list(keys)
     lists = written(list_versions(df, text_col, keys), "lists") if lists is None else lists
-    calls = calls_among(df, ["withColumn", "withColumns", "select", "agg"], text_col, keys).withColumnRenamed("call", "at").withColumnRenamed("name", "call")
-    calls = written(calls.drop("match_no", "arg1", "arg2"), "calls")  # read by three branches
+    if calls is None:
+        calls = written(calls_among(df, MAKERS, text_col, keys).drop("match_no", "arg1", "arg2"), "calls")  # read by three branches
+    calls = calls.withColumnRenamed("call", "at").withColumnRenamed("name", "call")
     head = [*keys, "at", "call", "receiver"]
     quoted = r"^\s*['\"]([^'\"]*)['\"]\s*$"
     mapped = F.lit(False).alias("direct")
@@ -230,9 +237,10 @@ def references(df: DataFrame, expr_col: str = "transformation", keys: Sequence[s
     return out.where(F.col("column").isNotNull() & is_column_name(F.replace("column", F.lit("."), F.lit("_"))))
 
 
-def imported_names(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
-    """``(keys..., var)``: the names that a script imports (modules, no data)."""
-    rows = statements(df, text_col, keys).select(*keys, F.regexp_extract("code", r"(?s)^\s*(?:from\s+[\w.]+\s+)?import\s+\(?(.*?)\)?\s*$", 1).alias("names"))
+def imported_names(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",), cut: DataFrame | None = None) -> DataFrame:
+    """``(keys..., var)``: the names that a script imports (modules, no data).
+    ``cut`` are the script's ``statements``, if they are at hand."""
+    rows = (statements(df, text_col, keys) if cut is None else cut).select(*keys, F.regexp_extract("code", r"(?s)^\s*(?:from\s+[\w.]+\s+)?import\s+\(?(.*?)\)?\s*$", 1).alias("names"))
     names = rows.select(*keys, F.explode(F.split("names", ",")).alias("name"))
     return names.select(*keys, F.regexp_extract("name", r"(\w+)\s*$", 1).alias("var")).where("var <> ''").distinct()
 
@@ -272,7 +280,7 @@ _JOINED = r"\.\s*join\(\s*\(*\s*(" + NAME + r")\s*[.,)\[]"
 _NODE = "struct<kind:string,name:string,version:int>"
 
 
-def version_sources(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
+def version_sources(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",), assigned: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
     """``(keys..., var, version, until, source_no, source, carried)``: what each
     assignment is made of, as nodes ``(kind, name, version)``:
 
@@ -281,9 +289,11 @@ def version_sources(df: DataFrame, text_col: str = "text", keys: Sequence[str] =
     * the variable at the head of the chain (or alone) and the right side of
       every join: its latest version above, or (name, version 0) if it has none.
 
-    ``carried`` marks the head of a chain whose first call keeps the table."""
+    ``carried`` marks the head of a chain whose first call keeps the table.
+    ``assigned`` and ``lists`` are the script's ``assignments`` and
+    ``list_versions``, if they are at hand."""
     keys = list(keys)
-    a = assigned = written(assignments(df, text_col, keys), "assignments")
+    a = assigned = written(assignments(df, text_col, keys), "assignments") if assigned is None else assigned
     node = lambda kind, name, version=0: F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.lit(version).alias("version"))
     none = F.array().cast("array<string>")
     table = F.regexp_extract("text", _TABLE, 1)
@@ -297,7 +307,7 @@ def version_sources(df: DataFrame, text_col: str = "text", keys: Sequence[str] =
                  names.alias("names"), (direct.isNull() & (base != "") & keeps).alias("keeps"))
     head = [*keys, "var", "version", "until"]
     direct_rows = a.where("direct IS NOT NULL").select(*head, F.lit(0).alias("source_no"), node("table", F.col("direct")).alias("source"), F.lit(True).alias("carried"))
-    lists = list_versions(df, text_col, keys, assigned)
+    lists = list_versions(df, text_col, keys, assigned) if lists is None else lists
     listed = in_force(a.where("listed <> ''").select(*head, "at", "listed"), lists, ["items"], keys, var="listed")
     quoted = F.filter("items", lambda x: F.rlike(x, F.lit(r"^['\"].*['\"]$")))
     listed = listed.select(*head, F.posexplode(quoted).alias("source_no", "item"))
@@ -320,13 +330,13 @@ def lineage_versions(df: DataFrame, text_col: str = "text", keys: Sequence[str]
     return rows.select(*keys, target.alias("target"), "source").distinct()
 
 
-def table_versions(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",)) -> DataFrame:
+def table_versions(df: DataFrame, text_col: str = "text", keys: Sequence[str] = ("path",), assigned: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
     """M8 by versions: ``(keys..., var, version, until, table_name)``: the table of
     every assignment, NULL where its chain ends at none.  A version has one
     parent at most (the head of its chain), and chains are shortened by pointer
     doubling, so their length does not matter."""
     keys = list(keys)
-    src = written(version_sources(df, text_col, keys), "sources")
+    src = written(version_sources(df, text_col, keys, assigned, lists), "sources")
     up = src.where("carried").select(*keys, "var", "version", F.col("source").alias("up"))
     all_ = src.select(*keys, "var", "version", "until").distinct()
     rows = all_.join(up, [*keys, "var", "version"], "left")

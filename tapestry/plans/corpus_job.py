@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tapestry.operators import scripts as S
 from tapestry.operators.reconcile import KEY, classify_matches, last_per_key, reconcile, resolve, score
 from tapestry.operators.review import resolve_tables, standardize, to_standard
-from tapestry.plans.mapping_doc import mapping_rows
+from tapestry.plans.mapping_doc import maker_calls, mapping_rows
 from tapestry.session import written
 from tapestry.sources.run_store import RunStore
 
@@ -38,18 +38,18 @@ def _standard(rows: DataFrame, method: str) -> DataFrame:
     return std.withColumns({"path": place[0], "mapping_no": place[1].cast("int")}).drop("code_location")
 
 
-def code_mappings(spark: SparkSession, scripts: DataFrame) -> DataFrame:
+def code_mappings(spark: SparkSession, scripts: DataFrame, calls: DataFrame) -> DataFrame:
     """Side a: the mapping document's rows."""
-    m = mapping_rows(scripts)
+    m = mapping_rows(scripts, calls=calls)
     fields = F.array_join(F.transform("array_fields", lambda f: f["alias"]), ", ")
     return _standard(m.withColumns({"source_column": F.col("source_columns"), "array_field": fields}), "ast")
 
 
-def legacy_mappings(spark: SparkSession, scripts: DataFrame) -> DataFrame:
+def legacy_mappings(spark: SparkSession, scripts: DataFrame, calls: DataFrame) -> DataFrame:
     """Side b: ``withColumn`` calls with the last binding of their variable and
     the columns named by ``col("x")``."""
     bound = S.resolve_bindings(spark, S.extract_bindings(scripts), S.extract_table_lists(scripts))
-    m = S.extract_with_column(scripts).withColumn("receiver", F.nullif("receiver", F.lit("")))
+    m = S.extract_with_column(scripts, calls=calls).withColumn("receiver", F.nullif("receiver", F.lit("")))
     m = resolve_tables(m, bound, var_col="receiver", keys=["path"], out="table").withColumn("cols", S.column_refs(F.col("transformation")))
     short = F.element_at(F.split("table", r"\."), -1)
     columns = F.array_join(F.transform("cols", lambda c: F.concat(short, F.lit("."), c)), ", ")
@@ -60,7 +60,8 @@ def legacy_mappings(spark: SparkSession, scripts: DataFrame) -> DataFrame:
 def corpus_mappings(spark: SparkSession, scripts: DataFrame, method: str = "ratio", boost_exact: bool = False) -> DataFrame:
     """The corpus' resolved, scored and standardised mappings, with ``path``,
     ``match_class`` and ``extraction_source``."""
-    a, b = (last_per_key(written(side(spark, scripts), "side"), KEYS, "mapping_no") for side in (code_mappings, legacy_mappings))
+    calls = maker_calls(scripts)
+    a, b = (last_per_key(written(side(spark, scripts, calls), "side"), KEYS, "mapping_no") for side in (code_mappings, legacy_mappings))
     matched = classify_matches(reconcile(a, b, KEYS), method)
     return standardize(score(resolve(matched, FIELDS, boost_exact)), keep=("path", "match_class", "extraction_source"))
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tapestry.operators import scripts as S
 from tapestry.operators import statements as V
+from tapestry.operators.calls import calls_among
 from tapestry.operators.lineage import lineage_roots
 from tapestry.operators.quality import rule_lines, rules_by_column
 from tapestry.operators.review import attach_rules
@@ -39,15 +40,23 @@ class MappingDocument:
     targets: DataFrame
 
 
-def mapping_rows(scripts: DataFrame, direct: bool = False) -> DataFrame:
+def maker_calls(scripts: DataFrame) -> DataFrame:
+    """The calls that make target columns, written for all their readers."""
+    return written(calls_among(scripts, V.MAKERS).drop("match_no", "arg1", "arg2"), "calls")
+
+
+def mapping_rows(scripts: DataFrame, direct: bool = False, calls: DataFrame | None = None) -> DataFrame:
     """The document's mapping rows.  ``direct``: columns that a select passes on
-    as they are count as mappings too."""
-    lists = written(V.list_versions(scripts), "lists")
-    versions = V.table_versions(scripts)
-    e = V.expressions(scripts, lists=lists)
+    as they are count as mappings too.  ``calls`` are the ``maker_calls``, if they
+    are at hand.  Statements, assignments and lists are found once for all steps."""
+    cut = written(V.statements(scripts), "statements")
+    assigned = written(V.assignments(scripts, cut=cut), "assignments")
+    lists = written(V.list_versions(scripts, assigned=assigned), "lists")
+    versions = V.table_versions(scripts, assigned=assigned, lists=lists)
+    e = V.expressions(scripts, lists=lists, calls=calls)
     e = written(e if direct else e.where("NOT direct"), "expressions")
     one = [*KEYS, "at", "item_no"]
-    refs = V.references(e, keys=[*one, "receiver"]).join(V.imported_names(scripts), [*KEYS, "var"], "left_anti")
+    refs = V.references(e, keys=[*one, "receiver"]).join(V.imported_names(scripts, cut=cut), [*KEYS, "var"], "left_anti")
     refs = V.bind_references(refs, versions, KEYS).withColumn("table_name", F.coalesce("table_name", F.lit("unknown")))
     short = F.element_at(F.split("table_name", r"\."), -1)
     sources = refs.groupBy(*one).agg(

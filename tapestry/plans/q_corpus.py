@@ -259,7 +259,8 @@ def part_jobs(spark, d):
         'a_df = spark.table("db.', t("p_type"), '")\n',
         'y_df = a_df.withColumn("w", when(col("d") > ', F.col("p_size").cast("string"), ', lit("x")).otherwise(col("d")))\n',
         'z_df = y_df.select("k", col("e").alias("f"))\n')
-    return T(spark, d, "part").select(_text("job/", F.col("p_partkey").cast("string")).alias("path"), text.alias("text"))
+    p = dealt(T(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size"))
+    return p.select(_text("job/", F.col("p_partkey").cast("string")).alias("path"), text.alias("text"))
 
 
 @register("corpus_job", """

@@ -56,3 +56,19 @@ def test_the_workflow(spark, scripts, tmp_path):
     for _ in range(2):
         saved = run_corpus(spark, scripts, store, F.lit("2024-01-01").cast("timestamp"))
     assert sorted((r.session_id, r.target_field) for r in saved.collect()) == [("member_load.py", t) for t in ("addresses", "full_name", "state_name")]
+
+
+def test_the_workflow_parses_each_script_once(spark, monkeypatch):
+    """Statements are cut and calls are found once for both sides, whatever reads them."""
+    from tapestry.operators import statements as V
+    from tapestry.plans import corpus_job, mapping_doc
+
+    asked = []
+    for module, name in ((V, "statements"), (V, "calls_among"), (S, "calls_among"), (mapping_doc, "calls_among")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _real=real, _name=name, **k: (asked.append(_name), _real(*a, **k))[1])
+    text = 'a_df = spark.table("db.t")\nx_df = a_df.withColumn("u", col("a")).withColumns({"v": col("b")}).select(a_df.c.alias("w"))\n'
+    rows = [("p", text), ("q", text), ("q", text), (None, text), ("r", None), ("s", "")]
+    got = corpus_job.corpus_mappings(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(asked) == ["calls_among", "statements"]
+    assert sorted((r.target_field, r.match_class) for r in got if r.path == "p") == [("u", "exact"), ("v", "exact"), ("w", "code_only")]
