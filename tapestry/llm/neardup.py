@@ -21,9 +21,9 @@ if it has fewer words).  Documents are linked if 100 * intersection >=
 5. Completion: within each family, the classes outside its largest component
    are compared with all classes of other components, in cells of CELL by CELL
    classes.  A cell counts the signatures' collisions, confirms candidates on
-   the full sets and returns links only.  After that every candidate pair has
-   been compared or lies within one component, so no link between components
-   is missed.
+   the full sets and returns links only, of its components' links a spanning
+   forest.  After that every candidate pair has been compared or lies within one
+   component, so no link between components is missed.
 
 No pair of documents becomes a row unless one of the two is a pivot or the
 pair is a link; a class's set is sent to the cells of its family only.
@@ -180,9 +180,28 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
+def spanning(pairs: np.ndarray) -> np.ndarray:
+    """Which of the sorted pairs of components join two that the pairs before do
+    not: a spanning forest, of fewer pairs than components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    keep = np.zeros(len(pairs), bool)
+    for k, (x, y) in enumerate(pairs.tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            keep[k], root[max(x, y)] = True, min(x, y)
+    return keep
+
+
 def compare_cell(left: pa.Table, right: pa.Table, percent: int, least: int) -> pa.Table:
-    """Links between the left and right classes of different components: one
-    for each two components that any pair of them joins."""
+    """Links between the left and right classes of different components that
+    connect all components which any pair of them joins, without a link between
+    two that others connect already: fewer links than components."""
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     if not len(left) or not len(right):
         return none
@@ -200,7 +219,9 @@ def compare_cell(left: pa.Table, right: pa.Table, percent: int, least: int) -> p
     union = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None, :] - common
     i, j = np.nonzero((100 * common >= percent * union) & candidate[np.ix_(rows, cols)])
     i, j = rows[i], cols[j]
-    _, first = np.unique(np.stack([comp_a[i], comp_b[j]], axis=1), axis=0, return_index=True)
+    ends = np.sort(np.stack([comp_a[i], comp_b[j]], axis=1), axis=1)
+    pairs, first = np.unique(ends, axis=0, return_index=True)
+    first = first[spanning(pairs)]
     return pa.table({"a": id_a[i[first]], "b": id_b[j[first]]})
 
 

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,24 @@ def test_links_grow_with_the_classes(spark):
         assert 0 < pairs.count() <= classes_
 
 
+def test_a_cell_returns_fewer_links_than_components():
+    """Mutually similar components are connected by a forest, not by all their pairs."""
+    rng = np.random.default_rng(4)
+    groups = [np.unique(rng.integers(0, 1 << 62, 200).astype(np.uint64)) for _ in range(3)]
+    sets = [np.sort(np.append(groups[k % 3], rng.integers(0, 1 << 62, 4).astype(np.uint64))) for k in range(90)]
+    rows = {"cid": np.arange(90), "comp": np.arange(90), "signature": neardup.signatures(sets).tolist(), "shingles": [s.tobytes() for s in sets]}
+    table = pa.table({k: pa.array(v, pa.list_(pa.int64()) if k == "signature" else pa.binary() if k == "shingles" else pa.int64()) for k, v in rows.items()})
+    links = neardup.compare_cell(table.slice(0, 45), table, 85, least_matches(85))
+    assert len(links) == 87  # 90 components in three groups
+    root = list(range(90))
+    for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+        assert a % 3 == b % 3
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert root == [k % 3 for k in range(90)]
+    same = table.set_column(1, "comp", pa.array([0] * 90, pa.int64()))
+    assert len(neardup.compare_cell(same, same, 85, least_matches(85))) == 0
+
+
 def test_odd_rows_near_duplicates(odd_docs, no_docs):
     got = collections.Counter(tuple(r) for r in near_duplicates(odd_docs).collect())
     by_id = {r[0]: r for r in got if r[0] not in (None, 5)}
