@@ -25,9 +25,18 @@ from tapestry.session import written
 from tapestry.sources.run_store import stored_table
 
 BUCKET = "path_bucket"
+#: As many touched paths may be sent to every task; more are met by a merge join,
+#: whose memory does not grow with them.
+SENT = 200_000
 Extractor = Callable[[DataFrame], DataFrame]
 
 
+def paths_of(touched: DataFrame) -> DataFrame:
+    """The touched paths, as the smaller side of a join."""
+    paths = touched.select("path")
+    return paths if touched.count() <= SENT else paths.hint("merge")
+
+
 class Corpus:
     """Extracted rows of a corpus, kept up to date.  ``extractors`` map a name to
     a function of scripts ``(path, text)`` whose rows carry their ``path``."""
@@ -54,7 +63,7 @@ class Corpus:
         rows = new
         if old is not None:
             buckets = touched.select(self._bucket("path").alias(BUCKET)).distinct()
-            kept = old.join(buckets, BUCKET, "left_semi").drop(BUCKET).join(touched.select("path"), "path", "left_anti")
+            kept = old.join(buckets, BUCKET, "left_semi").drop(BUCKET).join(paths_of(touched), "path", "left_anti")
             rows = kept.unionByName(new)
             # a bucket whose last script has gone is emptied by one row without a path
             gone = buckets.join(rows.select(self._bucket("path").alias(BUCKET)).distinct(), BUCKET, "left_anti")
@@ -79,7 +88,7 @@ class Corpus:
         change = F.when(F.col("was").isNull(), "new").when(F.col("digest").isNull(), "removed").when(F.col("digest") != F.col("was"), "changed")
         touched = written(diff.select("path", "digest", change.alias("change")).where("change IS NOT NULL"), "touched")
         if touched.limit(1).count():
-            work = written(now.join(touched.where("change <> 'removed'").select("path"), "path", "left_semi").select("path", "text"), "changed")
+            work = written(now.join(paths_of(touched.where("change <> 'removed'")), "path", "left_semi").select("path", "text"), "changed")
             for name, extract in self.extractors.items():
                 self._replace(name, touched, extract(work))
             self._replace("manifest", touched, touched.where("digest IS NOT NULL").select("path", "digest"))

@@ -72,3 +72,18 @@ def test_the_workflow_parses_each_script_once(spark, monkeypatch):
     got = corpus_job.corpus_mappings(spark, spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(asked) == ["calls_among", "statements"]
     assert sorted((r.target_field, r.match_class) for r in got if r.path == "p") == [("u", "exact"), ("v", "exact"), ("w", "code_only")]
+
+
+def test_many_touched_paths_are_not_sent_to_every_task(spark, monkeypatch, tmp_path):
+    from tapestry.sources import corpus as module
+
+    scripts = spark.createDataFrame([(f"s{k}", line(f"t{k}")) for k in range(8)], SCHEMA)
+    plan = lambda: scripts.join(module.paths_of(scripts.limit(5)), "path", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(module, "SENT", 4)
+    assert "SortMergeJoin" in plan() and "BroadcastHashJoin" not in plan()
+    corpus = Corpus(spark, str(tmp_path / "c"), {"mappings": lambda s: s.select("path", F.length("text").alias("n"))}, buckets=2)
+    assert corpus.update(scripts).count() == 8
+    assert sorted((r.path, r.change) for r in corpus.update(scripts.where("path <> 's1'").withColumn("text", F.concat("text", F.lit("#")))).collect()) == [
+        (f"s{k}", "removed" if k == 1 else "changed") for k in range(8)]
+    assert sorted((r.path, r.n) for r in corpus.read("mappings").collect()) == [(f"s{k}", len(line(f"t{k}")) + 1) for k in range(8) if k != 1]
