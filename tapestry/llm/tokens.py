@@ -22,7 +22,8 @@ File layout (little-endian): a file is a run of segments, each
 Files are written by Spark's own committer (no half-written file of a lost
 executor is ever seen) and read with Spark's binary reader, so any storage
 that Spark reaches will do.  A segment holds at most ``segment_ids`` ids
-besides the last document, which bounds a task's memory.
+besides the last slice of text, and a file ``file_segments`` segments, which
+bounds the memory of the tasks that write and read them.
 
 Edge cases: a NULL or empty text is only the end id; rows with a NULL doc_id
 come first; rows that share a doc_id follow one another, ordered by a hash of
@@ -290,16 +291,19 @@ def write_token_files(
     text_col: str = "text",
     segment_ids: int = 500_000,
     file_bytes: int = 64 << 20,
+    file_segments: int = 4,
 ) -> None:
     """Encode ``text_col`` of every row and write bit-packed files under ``path``.
 
-    Rows are dealt to files of about ``file_bytes`` of text by ranges of
-    ``id_col`` (then of a text hash, so an id that many rows share is split);
-    file numbers ascend with the ids.
+    Rows are dealt to tasks of about ``file_bytes`` of text by ranges of
+    ``id_col`` (then of a text hash, so an id that many rows share is split); a
+    task starts a new file after ``file_segments`` segments, since a reader
+    holds whole files.  The numbers of ranges, and of files in a range, ascend
+    with the ids.
     """
     bits = id_bits(vocabulary)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    files = int(size // file_bytes) + 1
+    ranges = int(size // file_bytes) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from encoded(batches)
@@ -334,11 +338,12 @@ def write_token_files(
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
         .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(files, "key", "tie")
+        .repartitionByRange(ranges, "key", "tie")
         .sortWithinPartitions("key", "tie")
         .select("key", "text")
     )
-    ordered.mapInArrow(encode, "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(path)
+    lines = ordered.mapInArrow(encode, "segment binary").select(F.col("segment").cast("string").alias("value"))
+    lines.write.option("maxRecordsPerFile", file_segments).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -373,12 +378,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def file_starts(rows: DataFrame) -> DataFrame:
     """(file, before): ids in all files that come earlier, of the rows that
-    ``read_token_files`` gave.  Files stand in the order of their numbers (names
-    do not sort so from a hundred thousand files on); the running total is over
-    one row a file."""
-    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("number", number)
-    order = Window.orderBy("number", "file").rowsBetween(Window.unboundedPreceding, -1)
+    ``read_token_files`` gave.  Files stand in the order of their range's number,
+    then of their own number in it (names do not sort so from a hundred thousand
+    ranges, or a thousand files, on); the running total is over one row a file."""
+    name = r"part-(\d+)-[^/]*-c(\d+)\.[^/]*$"
+    numbers = [F.regexp_extract("file", name, k).cast("long").alias(n) for k, n in ((1, "range"), (2, "number"))]
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", "n", *numbers)
+    order = Window.orderBy("range", "number").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
 
 

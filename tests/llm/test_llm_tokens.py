@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tapestry.llm.tokens import BLOCK_IDS, Encoder, Segment, id_bits, pack, segment, segments, token_table, tokenizer_path, unpack_words
+from tapestry.llm.tokens import BLOCK_IDS, Encoder, Segment, file_starts, id_bits, pack, segment, segments, token_table, tokenizer_path, unpack_words
 
 
 @settings(max_examples=60, deadline=None)
@@ -87,3 +87,18 @@ def test_encoder_equals_a_fresh_library(encoder, fresh, texts):
 
 def test_empty_table(spark, no_docs):
     assert token_table(no_docs).collect() == []
+
+
+def test_files_hold_few_segments(spark):
+    """A reader holds whole files, so a task's segments go to several."""
+    docs = spark.range(55_000).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    rows = token_table(docs, segment_ids=1).toPandas().sort_values("start")
+    assert rows.doc_id.tolist() == list(range(55_000))
+    assert rows.start.tolist() == [0, *rows.n_tokens.cumsum()[:-1]]
+    assert rows.file.nunique() > 1 and rows.segment.max() < 4
+
+
+def test_files_stand_by_number(spark):
+    names = [f"file:/d/part-{task}-1a-c{n}.txt" for task, n in (("00000", "000"), ("00000", "999"), ("00000", "1000"), ("00002", "000"), ("100000", "000"))]
+    rows = spark.createDataFrame([(f, k + 1) for k, f in enumerate(names)], "file string, n_tokens long")
+    assert {r["file"]: r["before"] for r in file_starts(rows).collect()} == dict(zip(names, [0, 1, 3, 6, 10], strict=True))
